@@ -49,7 +49,7 @@ def tott(s: Study) -> Column:
     return _two_bars_back(s, "tott_ma", "tott_up", "tott_dn")
 
 
-@strategy("mavilimw", "MavilimW", "smoothed_trend", KIVANC, warmup=100, bounded=True)
+@strategy("mavilimw", "MavilimW", "smoothed_trend", KIVANC)
 def mavilimw(s: Study) -> Column:
     src = "c"
     for p in (3, 5, 8, 13, 21, 34):

@@ -108,7 +108,7 @@ def wick_rejection(s: Study) -> Column:
                  ok & (H >= hi - 0.10 * a) & (C < hi) & (uw > 1.5 * b) & (uw > 0.20 * a))
 
 
-@strategy("sr_range_edge", "SR Range Edge Rejection", FAM, V1, warmup=73, bounded=True)
+@strategy("sr_range_edge", "SR Range Edge Rejection", FAM, V1)
 def range_edge(s: Study) -> Column:
     hi, lo, p = s.prior_high(72), s.prior_low(72), s.lag("c")
     w = hi - lo
@@ -335,6 +335,6 @@ def trendlines(s: Study) -> Column:
     return F.col("trendline")
 
 
-@strategy("sr25_donchian_breakout", "SR25 Donchian Dynamic S/R Breakout", FAM, V25, warmup=21, bounded=True)
+@strategy("sr25_donchian_breakout", "SR25 Donchian Dynamic S/R Breakout", FAM, V25)
 def donchian(s: Study) -> Column:
     return sided(C > s.prior_high(20), C < s.prior_low(20))

@@ -28,18 +28,15 @@ class Strategy:
     version: str
     mode: str
     build: Callable[[Study], Column]
-    warmup: int
-    bounded: bool
 
 
 CATALOGUE: dict[str, Strategy] = {}
 
 
-def strategy(id: str, name: str, family: str, version: str, mode: str = REVERSAL,
-             warmup: int = 300, bounded: bool = False):
+def strategy(id: str, name: str, family: str, version: str, mode: str = REVERSAL):
     """Register a column builder; the function itself stays usable."""
     def add(fn: Callable[[Study], Column]) -> Callable[[Study], Column]:
-        CATALOGUE[id] = Strategy(id, name, family, version, mode, fn, warmup, bounded)
+        CATALOGUE[id] = Strategy(id, name, family, version, mode, fn)
         return fn
     return add
 
@@ -61,11 +58,39 @@ def pick(ids: Iterable[str] | None) -> list[Strategy]:
     return [known[i] for i in wanted]
 
 
+# Warm-up bars, convergence class and anchor where they are stated.
+CONVERGENCE = {
+    "sr25_trendline_breakout": (100, "ANCHORED", "DATASET_START"),
+    "sr25_fvg_first_touch": (50, "ANCHORED", "DATASET_START"),
+    "sr_liquidity_sweep": (40, "BOUNDED_WINDOW", None),
+    "sr25_poc_mean_reversion": (80, "ANCHORED", "UTC_SESSION"),
+    "sr25_camarilla_h3_l3": (80, "ANCHORED", "PREVIOUS_UTC_DAY"),
+    "sr_range_edge": (80, "BOUNDED_WINDOW", None),
+    "sr25_impulse_ob_retest": (60, "BOUNDED_WINDOW", None),
+}
+DEFAULT_CONVERGENCE = (100, "ANCHORED", "DATASET_START")
+SR_OLD = ("sr_pivot_bounce", "sr_pivot_breakout", "sr_break_retest", "sr_wick_rejection", "sr_liquidity_sweep",
+          "sr_range_edge", "sr_prior_day_sweep", "sr_level_flip", "sr_compression_breakout", "sr_volume_breakout")
+
+
+def packs() -> dict[str, list[str]]:
+    """Named groups of strategies."""
+    ids = list(catalogue())
+    sr25 = [i for i in ids if i.startswith("sr25_")]
+    return {
+        "OLD10": list(SR_OLD), "SR25": sr25, "SR35": [*SR_OLD, *sr25],
+        "SWEEP": [i for i in ids if i.startswith("swp_")], "VISUAL": [i for i in ids if i.startswith("vis_")],
+        "FIB": [i for i in ids if i.startswith(("fib_", "elliott_", "harmonic_"))],
+    }
+
+
 def registry_frame(spark: SparkSession) -> DataFrame:
-    rows = [(s.id, s.name, s.family, s.version, s.mode, s.warmup, "BOUNDED_WINDOW" if s.bounded else "ANCHORED")
+    """Identity and convergence data of every strategy."""
+    rows = [(s.id, s.name, s.family, s.version, s.mode, *CONVERGENCE.get(s.id, DEFAULT_CONVERGENCE))
             for s in catalogue().values()]
     return spark.createDataFrame(
-        rows, "strategy_id string, name string, family string, version string, mode string, warmup int, convergence string")
+        rows, "strategy_id string, name string, family string, version string, mode string, warmup_bars int, "
+              "convergence string, anchor string")
 
 
 def sided(long: Column, short: Column) -> Column:

@@ -65,7 +65,7 @@ def macd_rsi(s: Study) -> Column:
     return _macd(s, x > 50, x < 50)
 
 
-@vis("hull_suite", "Hull Suite", "trend", warmup=70, bounded=True)
+@vis("hull_suite", "Hull Suite", "trend")
 def hull(s: Study) -> Column:
     s.hma("c", 55)
     return turning(s, "hma_c_55")
@@ -78,14 +78,14 @@ def ema_cross(s: Study) -> Column:
     return crosses(s, "ema_c_9", "ema_c_21")
 
 
-@vis("golden_cross_50_200", "Golden Cross SMA50/200", "trend", warmup=201, bounded=True)
+@vis("golden_cross_50_200", "Golden Cross SMA50/200", "trend")
 def golden(s: Study) -> Column:
     s.sma("c", 50)
     s.sma("c", 200)
     return crosses(s, "sma_c_50", "sma_c_200")
 
 
-@vis("fractal_breakout", "Fractal Breakout", "breakout", warmup=6, bounded=True)
+@vis("fractal_breakout", "Fractal Breakout", "breakout")
 def fractal_break(s: Study) -> Column:
     hi, lo, p = s.prior_high(5), s.prior_low(5), s.lag("c")
     return sided((p <= hi) & (C > hi), (p >= lo) & (C < lo))
@@ -121,7 +121,7 @@ def adx_di(s: Study) -> Column:
     return sided((x >= 20) & cross_over(s, "pdi", "mdi"), (x >= 20) & cross_under(s, "pdi", "mdi"))
 
 
-@vis("coppock", "Coppock Curve", "momentum", warmup=26, bounded=True)
+@vis("coppock", "Coppock Curve", "momentum")
 def coppock(s: Study) -> Column:
     s.row("roc_sum", s.roc("c", 14) + s.roc("c", 11), ["roc_c_14", "roc_c_11"])
     s.wma("roc_sum", 10)
@@ -135,12 +135,12 @@ def rsi_entries(s: Study) -> Column:
     return sided((p <= 30) & (x > 30), (p >= 70) & (x < 70))
 
 
-@vis("bb_mean_reversion", "Bollinger Mean Reversion", "mean_reversion", warmup=21, bounded=True)
+@vis("bb_mean_reversion", "Bollinger Mean Reversion", "mean_reversion")
 def bb_mean(s: Study) -> Column:
     return reenter(s, *bands(s, 2))
 
 
-@vis("vixfix_reversal", "Williams Vix Fix Reversal", "volatility", warmup=42, bounded=True)
+@vis("vixfix_reversal", "Williams Vix Fix Reversal", "volatility")
 def vixfix(s: Study) -> Column:
     top = s.prior_high(22, "c")
     x = s.row("wvf", F.when(top > 0, 100 * (top - LO) / top), ["ph_c_22"])
@@ -154,12 +154,12 @@ def _beyond(s: Study, p: int, on: Column) -> Column:
     return sided(on & (C > s.prior_high(p)), on & (C < s.prior_low(p)))
 
 
-@vis("sr_breaks", "Support & Resistance Breaks", "breakout", warmup=51, bounded=True)
+@vis("sr_breaks", "Support & Resistance Breaks", "breakout")
 def sr_breaks(s: Study) -> Column:
     return _beyond(s, 50, F.lit(True))
 
 
-@vis("high_volume_box", "High Volume Boxes", "volume_breakout", warmup=21, bounded=True)
+@vis("high_volume_box", "High Volume Boxes", "volume_breakout")
 def volume_box(s: Study) -> Column:
     return _beyond(s, 20, V >= 1.8 * s.sma("v", 20))
 
@@ -169,14 +169,14 @@ def auto_range(s: Study) -> Column:
     return _beyond(s, 30, s.prior_high(30) - s.prior_low(30) <= 6 * s.atr(14))
 
 
-@vis("fibonacci_bb", "Fibonacci Bollinger Bands", "volatility_breakout", warmup=21, bounded=True)
+@vis("fibonacci_bb", "Fibonacci Bollinger Bands", "volatility_breakout")
 def fibonacci_bb(s: Study) -> Column:
     lo, hi = bands(s, 1.618)
     p = s.lag("c")
     return sided((p <= hi) & (C > hi), (p >= lo) & (C < lo))
 
 
-@vis("ichimoku_hull", "Ichimoku + Hull", "trend_filter", warmup=70, bounded=True)
+@vis("ichimoku_hull", "Ichimoku + Hull", "trend_filter")
 def ichimoku_hull(s: Study) -> Column:
     ten = (s.prior_high(9) + s.prior_low(9)) / 2
     kij = (s.prior_high(26) + s.prior_low(26)) / 2
@@ -192,13 +192,13 @@ def open_close(s: Study) -> Column:
     return crosses(s, "ema_c_5", "ema_o_5")
 
 
-@vis("candlestick_reversal", "Candlestick Reversal Patterns", "price_action", warmup=2, bounded=True)
+@vis("candlestick_reversal", "Candlestick Reversal Patterns", "price_action")
 def candles(s: Study) -> Column:
     po, pc = s.lag("o"), s.lag("c")
     return sided((C > O) & (pc < po) & (O <= pc) & (C >= po), (C < O) & (pc > po) & (O >= pc) & (C <= po))
 
 
-@vis("tma_overlay", "TMA Overlay Reversal", "mean_reversion", warmup=21, bounded=True)
+@vis("tma_overlay", "TMA Overlay Reversal", "mean_reversion")
 def tma(s: Study) -> Column:
     s.sma("c", 10)
     m = s.chain("tma_sum", "sma_c_10", [1] * 10) / 10
@@ -216,8 +216,7 @@ def scalper(s: Study) -> Column:
                  cross_under(s, "ema_c_8", "ema_c_21") & (x < 45) & wide)
 
 
-@strategy("vis_nadaraya_watson", "Nadaraya-Watson Envelope — Causal Derived Adapter", "statistical_mean_reversion", VD,
-          warmup=60, bounded=True)
+@strategy("vis_nadaraya_watson", "Nadaraya-Watson Envelope — Causal Derived Adapter", "statistical_mean_reversion", VD)
 def nadaraya_watson(s: Study) -> Column:
     k = s.kernel("c", 30)
     s.row("nw_res", C - k, ["kern_c_30"])
@@ -225,7 +224,7 @@ def nadaraya_watson(s: Study) -> Column:
     return reenter(s, k - 2 * d, k + 2 * d)
 
 
-@vis("volume_delta_pivot", "Volume Delta Pivot Matrix", "volume_orderflow", warmup=20, bounded=True)
+@vis("volume_delta_pivot", "Volume Delta Pivot Matrix", "volume_orderflow")
 def volume_delta(s: Study) -> Column:
     x = s.row("vdelta", F.when(C >= O, 1.0).otherwise(-1.0) * V)
     m = F.abs(s.sma("vdelta", 20))
