@@ -189,7 +189,9 @@ class Study:
         else:
             s, q = self.total(src, p), self.total(f"{src}_sq", p)
         m = s / p
-        return self.row(name, F.sqrt(F.greatest(F.lit(0.0), q / p - m * m)), [f"sum_{src}_{p}", f"sum_{src}_sq_{p}"])
+        # greatest() would turn an undefined variance into 0.
+        spread = F.when(q.isNotNull(), F.greatest(F.lit(0.0), q / p - m * m))
+        return self.row(name, F.sqrt(spread), [f"sum_{src}_{p}", f"sum_{src}_sq_{p}"])
 
     def mean_sd_finite(self, src: str, p: int) -> tuple[Column, Column]:
         """Mean and two-pass population deviation, values added oldest first."""
