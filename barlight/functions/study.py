@@ -101,14 +101,12 @@ class Study:
         return df
 
     def _windows(self, df: DataFrame, windows: dict[str, _Def]) -> DataFrame:
-        if self.block_rows is None:
-            w = L.series_window(df)
-            return df.withColumns({n: d.payload(w) for n, d in windows.items()})
-        back = max(d.back for d in windows.values())
-        ahead = max(d.ahead for d in windows.values())
-        wide = L.with_halo(df, self.block_rows, back, ahead)
+        wide = df
+        if self.block_rows is not None:
+            wide = L.with_halo(df, self.block_rows, max(d.back for d in windows.values()), max(d.ahead for d in windows.values()))
         w = L.series_window(wide)
-        return wide.withColumns({n: d.payload(w) for n, d in windows.items()}).where("_core").drop("_core")
+        out = wide.withColumns({n: d.payload(w) for n, d in windows.items()})
+        return out if self.block_rows is None else out.where("_core").drop("_core")
 
     # -- shared helpers --
 
@@ -159,19 +157,22 @@ class Study:
         s = self.total(src, p)
         return self.row(f"sma_{src}_{p}", s / p, [f"sum_{src}_{p}"])
 
-    def chain(self, name: str, src: str, weights: Sequence[float]) -> Column:
-        """Weighted sum of the last values, oldest first, added in that order."""
-        p = len(weights)
-
+    def recent(self, src: str, p: int) -> str:
+        """Column with the last p values, oldest first; NULL until p are defined."""
         def build(w):
-            terms = [(F.lag(src, p - 1 - k).over(w) if k < p - 1 else F.col(src)) * F.lit(float(x))
-                     for k, x in enumerate(weights)]
-            total = terms[0]
-            for term in terms[1:]:
-                total = total + term
-            return total
+            f = w.rowsBetween(-(p - 1), 0)
+            return F.when(F.count(src).over(f) == p, F.collect_list(src).over(f))
 
-        return self.window(name, build, [src], back=p - 1)
+        self.window(f"win_{src}_{p}", build, [src], back=p - 1)
+        return f"win_{src}_{p}"
+
+    def chain(self, name: str, src: str, weights: Sequence[float], newest_first: bool = False) -> Column:
+        """Weighted sum of the last values, added one by one in a fixed order."""
+        xs = self.recent(src, len(weights))
+        values = f"reverse(`{xs}`)" if newest_first else f"`{xs}`"
+        table = ", ".join(f"{float(x)!r}D" for x in weights)
+        total = F.expr(f"aggregate(zip_with({values}, array({table}), (a, b) -> a * b), 0D, (a, b) -> a + b)")
+        return self.row(name, total, [xs])
 
     def stdev_pop(self, src: str, p: int, ordered: bool = False) -> Column:
         """Population deviation from the two power sums.
@@ -196,12 +197,7 @@ class Study:
     def mean_sd_finite(self, src: str, p: int) -> tuple[Column, Column]:
         """Mean and two-pass population deviation, values added oldest first."""
         mean, sd = f"mf_{src}_{p}", f"sf_{src}_{p}"
-
-        def build(w):
-            f = w.rowsBetween(-(p - 1), 0)
-            return F.when(F.count(src).over(f) == p, F.collect_list(src).over(f))
-
-        xs = self.window(f"win_{src}_{p}", build, [src], back=p - 1)
+        xs = F.col(self.recent(src, p))
         self.row(mean, F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / p, [f"win_{src}_{p}"])
         self.row(sd, F.sqrt(F.aggregate(xs, F.lit(0.0), lambda a, x: a + (x - F.col(mean)) * (x - F.col(mean))) / p),
                  [mean])
@@ -238,14 +234,7 @@ class Study:
         """Causal Gaussian mean; the bandwidth is a third of the window."""
         w = [math.exp(-(k * k) / (2 * (band / 3) * (band / 3))) for k in range(band)]
         name = f"ksum_{src}_{band}"
-
-        def build(win):
-            total = F.lit(w[0]) * F.col(src)
-            for k in range(1, band):
-                total = total + F.lit(w[k]) * F.lag(src, k).over(win)
-            return total
-
-        self.window(name, build, [src], back=band - 1)
+        self.chain(name, src, w, newest_first=True)
         return self.row(f"kern_{src}_{band}", F.col(name) / F.lit(sum(w)), [name])
 
     def mfi(self, p: int) -> Column:

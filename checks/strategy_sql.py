@@ -409,7 +409,7 @@ def sd(src: str, p: int) -> str:
 
 def sd_ordered(src: str, p: int) -> str:
     s, q = f"({lag_chain(src, [1] * p)})", f"({lag_chain(f'{src}_sq', [1] * p)})"
-    return f"sqrt(greatest(0.0, {q} / {p} - ({s} / {p}) * ({s} / {p})))"
+    return f"CASE WHEN {q} IS NOT NULL THEN sqrt(greatest(0.0, {q} / {p} - ({s} / {p}) * ({s} / {p}))) END"
 
 
 def turning(x: str) -> tuple[str, str]:
