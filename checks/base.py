@@ -39,7 +39,7 @@ def plain(df: DataFrame) -> DataFrame:
         elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), 6) + F.lit(0.0)
         elif isinstance(f.dataType, T.ArrayType):
-            c = F.concat_ws(",", c.cast("array<string>"))
+            c = F.when(c.isNotNull(), F.concat_ws(",", c.cast("array<string>")))
         out.append(c.alias(f.name))
     return df.select(*out)
 
