@@ -12,8 +12,8 @@ from checks.base import check, r6, table
 RESULTS = """rr AS MATERIALIZED (SELECT *, CASE timeframe WHEN '5m' THEN 30 WHEN '1h' THEN 20 WHEN '4h' THEN 10 ELSE 3 END AS min_trades,
     n >= CASE timeframe WHEN '5m' THEN 30 WHEN '1h' THEN 20 WHEN '4h' THEN 10 ELSE 3 END AND net > 0 AND exp > 0 AND pf > 1.05 AND posseg >= 2 AND net15 > 0 AS pass
   FROM (SELECT 'P' || (l_partkey % 600) || CASE WHEN l_linenumber % 2 = 0 THEN 'USDT' ELSE 'USDC' END AS symbol, CASE l_suppkey // 12 % 4 WHEN 0 THEN '5m' WHEN 1 THEN '1h' WHEN 2 THEN '4h' ELSE '1d' END AS timeframe,
-    's' || (l_suppkey % 12) AS strategy_id, 'f' || (l_suppkey % 12 % 5) AS family, count(*) + CAST(max(l_quantity) AS BIGINT) AS n, round(max(l_extendedprice) / 60000 - 0.9, 4) AS net, round(min(l_quantity) / 10 + 0.5, 4) AS pf,
-    round(max(l_tax) * 6, 4) AS dd, round(max(l_discount) - 0.02, 4) AS exp, CAST(min(l_linenumber) % 4 AS BIGINT) AS posseg, round(max(l_extendedprice) / 60000 - 0.91, 4) AS net15, round(1 - min(l_tax), 4) AS coverage
+    's' || (l_suppkey % 12) AS strategy_id, 'f' || (l_suppkey % 12 % 5) AS family, count(*) + CAST(max(l_quantity) AS BIGINT) AS n, floor(max(l_extendedprice)) / 60000 - 0.9 AS net, round(min(l_quantity) / 10 + 0.5, 4) AS pf,
+    round(max(l_tax) * 6, 4) AS dd, round(max(l_discount) - 0.02, 4) AS exp, CAST(min(l_linenumber) % 4 AS BIGINT) AS posseg, floor(max(l_extendedprice)) / 60000 - 0.91 AS net15, round(1 - min(l_tax), 4) AS coverage
     FROM lineitem GROUP BY 1, 2, 3, 4)),
 bd AS MATERIALIZED (SELECT *, regexp_replace(symbol, '(USDT|USDC)$', '') AS underlying, n >= least(5, min_trades) AND net > 0 AND exp > 0 AND pf > 1 AND net15 > 0 AS rankable,
   concat_ws(',', CASE WHEN n < min_trades THEN 'LOW_SAMPLE' END, CASE WHEN NOT pass THEN 'NOT_EVIDENCE_PASS' END, CASE WHEN dd > 0.45 THEN 'HIGH_DD' END, CASE WHEN net > 5 THEN 'EXTREME_COMPOUNDING' END,
@@ -26,12 +26,12 @@ def results(spark, sf):
     q = F.floor(s / 12) % 4
     symbol = F.concat(F.lit("P"), k.cast("string"), F.when(ln % 2 == 0, "USDT").otherwise("USDC"))
     tf = F.when(q == 0, "5m").when(q == 1, "1h").when(q == 2, "4h").otherwise("1d")
-    price = F.max("l_extendedprice") / 60000
+    price = F.floor(F.max("l_extendedprice")) / 60000
     rows = li.groupBy(symbol.alias("symbol"), tf.alias("timeframe"), F.concat(F.lit("s"), (s % 12).cast("string")).alias("strategy_id"),
                       F.concat(F.lit("f"), (s % 12 % 5).cast("string")).alias("family")).agg(
-        (F.count("*") + F.max("l_quantity").cast("bigint")).alias("n"), F.round(price - 0.9, 4).alias("net"), F.round(F.min("l_quantity") / 10 + 0.5, 4).alias("pf"),
+        (F.count("*") + F.max("l_quantity").cast("bigint")).alias("n"), (price - 0.9).alias("net"), F.round(F.min("l_quantity") / 10 + 0.5, 4).alias("pf"),
         F.round(F.max("l_tax") * 6, 4).alias("dd"), F.round(F.max("l_discount") - 0.02, 4).alias("exp"), (F.min(ln) % 4).cast("bigint").alias("posseg"),
-        F.round(price - 0.91, 4).alias("net15"), F.round(1 - F.min("l_tax"), 4).alias("coverage"))
+        (price - 0.91).alias("net15"), F.round(1 - F.min("l_tax"), 4).alias("coverage"))
     least = F.when(F.col("timeframe") == "5m", 30).when(F.col("timeframe") == "1h", 20).when(F.col("timeframe") == "4h", 10).otherwise(3)
     ok = (F.col("n") >= F.col("min_trades")) & (F.col("net") > 0) & (F.col("exp") > 0) & (F.col("pf") > 1.05) & (F.col("posseg") >= 2) & (F.col("net15") > 0)
     return rows.withColumn("min_trades", least).withColumn("pass", ok)
