@@ -2,8 +2,8 @@
 
 Columns are declared with the columns they read; ``frame()`` then places them in
 the fewest stages: all window columns of one depth go to one ``withColumns``
-over the same window (one sort serves them all), all recurrences of one depth
-share one grouped pass.  Undefined values are NULL throughout, so comparisons
+over the same window (one sort serves them all).  Recurrences wait until everything that
+does not need them is there, so that few grouped passes serve them all.  Undefined values are NULL throughout, so comparisons
 with them are never true.
 """
 
@@ -25,8 +25,9 @@ BASE = ("symbol", "timeframe", "t", "o", "h", "l", "c", "v")
 @dataclass
 class _Def:
     kind: str  # window | row | scan | join
-    depth: int
+    place: tuple[int, int]  # recurrences on the longest path to it, then depth behind the last of them
     payload: object
+    deps: tuple[str, ...] = ()
     back: int = 0
     ahead: int = 0
 
@@ -39,7 +40,7 @@ class Study:
         self.block_rows = block_rows
         self.bars = L.into_blocks(bars, block_rows) if block_rows else L.spread(bars)
         self._defs: dict[str, _Def] = {}
-        self._frame: DataFrame | None = None
+        self._wanted: set[str] = set()
 
     @classmethod
     def for_bars(cls, bars: DataFrame, longest: int, block_rows: int = L.DEFAULT_BLOCK_ROWS) -> "Study":
@@ -48,8 +49,12 @@ class Study:
 
     # -- declaring columns --
 
-    def _depth(self, deps: Sequence[str]) -> int:
-        return max((self._defs[d].depth for d in deps if d in self._defs), default=0)
+    def _place(self, deps: Sequence[str], scan: bool = False) -> tuple[int, int]:
+        rank = max((self._defs[d].place[0] for d in deps if d in self._defs), default=0)
+        if scan:
+            return rank + 1, 0
+        same = [self._defs[d].place[1] for d in deps if d in self._defs and self._defs[d].place[0] == rank]
+        return rank, max(same, default=0) + 1
 
     def _add(self, name: str, d: _Def) -> Column:
         if name not in self._defs:
@@ -57,25 +62,24 @@ class Study:
         return F.col(name)
 
     def row(self, name: str, expr: Column, deps: Sequence[str] = ()) -> Column:
-        return self._add(name, _Def("row", self._depth(deps) + 1, expr))
+        return self._add(name, _Def("row", self._place(deps), expr, tuple(deps)))
 
     def window(self, name: str, fn: Callable, deps: Sequence[str] = (), back: int = 0, ahead: int = 0) -> Column:
         """``fn(w)`` builds the column over the ordered series window."""
-        return self._add(name, _Def("window", self._depth(deps) + 1, fn, back, ahead))
+        return self._add(name, _Def("window", self._place(deps), fn, tuple(deps), back, ahead))
 
     def scan(self, make: Callable, inputs: Sequence[str], outputs: Sequence[str]) -> None:
         if outputs[0] not in self._defs:
-            depth = self._depth(inputs) + 1
             scan = L.Scan(make, tuple(inputs), tuple(outputs))
             for name in outputs:
-                self._defs[name] = _Def("scan", depth, scan)
+                self._defs[name] = _Def("scan", self._place(inputs, scan=True), scan, tuple(inputs))
 
     def join(self, names: Sequence[str], fn: Callable[[DataFrame], DataFrame], deps: Sequence[str] = ()) -> None:
         """``fn`` adds ``names`` by a group aggregate joined back on its key."""
         if names[0] not in self._defs:
-            depth = self._depth(deps) + 1
+            place = self._place(deps)
             for name in names:
-                self._defs[name] = _Def("join", depth, fn)
+                self._defs[name] = _Def("join", place, fn, tuple(deps))
 
     def __contains__(self, name: str) -> bool:
         return name in self._defs
@@ -85,8 +89,12 @@ class Study:
     def frame(self) -> DataFrame:
         """Bars with every declared column."""
         df = self.bars
-        for depth in sorted({d.depth for d in self._defs.values()}):
-            at = {n: d for n, d in self._defs.items() if d.depth == depth}
+        for place in sorted({d.place for d in self._defs.values()}):
+            at = {n: d for n, d in self._defs.items() if d.place == place}
+            scans = list(dict.fromkeys(d.payload for d in at.values() if d.kind == "scan"))
+            if scans:
+                df = L.scan_series(df.drop(*self._spent(place)), scans)
+                continue
             windows = {n: d for n, d in at.items() if d.kind == "window"}
             if windows:
                 df = self._windows(df, windows)
@@ -95,11 +103,16 @@ class Study:
                 df = df.withColumns(rows)
             for fn in dict.fromkeys(d.payload for d in at.values() if d.kind == "join"):
                 df = fn(df)
-            scans = list(dict.fromkeys(d.payload for d in at.values() if d.kind == "scan"))
-            if scans:
-                df = L.scan_series(df, scans)
         return df
 
+    def _spent(self, place: tuple[int, int]) -> list[str]:
+        """Array columns whose readers are all placed before ``place``."""
+        last: dict[str, tuple[int, int]] = {}
+        for d in self._defs.values():
+            for name in d.deps:
+                last[name] = max(last.get(name, d.place), d.place)
+        return [n for n in self._defs if n.startswith("win_") and last.get(n, (0, 0)) < place]
+
     def _windows(self, df: DataFrame, windows: dict[str, _Def]) -> DataFrame:
         wide = df
         if self.block_rows is not None:
@@ -349,52 +362,51 @@ class Study:
         return (self.carry(f"res_{left}_{right}", hi, [f"pvh_{left}_{right}"]),
                 self.carry(f"sup_{left}_{right}", lo, [f"pvl_{left}_{right}"]))
 
+    def _daily(self, names: Sequence[str], deps: Sequence[str] = ()) -> tuple[Column, ...]:
+        """Columns read from one table of UTC days, joined to the bars once for all of them."""
+        self._wanted.update(names)
+        self.join(names, self._with_days, deps)
+        return tuple(F.col(n) for n in names)
+
     def prior_period(self, unit: str) -> tuple[Column, Column, Column]:
         """High, low and close of the previous observed day, week or month."""
-        names = [f"{unit}_h", f"{unit}_l", f"{unit}_c"]
-
-        def add(df: DataFrame) -> DataFrame:
-            key = period_key(unit)
-            by = [k for k in L.series_keys(df) if k != L.BLOCK]
-            w = Window.partitionBy(*by).orderBy("_period")
-            levels = (
-                self.bars.select(*by, key.alias("_period"), "t", "h", "l", "c")
-                .groupBy(*by, "_period")
-                .agg(F.max("h").alias("_h"), F.min("l").alias("_l"), F.max_by("c", "t").alias("_c"))
-                .select(*by, "_period", *[F.lag(s).over(w).alias(n) for s, n in zip(("_h", "_l", "_c"), names)])
-            )
-            return df.withColumn("_period", key).join(levels, [*by, "_period"], "left").drop("_period")
-
-        self.join(names, add)
-        return tuple(F.col(n) for n in names)
+        return self._daily([f"{unit}_h", f"{unit}_l", f"{unit}_c"])
 
-    def profile(self, bins: int = 24, share: float = 0.70) -> tuple[Column, Column, Column]:
+    def profile(self) -> tuple[Column, Column, Column]:
         """Point of control and value area of the previous observed UTC day."""
-        self.typical()
-        names = ["poc", "vah", "val"]
-        self.join(names, lambda df: _with_profile(df, self.bars, bins, share), ["tp"])
-        return tuple(F.col(n) for n in names)
+        return self._daily(["poc", "vah", "val"])
 
     def session_range(self, start: int, end: int) -> tuple[Column, Column]:
         """The day's range inside the UTC hours, known once the session is over."""
-        names = [f"ses_h_{start}_{end}", f"ses_l_{start}_{end}"]
-
-        def add(df: DataFrame) -> DataFrame:
-            by = [k for k in L.series_keys(df) if k != L.BLOCK]
-            day, hour = period_key("day"), utc_hour()
-            levels = (
-                self.bars.where((hour >= start) & (hour < end))
-                .groupBy(*by, day.alias("_period"))
-                .agg(F.max("h").alias("_h"), F.min("l").alias("_l"))
-            )
-            out = df.withColumn("_period", day).join(levels, [*by, "_period"], "left")
-            ready = hour >= end
-            return out.withColumns({n: F.when(ready, F.col(s)) for n, s in zip(names, ("_h", "_l"))}).drop(
-                "_period", "_h", "_l")
-
-        self.join(names, add)
+        names = [f"ses_{start}_{end}_h", f"ses_{start}_{end}_l"]
+        cols = self._daily([f"{n}_day" for n in names])
+        ready = utc_hour() >= end
+        for n, c in zip(names, cols):
+            self.row(n, F.when(ready, c), [f"{n}_day"])
         return F.col(names[0]), F.col(names[1])
 
+    def _with_days(self, df: DataFrame) -> DataFrame:
+        bars, by = self.bars, [k for k in L.series_keys(self.bars) if k != L.BLOCK]
+        sessions = sorted({tuple(int(x) for x in n.split("_")[1:3]) for n in self._wanted if n.startswith("ses_")})
+        inside = {(a, b): (utc_hour() >= a) & (utc_hour() < b) for a, b in sessions}
+        days = bars.groupBy(*by, period_key("day").alias("_day")).agg(
+            F.max("h").alias("_h"), F.min("l").alias("_l"), F.max_by("c", "t").alias("_c"),
+            *[F.max(F.when(on, F.col("h"))).alias(f"ses_{a}_{b}_h_day") for (a, b), on in inside.items()],
+            *[F.min(F.when(on, F.col("l"))).alias(f"ses_{a}_{b}_l_day") for (a, b), on in inside.items()])
+        w = Window.partitionBy(*by).orderBy("_day")
+        days = days.withColumns({"day_h": F.lag("_h").over(w), "day_l": F.lag("_l").over(w), "day_c": F.lag("_c").over(w)})
+        for unit in ("week", "month"):
+            if any(n.startswith(f"{unit}_") for n in self._wanted):
+                # Rank of the observed period; the frame of the rank before is the previous one.
+                days = days.withColumn("_p", F.dense_rank().over(Window.partitionBy(*by).orderBy(period_of_day(unit))))
+                f = Window.partitionBy(*by).orderBy("_p").rangeBetween(-1, -1)
+                days = days.withColumns({f"{unit}_h": F.max("_h").over(f), f"{unit}_l": F.min("_l").over(f),
+                                         f"{unit}_c": F.max_by("_c", "_day").over(f)})
+        if "poc" in self._wanted:
+            days = days.join(_profiles(bars, by), [*by, "_day"], "left")
+        table = days.select(*by, "_day", *sorted(self._wanted))
+        return df.withColumn("_day", period_key("day")).join(table, [*by, "_day"], "left").drop("_day")
+
 
 class _Make:
     """A picklable factory with its arguments."""
@@ -431,22 +443,33 @@ def period_key(unit: str) -> Column:
     return (F.year(stamp) * 12 + F.month(stamp) - 1).cast("long")
 
 
-def _with_profile(df: DataFrame, bars: DataFrame, bins: int, share: float) -> DataFrame:
-    by = [k for k in L.series_keys(bars) if k != L.BLOCK]
+def period_of_day(unit: str) -> Column:
+    """Number of the Monday week or month of day number ``_day``."""
+    if unit == "week":
+        return F.floor((F.col("_day") - 4) / 7)
+    date = F.date_from_unix_date(F.col("_day").cast("int"))
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def _profiles(bars: DataFrame, by: list[str], bins: int = 24, share: float = 0.70) -> DataFrame:
+    """Point of control and value area of each day's previous observed day.
+
+    The area takes bins by falling volume until the bins before hold the share.
+    """
     day = period_key("day")
-    rows = bars.select(*by, day.alias("_period"), "h", "l", "v", ((F.col("h") + F.col("l") + F.col("c")) / 3).alias("tp"))
-    span = rows.groupBy(*by, "_period").agg(F.max("h").alias("hi"), F.min("l").alias("lo"))
+    rows = bars.select(*by, day.alias("_day"), "h", "l", "v", ((F.col("h") + F.col("l") + F.col("c")) / 3).alias("tp"))
+    span = rows.groupBy(*by, "_day").agg(F.max("h").alias("hi"), F.min("l").alias("lo"))
     step = (F.col("hi") - F.col("lo")) / bins
     bin_no = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("tp") - F.col("lo")) / step)))
     held = (
-        rows.join(span, [*by, "_period"])
+        rows.join(span, [*by, "_day"])
         .where(F.col("hi") > F.col("lo"))
-        .groupBy(*by, "_period", "hi", "lo", bin_no.alias("bin"))
+        .groupBy(*by, "_day", "hi", "lo", bin_no.alias("bin"))
         .agg(F.sum(F.greatest(F.lit(0.0), F.col("v"))).alias("vol"))
     )
     # At most `bins` rows per day from here on.
-    ranked = Window.partitionBy(*by, "_period").orderBy(F.desc("vol"), "bin")
-    whole = Window.partitionBy(*by, "_period")
+    ranked = Window.partitionBy(*by, "_day").orderBy(F.desc("vol"), "bin")
+    whole = Window.partitionBy(*by, "_day")
     marked = held.select(
         "*",
         F.row_number().over(ranked).alias("rk"),
@@ -455,7 +478,7 @@ def _with_profile(df: DataFrame, bars: DataFrame, bins: int, share: float) -> Da
     )
     inside = (F.col("tot") <= 0) | (F.col("acc") / F.col("tot") < share)
     full_day = F.col("tot") <= 0
-    area = marked.groupBy(*by, "_period", "hi", "lo").agg(
+    area = marked.groupBy(*by, "_day", "hi", "lo").agg(
         F.min_by("bin", "rk").alias("pk"),
         F.min(F.when(inside, F.col("bin"))).alias("b0"),
         F.max(F.when(inside, F.col("bin"))).alias("b1"),
@@ -465,14 +488,12 @@ def _with_profile(df: DataFrame, bars: DataFrame, bins: int, share: float) -> Da
     b1 = F.when(F.col("empty"), bins - 1).otherwise(F.greatest("b1", "pk"))
     pk = F.when(F.col("empty"), 0).otherwise(F.col("pk"))
     shaped = area.select(
-        *by, "_period",
+        *by, "_day",
         (F.col("lo") + (pk + 0.5) * step).alias("poc"),
         (F.col("lo") + (b1 + 1) * step).alias("vah"),
         (F.col("lo") + b0 * step).alias("val"),
     )
     flat = span.where(F.col("hi") <= F.col("lo")).select(
-        *by, "_period", ((F.col("hi") + F.col("lo")) / 2).alias("poc"), F.col("hi").alias("vah"), F.col("lo").alias("val"))
-    days = Window.partitionBy(*by).orderBy("_period")
-    previous = shaped.unionByName(flat).select(
-        *by, "_period", *[F.lag(n).over(days).alias(n) for n in ("poc", "vah", "val")])
-    return df.withColumn("_period", day).join(previous, [*by, "_period"], "left").drop("_period")
+        *by, "_day", ((F.col("hi") + F.col("lo")) / 2).alias("poc"), F.col("hi").alias("vah"), F.col("lo").alias("val"))
+    days = Window.partitionBy(*by).orderBy("_day")
+    return shaped.unionByName(flat).select(*by, "_day", *[F.lag(n).over(days).alias(n) for n in ("poc", "vah", "val")])
