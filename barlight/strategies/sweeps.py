@@ -18,7 +18,7 @@ def sweep(s: Study, hi: Column, lo: Column, threshold: float = 0.05,
           extra: Callable[[Column], tuple[Column, Column]] | None = None) -> Column:
     """``extra(atr)`` gives one more condition for each side."""
     a, ok = live(s)
-    long, short = ok & (LO < lo - threshold * a) & (C > lo), ok & (H > hi + threshold * a) & (C < hi)
+    long, short = ok & (LO() < lo - threshold * a) & (C() > lo), ok & (H() > hi + threshold * a) & (C() < hi)
     if extra is not None:
         up, dn = extra(a)
         long, short = long & up, short & dn
@@ -63,24 +63,24 @@ def pivot_sfp(s: Study) -> Column:
 
 @strategy("swp_pivot_sfp_body", "Pivot SFP + Body Confirmation", "sfp", SW)
 def pivot_sfp_body(s: Study) -> Column:
-    return sweep(s, *s.pivots(3, 3), extra=lambda a: (C > O, C < O))
+    return sweep(s, *s.pivots(3, 3), extra=lambda a: (C() > O(), C() < O()))
 
 
 @strategy("swp_volume_absorption", "Sweep + Volume Absorption", "liquidity_volume", SW)
 def volume_absorption(s: Study) -> Column:
     m = s.sma("v", 20)
-    return range_sweep(s, 24, lambda a: (V >= 1.5 * m, V >= 1.5 * m))
+    return range_sweep(s, 24, lambda a: (V() >= 1.5 * m, V() >= 1.5 * m))
 
 
 @strategy("swp_atr_expansion", "Sweep + ATR Expansion", "liquidity_volatility", SW)
 def atr_expansion(s: Study) -> Column:
-    return range_sweep(s, 24, lambda a: (H - LO >= 1.2 * a, H - LO >= 1.2 * a))
+    return range_sweep(s, 24, lambda a: (H() - LO() >= 1.2 * a, H() - LO() >= 1.2 * a))
 
 
 @strategy("swp_ema50_filter", "Sweep + EMA50 Direction Filter", "liquidity_trend", SW)
 def ema_filter(s: Study) -> Column:
     e = s.ema("c", 50)
-    return range_sweep(s, 24, lambda a: (C > e, C < e))
+    return range_sweep(s, 24, lambda a: (C() > e, C() < e))
 
 
 @strategy("swp_rsi_exhaustion", "Sweep + RSI Exhaustion", "liquidity_momentum", SW)
@@ -106,20 +106,20 @@ def compression_reclaim(s: Study) -> Column:
 def _after_sweep(s: Study, tag: str, bars: int, ok_long, ok_short, level_long, level_short, deps=()) -> Column:
     a, ok = live(s)
     hi, lo = s.prior_high(24), s.prior_low(24)
-    long, short = ok & (LO < lo - 0.05 * a) & (C > lo), ok & (H > hi + 0.05 * a) & (C < hi)
+    long, short = ok & (LO() < lo - 0.05 * a) & (C() > lo), ok & (H() > hi + 0.05 * a) & (C() < hi)
     return confirm_within(s, tag, long, short, level_long, level_short, [ATR, "ph_h_24", "pl_l_24"],
                           lambda x: ok & ok_long(x), lambda x: ok & ok_short(x), bars, list(deps))
 
 
 @strategy("swp_mss_confirm", "Sweep + Micro Structure Shift", "liquidity_structure", SW)
 def mss_confirm(s: Study) -> Column:
-    return _after_sweep(s, "mss", 3, lambda x: C > x, lambda x: C < x, H, LO)
+    return _after_sweep(s, "mss", 3, lambda x: C() > x, lambda x: C() < x, H(), LO())
 
 
 @strategy("swp_fvg_after", "Sweep + Post-Sweep FVG", "liquidity_fvg", SW)
 def fvg_after(s: Study) -> Column:
     h2, l2 = s.lag("h", 2), s.lag("l", 2)
-    return _after_sweep(s, "fvga", 4, lambda x: LO > h2, lambda x: H < l2, F.lit(0.0), F.lit(0.0),
+    return _after_sweep(s, "fvga", 4, lambda x: LO() > h2, lambda x: H() < l2, F.lit(0.0), F.lit(0.0),
                         ["h_lag2", "l_lag2"])
 
 
@@ -128,7 +128,7 @@ def failed_breakout(s: Study) -> Column:
     a, ok = live(s)
     hi, lo = s.prior_high(24), s.prior_low(24)
     hi1, lo1, p = s.lag("ph_h_24"), s.lag("pl_l_24"), s.lag("c")
-    return sided(ok & (p < lo1 - 0.05 * a) & (C > lo), ok & (p > hi1 + 0.05 * a) & (C < hi))
+    return sided(ok & (p < lo1 - 0.05 * a) & (C() > lo), ok & (p > hi1 + 0.05 * a) & (C() < hi))
 
 
 def _session(start: int, end: int):
@@ -163,18 +163,18 @@ def range_reclaim(study_bars: DataFrame, variants: DataFrame, lookbacks: list[in
     swept = (
         bars.where(a > 0)
         .select(*keys, "t", "next_t", "next_o", "o", "h", "l", "c", a.alias("a"), F.explode(levels).alias("r"))
-        .where(((LO < F.col("r.lo")) & (C > F.col("r.lo"))) | ((H > F.col("r.hi")) & (C < F.col("r.hi"))))
+        .where(((LO() < F.col("r.lo")) & (C() > F.col("r.lo"))) | ((H() > F.col("r.hi")) & (C() < F.col("r.hi"))))
         .select("*", F.col("r.lookback").alias("lookback"), F.col("r.hi").alias("hi"), F.col("r.lo").alias("lo")).drop("r")
     )
     rows = swept.join(variants, "lookback")
     k, w, m = F.col("thresholdAtr"), F.col("wickRatio"), F.col("minBarRangeAtr")
     atr = F.col("a")
-    wide = (m <= 0) | (H - LO >= m * atr)
+    wide = (m <= 0) | (H() - LO() >= m * atr)
     b = F.greatest(body(), 0.02 * atr)
     plain = ~F.col("bodyConfirm")
-    long = ((LO < F.col("lo") - k * atr) & (C > F.col("lo")) & (plain | (C > O)) & wide
+    long = ((LO() < F.col("lo") - k * atr) & (C() > F.col("lo")) & (plain | (C() > O())) & wide
             & ((w <= 0) | (lower_wick() > w * b)) & (F.col("directionMode") != "short"))
-    short = ((H > F.col("hi") + k * atr) & (C < F.col("hi")) & (plain | (C < O)) & wide
+    short = ((H() > F.col("hi") + k * atr) & (C() < F.col("hi")) & (plain | (C() < O())) & wide
              & ((w <= 0) | (upper_wick() > w * b)) & (F.col("directionMode") != "long"))
     return (rows.withColumn("sig", sided(long, short)).where("sig <> 0")
             .select(*keys, F.col("variantId").alias("strategy_id"), F.lit("REVERSAL").alias("mode"), "t", "sig",

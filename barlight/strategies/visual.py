@@ -28,7 +28,7 @@ def bands(s: Study, k: float, src: str = "c", p: int = 20) -> tuple[Column, Colu
 
 def reenter(s: Study, lo: Column, hi: Column) -> Column:
     p = s.lag("c")
-    return sided((p < lo) & (C >= lo), (p > hi) & (C <= hi))
+    return sided((p < lo) & (C() >= lo), (p > hi) & (C() <= hi))
 
 
 def turning(s: Study, x: str) -> Column:
@@ -39,7 +39,7 @@ def turning(s: Study, x: str) -> Column:
 @vis("bollinger_rsi_double", "Bollinger + RSI Double", "mean_reversion")
 def bollinger_rsi(s: Study) -> Column:
     (lo, hi), x = bands(s, 2), s.rsi("c", 14)
-    return sided((C < lo) & (x < 30), (C > hi) & (x > 70))
+    return sided((C() < lo) & (x < 30), (C() > hi) & (x > 70))
 
 
 def _macd(s: Study, up: Column, dn: Column) -> Column:
@@ -50,7 +50,7 @@ def _macd(s: Study, up: Column, dn: Column) -> Column:
 @vis("macd_sma200", "MACD + SMA200", "trend_momentum")
 def macd_sma(s: Study) -> Column:
     m = s.sma("c", 200)
-    return _macd(s, C > m, C < m)
+    return _macd(s, C() > m, C() < m)
 
 
 @vis("supertrend_10_3", "SuperTrend 10/3", "trend_atr")
@@ -88,7 +88,7 @@ def golden(s: Study) -> Column:
 @vis("fractal_breakout", "Fractal Breakout", "breakout")
 def fractal_break(s: Study) -> Column:
     hi, lo, p = s.prior_high(5), s.prior_low(5), s.lag("c")
-    return sided((p <= hi) & (C > hi), (p >= lo) & (C < lo))
+    return sided((p <= hi) & (C() > hi), (p >= lo) & (C() < lo))
 
 
 @vis("macd_stoch", "MACD + Stochastic", "momentum")
@@ -109,7 +109,7 @@ def ema_slope(s: Study) -> Column:
 @vis("squeeze_momentum", "Squeeze Momentum", "volatility_momentum")
 def squeeze(s: Study) -> Column:
     d, a, m = s.stdev_pop("c", 20), s.atr(20), s.sma("c", 20)
-    s.row("mom12", C - s.lag("c", 12), ["c_lag12"])
+    s.row("mom12", C() - s.lag("c", 12), ["c_lag12"])
     x, p = F.col("mom12"), s.lag("mom12")
     open_ = m.isNotNull() & (2 * d >= 1.5 * a)
     return sided(open_ & (x > 0) & (p <= 0), open_ & (x < 0) & (p >= 0))
@@ -143,15 +143,15 @@ def bb_mean(s: Study) -> Column:
 @vis("vixfix_reversal", "Williams Vix Fix Reversal", "volatility")
 def vixfix(s: Study) -> Column:
     top = s.prior_high(22, "c")
-    x = s.row("wvf", F.when(top > 0, 100 * (top - LO) / top), ["ph_c_22"])
+    x = s.row("wvf", F.when(top > 0, 100 * (top - LO()) / top), ["ph_c_22"])
     d = s.stdev_pop("wvf", 20, ordered=True)
     band = F.col("sum_wvf_20") / 20 + 2 * d
     p = s.lag("wvf")
-    return sided((p > band) & (x <= band), (x > band) & (C < O))
+    return sided((p > band) & (x <= band), (x > band) & (C() < O()))
 
 
 def _beyond(s: Study, p: int, on: Column) -> Column:
-    return sided(on & (C > s.prior_high(p)), on & (C < s.prior_low(p)))
+    return sided(on & (C() > s.prior_high(p)), on & (C() < s.prior_low(p)))
 
 
 @vis("sr_breaks", "Support & Resistance Breaks", "breakout")
@@ -161,7 +161,7 @@ def sr_breaks(s: Study) -> Column:
 
 @vis("high_volume_box", "High Volume Boxes", "volume_breakout")
 def volume_box(s: Study) -> Column:
-    return _beyond(s, 20, V >= 1.8 * s.sma("v", 20))
+    return _beyond(s, 20, V() >= 1.8 * s.sma("v", 20))
 
 
 @vis("auto_range_breakout", "Auto Range Detector Breakout", "range_breakout")
@@ -173,7 +173,7 @@ def auto_range(s: Study) -> Column:
 def fibonacci_bb(s: Study) -> Column:
     lo, hi = bands(s, 1.618)
     p = s.lag("c")
-    return sided((p <= hi) & (C > hi), (p >= lo) & (C < lo))
+    return sided((p <= hi) & (C() > hi), (p >= lo) & (C() < lo))
 
 
 @vis("ichimoku_hull", "Ichimoku + Hull", "trend_filter")
@@ -182,7 +182,7 @@ def ichimoku_hull(s: Study) -> Column:
     kij = (s.prior_high(26) + s.prior_low(26)) / 2
     x = s.hma("c", 55)
     p = s.lag("hma_c_55")
-    return sided((ten > kij) & (C > x) & (x > p), (ten < kij) & (C < x) & (x < p))
+    return sided((ten > kij) & (C() > x) & (x > p), (ten < kij) & (C() < x) & (x < p))
 
 
 @vis("open_close_cross", "Open Close Cross", "price_action_trend")
@@ -195,7 +195,7 @@ def open_close(s: Study) -> Column:
 @vis("candlestick_reversal", "Candlestick Reversal Patterns", "price_action")
 def candles(s: Study) -> Column:
     po, pc = s.lag("o"), s.lag("c")
-    return sided((C > O) & (pc < po) & (O <= pc) & (C >= po), (C < O) & (pc > po) & (O >= pc) & (C <= po))
+    return sided((C() > O()) & (pc < po) & (O() <= pc) & (C() >= po), (C() < O()) & (pc > po) & (O() >= pc) & (C() <= po))
 
 
 @vis("tma_overlay", "TMA Overlay Reversal", "mean_reversion")
@@ -211,7 +211,7 @@ def scalper(s: Study) -> Column:
     s.ema("c", 8)
     s.ema("c", 21)
     x, a = s.rsi("c", 7), s.atr(7)
-    wide = H - LO > 0.5 * a
+    wide = H() - LO() > 0.5 * a
     return sided(cross_over(s, "ema_c_8", "ema_c_21") & (x > 55) & wide,
                  cross_under(s, "ema_c_8", "ema_c_21") & (x < 45) & wide)
 
@@ -219,17 +219,17 @@ def scalper(s: Study) -> Column:
 @strategy("vis_nadaraya_watson", "Nadaraya-Watson Envelope — Causal Derived Adapter", "statistical_mean_reversion", VD)
 def nadaraya_watson(s: Study) -> Column:
     k = s.kernel("c", 30)
-    s.row("nw_res", C - k, ["kern_c_30"])
+    s.row("nw_res", C() - k, ["kern_c_30"])
     d = s.stdev_pop("nw_res", 30, ordered=True)
     return reenter(s, k - 2 * d, k + 2 * d)
 
 
 @vis("volume_delta_pivot", "Volume Delta Pivot Matrix", "volume_orderflow")
 def volume_delta(s: Study) -> Column:
-    x = s.row("vdelta", F.when(C >= O, 1.0).otherwise(-1.0) * V)
+    x = s.row("vdelta", F.when(C() >= O(), 1.0).otherwise(-1.0) * V())
     m = F.abs(s.sma("vdelta", 20))
     later = s.index() >= 1
-    return sided(later & (x > 2 * m) & (C > O), later & (x < -2 * m) & (C < O))
+    return sided(later & (x > 2 * m) & (C() > O()), later & (x < -2 * m) & (C() < O()))
 
 
 @vis("structure_vwap", "Structure-Anchored VWAP", "vwap")
@@ -237,7 +237,7 @@ def structure_vwap(s: Study) -> Column:
     a = s.atr(14)
     s.typical()
     hi, lo = s.prior_high(20), s.prior_low(20)
-    s.row("xv_reset", F.when((C > hi) | (C < lo), 1.0).otherwise(0.0), ["ph_h_20", "pl_l_20"])
+    s.row("xv_reset", F.when((C() > hi) | (C() < lo), 1.0).otherwise(0.0), ["ph_h_20", "pl_l_20"])
     s.scan(_Make(AnchoredVwap), ["xv_reset", "tp", "v"], ["xv"])
     x, p = F.col("xv"), s.lag("c")
-    return sided((p <= x) & (C > x + 0.05 * a), (p >= x) & (C < x - 0.05 * a))
+    return sided((p <= x) & (C() > x + 0.05 * a), (p >= x) & (C() < x - 0.05 * a))
