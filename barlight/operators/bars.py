@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barlight.operators import layout as L
 from barlight.session import DAY_MS, TIMEFRAME_MS
 
 OHLCV = ("o", "h", "l", "c", "v")
@@ -84,13 +85,22 @@ def bad_ohlc() -> Column:
     return ((F.col("h") < F.col("l")) | (F.col("h") < F.greatest("o", "c")) | (F.col("l") > F.least("o", "c")))
 
 
-def quality_report(bars: DataFrame, seq: str = "seq", tolerance: float = 1.5) -> DataFrame:
+def with_previous_time(bars: DataFrame, seq: str, chunk_size: int) -> DataFrame:
+    """Add ``_pt``, the time of the row before in order ``seq``.
+
+    Raw input may repeat times, so a series has no bound here; rows meet only
+    inside chunks of ``seq``, and the chunks' edges meet each other.
+    """
+    chunked = bars.withColumn("_chunk", F.floor(F.col(seq) / F.lit(chunk_size)))
+    return L.neighbour(chunked, ["symbol", "timeframe"], seq, {"_pt": "t"}, "_chunk").drop("_chunk")
+
+
+def quality_report(bars: DataFrame, seq: str = "seq", tolerance: float = 1.5, chunk_size: int = 1_000_000) -> DataFrame:
     """Per series: order, gap and sanity counts in arrival order ``seq``."""
     if tolerance <= 1:
         raise ValueError("tolerance must be above 1")
     by = ("symbol", "timeframe")
-    w = Window.partitionBy(*by).orderBy(seq)
-    rows = bars.withColumn("delta", F.col("t") - F.lag("t").over(w))
+    rows = with_previous_time(bars, seq, chunk_size).withColumn("delta", F.col("t") - F.col("_pt"))
     base = rows.groupBy(*by).agg(
         F.count("*").alias("candles"),
         F.min_by("t", seq).alias("first_t"), F.max_by("t", seq).alias("last_t"),
@@ -113,15 +123,14 @@ def quality_report(bars: DataFrame, seq: str = "seq", tolerance: float = 1.5) ->
     return out.withColumn("pass", ok == 0)
 
 
-def validate_bars(bars: DataFrame, seq: str = "t") -> tuple[DataFrame, DataFrame]:
+def validate_bars(bars: DataFrame, seq: str = "t", chunk_size: int = 30 * DAY_MS) -> tuple[DataFrame, DataFrame]:
     """Split into bars fit for features and rejects with the first reason."""
-    w = Window.partitionBy("symbol", "timeframe").orderBy(seq)
     finite = F.lit(True)
     for c in ("t", *OHLCV):
         x = F.col(c).cast("double")
         finite = finite & x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))
     closed = F.coalesce(F.col("closed"), F.lit(False)) if "closed" in bars.columns else F.lit(True)
-    rows = bars.withColumn("_pt", F.lag("t").over(w))
+    rows = with_previous_time(bars, seq, chunk_size)
     reason = (
         F.when(~closed, "NOT_CLOSED").when(~finite, "NON_FINITE").when(F.col("v") < 0, "NEGATIVE_VOLUME")
         .when(bad_ohlc(), "INVALID_OHLC").when(F.col("t") <= F.col("_pt"), "NOT_INCREASING")
@@ -131,11 +140,9 @@ def validate_bars(bars: DataFrame, seq: str = "t") -> tuple[DataFrame, DataFrame
 
 
 def candle_barrier(bars: DataFrame, as_of: int, interval_ms: int, grace_ms: int = 3000,
-                   min_bars: int = 64, seq: str = "t") -> DataFrame:
+                   min_bars: int = 64, seq: str = "t", chunk_size: int = 30 * DAY_MS) -> DataFrame:
     """One verdict per series about its freshness and regularity."""
-    w = Window.partitionBy("symbol", "timeframe").orderBy(seq)
-    d = F.col("t") - F.lag("t").over(w)
-    rows = bars.withColumn("_d", d)
+    rows = with_previous_time(bars, seq, chunk_size).withColumn("_d", F.col("t") - F.col("_pt"))
     expected = (as_of - grace_ms) // interval_ms * interval_ms - interval_ms
     bad = F.when(F.col("t") % interval_ms != 0, "MISALIGNED_BAR").when(F.col("t") + interval_ms > as_of, "OPEN_BAR")
     flags = rows.groupBy("symbol", "timeframe").agg(
@@ -225,10 +232,8 @@ def archive_gap_plan(bars: DataFrame, start: int, end: int) -> DataFrame:
 
 def walk_forward_labels(bars: DataFrame) -> DataFrame:
     """Row index, row count and the 60/20/20 window of each bar; 30 rows at least."""
-    from barlight.operators.layout import with_index
-
     sizes = bars.groupBy("symbol", "timeframe").agg(F.count("*").alias("n"))
-    rows = with_index(bars).join(sizes, ["symbol", "timeframe"])
+    rows = L.with_index(bars).join(sizes, ["symbol", "timeframe"])
     train = F.greatest(F.lit(1), F.floor(F.col("n") * 0.6))
     valid = F.greatest(train + 1, F.floor(F.col("n") * 0.8))
     name = F.when(F.col("i") < train, "train").when(F.col("i") < valid, "validation").otherwise("holdout")

@@ -94,13 +94,14 @@ GRID_EXPANSION = [1.05, 1.2, 1.4, 1.7, 2.1]
 
 
 def tuning_grid(spark: SparkSession) -> DataFrame:
-    """All grid points (142 rows), numbered in search order per setup."""
-    points = [("breakout", i, a, None, None) for i, a in enumerate(GRID_BREAKOUT)]
-    points += [("liquidity_sweep_reclaim", i, a, b, None)
-               for i, (a, b) in enumerate((a, b) for a in GRID_SWEEP for b in GRID_RECLAIM)]
-    points += [("compression_release", i, a, b, d)
-               for i, (a, b, d) in enumerate((a, b, d) for a in GRID_DEPTH for b in GRID_DURATION for d in GRID_EXPANSION)]
-    return spark.createDataFrame(points, "kind string, point int, ga double, gb double, gd double")
+    """All grid points (142 rows), numbered in search order per setup; ``ia, ib, id`` index the lists."""
+    points = [("breakout", i, a, None, None, i, None, None) for i, a in enumerate(GRID_BREAKOUT)]
+    points += [("liquidity_sweep_reclaim", 6 * i + j, a, b, None, i, j, None)
+               for i, a in enumerate(GRID_SWEEP) for j, b in enumerate(GRID_RECLAIM)]
+    points += [("compression_release", 20 * i + 5 * j + k, a, b, d, i, j, k)
+               for i, a in enumerate(GRID_DEPTH) for j, b in enumerate(GRID_DURATION) for k, d in enumerate(GRID_EXPANSION)]
+    return spark.createDataFrame(
+        points, "kind string, point int, ga double, gb double, gd double, ia int, ib int, id int")
 
 
 def tune_thresholds(rows: DataFrame, horizon: int = 12, fee: float = 0.0004, slip: float = 0.0001,
@@ -112,16 +113,30 @@ def tune_thresholds(rows: DataFrame, horizon: int = 12, fee: float = 0.0004, sli
     spark = rows.sparkSession
     placed = walk_forward_labels(X.with_previous(X.with_paths(rows, [horizon]))).where(F.col("wf") == "train")
     cand = X.outcomes(X.candidates(placed), [horizon], {"base": (fee, slip)})
+    # Events first fold into the cells between thresholds; only cells meet the grid.
+    steps = {"breakout": (GRID_BREAKOUT,), "liquidity_sweep_reclaim": (GRID_SWEEP, GRID_RECLAIM),
+             "compression_release": (GRID_DEPTH, GRID_DURATION, GRID_EXPANSION)}
+
+    def cell(k: int, x: str) -> Column:
+        out = F.lit(0)
+        for kind, lists in steps.items():
+            if k < len(lists):
+                passed = sum((F.when(F.col(x) >= v, 1).otherwise(0) for v in lists[k]), F.lit(0))
+                out = F.when(F.col("kind") == kind, passed).otherwise(out)
+        return out
+
+    cells = cand.select(*SERIES, "kind", cell(0, "a").alias("ca"), cell(1, "b").alias("cb"), cell(2, "d").alias("cd"), "net").groupBy(
+        *SERIES, "kind", "ca", "cb", "cd").agg(F.count("*").alias("n"), F.sum("net").alias("s"))
     grid = F.broadcast(tuning_grid(spark))
-    # An event meets a point where its values clear it; equal values group first.
-    ok = ((F.col("a") >= F.col("ga")) & (F.col("gb").isNull() | (F.col("b") >= F.col("gb")))
-          & (F.col("gd").isNull() | (F.col("d") >= F.col("gd"))))
-    scored = cand.select(*SERIES, "kind", "a", "b", "d", "net").join(grid, "kind").where(ok).groupBy(*SERIES, "kind", "point").agg(
-        F.count("*").alias("n"), F.avg("net").alias("net_exp"))
+    ok = (F.col("ca") > F.col("ia")) & (F.col("ib").isNull() | (F.col("cb") > F.col("ib"))) & (
+        F.col("id").isNull() | (F.col("cd") > F.col("id")))
+    scored = cells.join(grid, "kind").where(ok).groupBy(*SERIES, "kind", "point").agg(
+        F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("net_exp"))
     every = rows.select(*SERIES).distinct().crossJoin(grid)
     full = every.join(scored, [*SERIES, "kind", "point"], "left").na.fill(0, ["n"]).na.fill(0.0, ["net_exp"])
+    # Sums of the same events in another order may differ in the last bits; they tie.
     best = Window.partitionBy(*SERIES, "kind").orderBy(
-        F.desc(F.col("n") >= min_n), F.desc("net_exp"), F.desc("n"), "point")
+        F.desc(F.col("n") >= min_n), F.desc(F.round("net_exp", 12)), F.desc("n"), "point")
     return (full.withColumn("rk", F.row_number().over(best)).where("rk = 1")
             .select(*SERIES, "kind", "point", "ga", "gb", "gd", "n", "net_exp"))
 

@@ -214,9 +214,14 @@ class AverageCost:
         return gain, self.pos, self.avg
 
 
-def position_ledger(fills: DataFrame, block_rows: int | None = None) -> DataFrame:
-    """Realised profit, position and average cost after each fill, per symbol."""
+def position_ledger(fills: DataFrame, block_rows: int | None = None, longest: int | None = None) -> DataFrame:
+    """Realised profit, position and average cost after each fill, per symbol.
+
+    A symbol with more fills than one task should hold is cut into blocks.
+    """
     rows = fills.withColumn("timeframe", F.lit("fills")) if "timeframe" not in fills.columns else fills
+    if block_rows is None and (L.longest_series(rows) if longest is None else longest) > L.DEFAULT_BLOCK_ROWS:
+        block_rows = L.DEFAULT_BLOCK_ROWS
     laid = L.into_blocks(rows, block_rows) if block_rows else L.spread(rows)
     out = L.scan_series(laid, [L.Scan(AverageCost, ("qty", "price"), ("realised", "position", "avg_cost"))])
     return out.drop("timeframe", *([L.BLOCK, L.INDEX] if block_rows else []))

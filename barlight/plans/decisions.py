@@ -343,12 +343,12 @@ def halted_symbols(ledger: DataFrame) -> DataFrame:
     return ledger.where("status = 'ORPHAN_FILL'").select("symbol").distinct()
 
 
-def journal_chain(commits: DataFrame, by: list[str] = ["stream"]) -> DataFrame:  # noqa: B006
+def journal_chain(commits: DataFrame, by: list[str] = ["stream"], chunk_size: int = 1_000_000) -> DataFrame:  # noqa: B006
     """Commits whose from-hash is not the previous to-hash; repeats of a commit id count once."""
     once = commits.groupBy(*by, "commit_id").agg(
         F.min("seq").alias("seq"), F.min_by(F.struct("from_hash", "to_hash"), "seq").alias("r")).select(*by, "commit_id", "seq", "r.*")
-    w = Window.partitionBy(*by).orderBy("seq")
-    rows = once.withColumn("head", F.lag("to_hash").over(w))
+    chunked = once.withColumn("_chunk", F.floor(F.col("seq") / chunk_size))
+    rows = L.neighbour(chunked, by, "seq", {"head": "to_hash"}, "_chunk").drop("_chunk")
     return rows.withColumn("ok", F.col("head").isNull() | (F.col("head") == F.col("from_hash")))
 
 

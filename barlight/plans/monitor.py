@@ -41,13 +41,11 @@ def current_signals(bars: DataFrame, ids: list[str], longest: int | None = None)
     ends = bars.groupBy(*series).agg(F.max("t").alias("last_t"), F.count("*").alias("bars_used"))
     names = F.broadcast(spark.createDataFrame([(s.id, s.mode) for s in chosen], "strategy_id string, mode string"))
     full = ends.crossJoin(names).join(last, [*series, "strategy_id"], "left")
-    # Bars after the signal: one count per series and signal time, not per bar.
-    marks = full.where(F.col("signal_t").isNotNull()).select(*series, "strategy_id", "signal_t")
-    later = (bars.select(*series, "t").join(marks, series).where(F.col("t") > F.col("signal_t"))
-             .groupBy(*series, "strategy_id").agg(F.count("*").alias("_age")))
-    out = full.join(later, [*series, "strategy_id"], "left")
+    # The signal bar's row number tells its age: one row per stream is looked up.
+    at = L.with_index(bars).select(*series, F.col("t").alias("signal_t"), F.col(L.INDEX).alias("_i"))
+    out = full.join(at, [*series, "signal_t"], "left")
     state = F.coalesce("state", F.lit(0))
-    age = F.when(F.col("signal_t").isNotNull(), F.coalesce("_age", F.lit(0)))
+    age = F.col("bars_used") - 1 - F.col("_i")
     fresh = F.coalesce(age == 0, F.lit(False))
     action = (F.when(state == 1, F.when(fresh, "ENTER_LONG").otherwise("HOLD_LONG"))
               .when(state == -1, F.when(fresh, "ENTER_SHORT").otherwise("HOLD_SHORT"))
@@ -59,9 +57,11 @@ def current_signals(bars: DataFrame, ids: list[str], longest: int | None = None)
 def canonical_entry(current: DataFrame, bars: DataFrame, open_bars: DataFrame) -> DataFrame:
     """Open of the bar after the signal, or of the running bar that follows it directly."""
     series = ["symbol", "timeframe"]
+    rows = L.with_index(bars).select(*series, "t", "o", L.INDEX)
     marks = current.select(*series, "strategy_id", "signal_t").where(F.col("signal_t").isNotNull())
-    following = bars.select(*series, "t", "o").join(marks, series).where(F.col("t") > F.col("signal_t"))
-    closed = following.groupBy(*series, "strategy_id").agg(F.min("t").alias("ct"), F.min_by("o", "t").alias("co"))
+    at = marks.join(rows.select(*series, F.col("t").alias("signal_t"), (F.col(L.INDEX) + 1).alias("_n")), [*series, "signal_t"])
+    after = rows.select(*series, F.col(L.INDEX).alias("_n"), F.col("t").alias("ct"), F.col("o").alias("co"))
+    closed = at.join(after, [*series, "_n"]).drop("_n", "signal_t")
     running = open_bars.select(*series, F.col("t").alias("ot"), F.col("o").alias("oo"))
     rows = current.join(closed, [*series, "strategy_id"], "left").join(running, series, "left")
     joins = (F.col("signal_t") == F.col("last_t")) & (F.col("ot") == F.col("last_t") + timeframe_ms(F.col("timeframe")))

@@ -243,7 +243,7 @@ def _matrix(spark, sf):
 @check("acceptance_report")
 def _acceptance(spark, sf):
     b = bars(spark, sf)
-    quality = B.quality_report(b.withColumn("seq", F.col("t")))
+    quality = B.quality_report(b, "t", chunk_size=2_592_000_000)
     return G.acceptance_report(quality, G.robustness_matrix(_rows(spark, sf), min_n=10))
 
 
