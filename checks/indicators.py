@@ -88,7 +88,7 @@ def _trailing(spark, sf):
     return s.frame().select("symbol", "timeframe", "t", m.alias("vidya"), line.alias("ott"), trend.alias("st_trend"), st.alias("st_line"))
 
 
-@check("qqe_track")
+@check("qqe_track", S.QQE_SQL)
 def _qqe(spark, sf):
     s = _study(spark, sf)
     m, f = s.qqe(3.0, "q")

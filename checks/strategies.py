@@ -17,8 +17,8 @@ GROUPS = {
     "signals_trailing_stops": (list(S.TRAILING_RULES), S.TRAILING_SQL),
     "signals_chart_shapes": (list(S.SHAPE_RULES), S.SHAPES_SQL),
     "signals_oscillators": (list(S.OSC_RULES), S.OSC_SQL),
-    "signals_momentum_filter": (["ssl_hybrid_qqe_flip", "chandelier_zlsma"], None),
-    "signals_order_blocks": (["sr25_lsob", "sr25_kernel_supply_demand"], None),
+    "signals_momentum_filter": (["ssl_hybrid_qqe_flip", "chandelier_zlsma"], S.MOMENTUM_SQL),
+    "signals_order_blocks": (["sr25_lsob", "sr25_kernel_supply_demand"], S.BLOCKS_SQL),
     "signals_swing_patterns": (["fib_golden_pocket", "fib_retrace_382", "fib_retrace_500", "fib_retrace_618", "fib_retrace_786",
                                 "elliott_w2_w3", "elliott_w4_w5", "elliott_abc", "harmonic_prz"], None),
 }

@@ -492,3 +492,124 @@ OSC_TABLES = f"""WITH RECURSIVE {walk()},
         ('p2', "CASE WHEN pdi + mdi = 0 THEN 0.0 WHEN pdi IS NULL THEN NULL ELSE 100 * abs(pdi - mdi) / (pdi + mdi) END AS dx"))},
 {_dx.sql('p2', 'rd', 'p3')}"""
 OSC_SQL = f"{OSC_TABLES}\n{emit(OSC_RULES, 'p3')}"
+
+# --- smoothed RSI bands, exits with a flat bar, order blocks ---------------------------------------------
+
+_q = Recur().rma("g", 6, "up").rma("s", 6, "dn")
+_g6 = "(CASE WHEN x.i = 5 THEN (r.g + x.up) / 6 ELSE (r.g * 5 + x.up) / 6 END)"
+_s6 = "(CASE WHEN x.i = 5 THEN (r.s + x.dn) / 6 ELSE (r.s * 5 + x.dn) / 6 END)"
+_q.raw("rs", "CAST(NULL AS DOUBLE)", f"CASE WHEN x.i < 5 THEN NULL WHEN {_s6} = 0 THEN 100.0 WHEN {_g6} = 0 THEN 0.0 ELSE 100 - 100 / (1 + {_g6} / {_s6}) END")
+
+
+def chained(name: str, p: int, src: str) -> Recur:
+    """Exponential mean whose input may start undefined."""
+    a = 2 / (p + 1)
+    return Recur().raw(name, f"x.{src}", f"CASE WHEN r.{name} IS NULL THEN x.{src} ELSE {num(a)} * x.{src} + {num(1 - a)} * r.{name} END")
+
+
+def qqe_bands(n: str, factor: float) -> Recur:
+    """Trailing bands of the smoothed RSI ``rm`` with width ``e2`` times the factor, two bars of memory, and the side."""
+    d = f"(x.e2 * {num(factor)})"
+    l1, s1 = f"r.{n}_l", f"r.{n}_s"
+    on = "x.e2 IS NOT NULL"
+    cross = "((({a0} <= {b0} AND {a1} > {b1}) OR ({a0} >= {b0} AND {a1} < {b1})))"
+    up = cross.format(a0="x.prm", b0=f"r.{n}_s2", a1="x.rm", b1=s1)
+    dn = cross.format(a0=f"r.{n}_l2", b0="x.prm", a1=l1, b1="x.rm")
+    nul = "CAST(NULL AS DOUBLE)"
+    return (Recur()
+            .raw(f"{n}_l", nul, f"CASE WHEN {on} THEN CASE WHEN x.prm > coalesce({l1}, 0) AND x.rm > coalesce({l1}, 0) THEN greatest(coalesce({l1}, 0), x.rm - {d}) ELSE x.rm - {d} END END")
+            .raw(f"{n}_s", nul, f"CASE WHEN {on} THEN CASE WHEN x.prm < coalesce({s1}, 0) AND x.rm < coalesce({s1}, 0) THEN least(coalesce({s1}, 0), x.rm + {d}) ELSE x.rm + {d} END END")
+            .raw(f"{n}_l2", nul, l1).raw(f"{n}_s2", nul, s1)
+            .raw(f"{n}_t", "1", f"CASE WHEN {on} AND {s1} IS NOT NULL AND r.{n}_s2 IS NOT NULL THEN CASE WHEN {up} THEN 1 WHEN {dn} THEN -1 ELSE r.{n}_t END ELSE r.{n}_t END"))
+
+
+def fast(n: str) -> str:
+    return f"CASE WHEN {n}_t = 1 THEN {n}_l ELSE {n}_s END"
+
+
+QQE_TABLES = f"""{_q.sql('x', 'q1', 'y1')},
+{chained('rm', 5, 'rs').sql('y1', 'q2', 'y2')},
+y3 AS MATERIALIZED (SELECT *, lag(rm) OVER {W} AS prm, abs(lag(rm) OVER {W} - rm) AS mv FROM y2),
+{chained('e1', 11, 'mv').sql('y3', 'q3', 'y4')},
+{chained('e2', 11, 'e1').sql('y4', 'q4', 'y5')},
+{qqe_bands('ka', 3.0).sql('y5', 'q5', 'y6')},
+{qqe_bands('kb', 1.61).sql('y6', 'q6', 'y7')}"""
+QQE_SQL = f"""WITH RECURSIVE {walk()},
+{LAGS},
+{QQE_TABLES}
+SELECT symbol, timeframe, t, round(rm, 6) + 0.0 AS ma, round({fast('ka')}, 6) + 0.0 AS fast FROM y7"""
+
+_ce = Recur()
+_lo, _hi = "(x.ha - 2 * x.ptr)", "(x.ha + 2 * x.ptr)"
+_ce.raw("cl", "CAST(NULL AS DOUBLE)", f"CASE WHEN r.cl IS NULL THEN {_lo} WHEN x.ha > r.cl THEN greatest({_lo}, r.cl) ELSE {_lo} END")
+_ce.raw("cs", "CAST(NULL AS DOUBLE)", f"CASE WHEN r.cs IS NULL THEN {_hi} WHEN x.ha < r.cs THEN least({_hi}, r.cs) ELSE {_hi} END")
+_ce.raw("cd", "1", "CASE WHEN r.cs IS NOT NULL AND x.ha > r.cs THEN 1 WHEN r.cl IS NOT NULL AND x.ha < r.cl THEN -1 ELSE r.cd END")
+_tg = Recur()
+_enter = "(CASE WHEN x.cd = 1 AND x.pcd = -1 AND x.cu THEN 1 WHEN x.cd = -1 AND x.pcd = 1 AND x.cn THEN -1 ELSE 0 END)"
+_out = "((r.pos = 1 AND x.cn) OR (r.pos = -1 AND x.cu))"
+_tg.raw("pos", "0", f"CASE WHEN r.pos = 0 AND r.que <> 0 THEN r.que WHEN r.pos = 0 THEN {_enter} WHEN {_out} THEN 0 ELSE r.pos END")
+_tg.raw("que", "0", f"CASE WHEN r.pos = 0 THEN 0 WHEN {_out} AND {_enter} = -r.pos THEN {_enter} ELSE 0 END")
+
+
+def _line(src: str, p: int) -> str:
+    sx, sxx = (p - 1) * p / 2, (p - 1) * p * (2 * p - 1) / 6
+    sy, sxy = f"({lag_chain(src, [1] * p)})", f"({lag_chain(src, range(p))})"
+    slope = f"(({p} * {sxy} - {num(sx)} * {sy}) / {num(p * sxx - sx * sx)})"
+    return f"({sy} - {slope} * {num(sx)}) / {p} + {slope} * {p - 1}"
+
+
+MOMENTUM_SQL = f"""WITH RECURSIVE {walk()},
+{LAGS},
+{QQE_TABLES},
+{layers('y7',
+        ('m1', f"{wma('h', 30)} AS h30, {wma('h', 60)} AS h60, {wma('l', 30)} AS l30, {wma('l', 60)} AS l60, {fast('ka')} - 50 AS fo, {fast('kb')} AS fb, "
+               "lag((o + h + l + c) / 4) OVER w AS ha, lag(tr) OVER w AS ptr"),
+        ('m2', f"2 * h30 - h60 AS hd, 2 * l30 - l60 AS ld, CASE WHEN count(fo) OVER {frame(-49, 0)} = 50 THEN list(fo) OVER {frame(-49, 0)} END AS fl, {_line('ha', 50)} AS lr1"),
+        ('m3', f"{wma('hd', 8)} AS hh, {wma('ld', 8)} AS hl, list_reduce(list_prepend(0.0, fl), lambda a, z: a + z) / 50 AS fm, 2 * lr1 - ({_line('lr1', 50)}) AS zl"),
+        ('m4', f"last_value(CASE WHEN c > hh THEN 1 WHEN c < hl THEN -1 END IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY i {ALL}) AS sst, "
+               "sqrt(list_reduce(list_prepend(0.0, [(z - fm) * (z - fm) FOR z IN fl]), lambda a, z: a + z) / 50) AS fs, "
+               "coalesce(lag(ha) OVER w <= lag(zl) OVER w AND ha > zl, false) AS cu, coalesce(lag(ha) OVER w >= lag(zl) OVER w AND ha < zl, false) AS cn"),
+        ('m5', "CASE WHEN sst = -1 THEN hh ELSE hl END AS ssl"),
+        ('m6', f"count(*) FILTER ((lag_c <= lag_s AND c > ssl) OR (lag_c >= lag_s AND c < ssl)) OVER (PARTITION BY symbol ORDER BY i {ALL}) AS sx")).replace("FROM m5 WINDOW", "FROM (SELECT *, lag(c) OVER " + W + " AS lag_c, lag(ssl) OVER " + W + " AS lag_s FROM m5) WINDOW")},
+{_ce.sql('m6', 'c1', 'm7')},
+m8 AS MATERIALIZED (SELECT *, lag(cd) OVER {W} AS pcd FROM m7),
+{_tg.sql('m8', 'c2', 'm9')},
+f AS (SELECT *, lag(pos) OVER {W} AS ppos FROM m9)
+SELECT * FROM ({emit({'ssl_hybrid_qqe_flip': ("sx > 0 AND c > ssl AND rm - 50 > 3 AND rm - 50 > fm + 0.35 * fs AND fb - 50 > 0", "sx > 0 AND c < ssl AND rm - 50 < -3 AND rm - 50 < fm - 0.35 * fs AND fb - 50 < 0")}, 'f')})
+UNION ALL SELECT symbol, timeframe, 'chandelier_zlsma', t, CAST(pos AS BIGINT) FROM f WHERE pos <> 0 OR coalesce(ppos, 0) <> 0"""
+
+_ob = Recur()
+_ok = "(x.ph24 IS NOT NULL AND x.a > 0)"
+_swl, _sws = "(x.l < x.pl24 - 0.05 * x.a AND x.c > x.pl24)", "(x.h > x.ph24 + 0.05 * x.a AND x.c < x.ph24)"
+_age = "(x.i - r.at0)"
+_idle = f"({_ok} AND r.sw <> 0 AND r.zd = 0)"
+_disp = f"({_idle} AND {_age} <= 4 AND greatest(1e-12, x.h - x.l) >= 1.2 * x.a AND (x.c - x.o) * r.sw > 0)"
+# The last bar of the other colour, at most four bars before the sweep.
+_k = "(CASE WHEN r.sw = 1 THEN least(coalesce(x.kd, 99), x.i - r.at0 + 4) ELSE least(coalesce(x.ku, 99), x.i - r.at0 + 4) END)"
+_bo, _bh, _bl, _bc = (f"x.back_{z}[{_k}]" for z in "ohlc")
+_zd, _zlo, _zhi = (f"(CASE WHEN {_disp} THEN r.sw ELSE r.zd END)", f"(CASE WHEN {_disp} THEN CASE WHEN r.sw = 1 THEN {_bl} ELSE least({_bo}, {_bc}) END ELSE r.zlo END)",
+                   f"(CASE WHEN {_disp} THEN CASE WHEN r.sw = 1 THEN greatest({_bo}, {_bc}) ELSE {_bh} END ELSE r.zhi END)")
+_gone = f"({_idle} AND {_age} > 4)"
+_late = f"({_ok} AND r.zd <> 0 AND x.i > r.zu)"
+_obhit = f"({_ok} AND r.sw <> 0 AND NOT {_gone} AND NOT {_late} AND (({_zd} = 1 AND x.l <= {_zhi} AND x.c > {_zhi}) OR ({_zd} = -1 AND x.h >= {_zlo} AND x.c < {_zlo})))"
+_end = f"coalesce({_gone} OR {_late} OR {_obhit}, false)"
+_ob.raw("sw", "0", f"CASE WHEN {_ok} AND r.sw = 0 AND {_swl} THEN 1 WHEN {_ok} AND r.sw = 0 AND {_sws} THEN -1 WHEN {_end} THEN 0 ELSE r.sw END")
+_ob.raw("at0", "-1", f"CASE WHEN {_ok} AND r.sw = 0 AND ({_swl} OR {_sws}) THEN x.i ELSE r.at0 END")
+_ob.raw("zd", "0", f"CASE WHEN {_end} THEN 0 ELSE {_zd} END").raw("zlo", "CAST(NULL AS DOUBLE)", _zlo).raw("zhi", "CAST(NULL AS DOUBLE)", _zhi)
+_ob.raw("zu", "-1", f"CASE WHEN {_disp} THEN x.i + 20 ELSE r.zu END")
+_ob.raw("ob_s", "0", f"CASE WHEN {_obhit} THEN {_zd} ELSE 0 END")
+# Scored zones: a list of (side, price, born), newest last.
+_new = ("list_concat(r.zs, list_filter([{'d': -1, 'p': x.vh2, 'b': x.i}, {'d': 1, 'p': x.vl2, 'b': x.i}], "
+        "lambda z: z.p IS NOT NULL AND (CASE WHEN x.v20 > 0 THEN x.v2 / x.v20 ELSE 1 END) + (CASE WHEN x.a > 0 THEN abs(x.c - x.c2) / x.a ELSE 0 END) >= 1.8))")
+_zs = f"({_new})[-40:]"
+_hits = (f"list_filter({_zs}, lambda z: x.a > 0 AND x.i - z.b >= 2 AND ((z.d = 1 AND abs(x.l - z.p) <= 0.25 * x.a AND x.c > z.p) OR (z.d = -1 AND abs(x.h - z.p) <= 0.25 * x.a AND x.c < z.p)))")
+_ob.raw("zs", "CAST([] AS STRUCT(d INTEGER, p DOUBLE, b BIGINT)[])", f"CASE WHEN len({_hits}) > 0 THEN list_filter({_zs}, lambda z: z <> ({_hits})[-1]) ELSE {_zs} END")
+_ob.raw("zs_s", "0", f"CASE WHEN len({_hits}) > 0 THEN ({_hits})[-1].d ELSE 0 END")
+BLOCKS_SQL = f"""WITH RECURSIVE {walk()},
+{LAGS},
+{ATR},
+q0 AS MATERIALIZED (SELECT *, {ranges((24,))}, {pivots(2)}, CASE WHEN i >= 19 THEN (sum(v) OVER {frame(-19, 0)}) / 20 END AS v20, lag(v, 2) OVER {W} AS v2, lag(c, 2) OVER {W} AS c2,
+  {', '.join(f"list_reverse(list({z}) OVER {frame(-9, -1)}) AS back_{z}" for z in "ohlc")}, list_reverse(list(c - o) OVER {frame(-9, -1)}) AS back_d FROM xa),
+q AS MATERIALIZED (SELECT *, list_position([z < 0 FOR z IN back_d], true) AS kd, list_position([z > 0 FOR z IN back_d], true) AS ku FROM q0),
+{_ob.sql('q', 'ro', 'f')}
+{emit_columns({'sr25_lsob': 'ob_s', 'sr25_kernel_supply_demand': 'zs_s'}, 'f')}"""
