@@ -272,7 +272,8 @@ def _gate(spark, sf):
     return decided(spark, sf).select("event_id", "verdict", "reason", "warnings", "entry_depth", "exit_depth", "max_notional", "snapshot_t")
 
 
-@check("decision_ids")
+@check("decision_ids", f"""{EV}, {ARMED}, {SNAPS}, {AS_OF}, {GATED} SELECT event_id, 'dec_' || sha256('{{"event_id":"' || event_id || '","policy_version":"demo11-exec-v1","reason":' || coalesce('"' || reason || '"', 'null') || ',"snapshot_t":'
+  || coalesce(CAST(snapshot_t AS VARCHAR), 'null') || ',"verdict":"' || verdict || '"}}')[1:32] AS decision_id FROM gd""")
 def _ids(spark, sf):
     return decided(spark, sf).select("event_id", "decision_id")
 
@@ -591,7 +592,8 @@ def _rules(spark, sf):
     return D.order_rule_screen(orders, rules).select("k", "p", "q", "reject_reason")
 
 
-@check("stable_ids")
+@check("stable_ids", """WITH f AS (SELECT o_orderkey AS symbol, 'fill_' || sha256('{"eventTime":' || epoch_ms(o_orderdate) || ',"symbol":' || o_orderkey || ',"tradeId":' || o_custkey || '}')[1:32] AS fill_id FROM orders)
+SELECT symbol, fill_id, 'int_' || sha256('["' || fill_id || '","x"]')[1:32] AS intent_id FROM f""")
 def _stable(spark, sf):
     o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("symbol"), F.col("o_custkey").alias("tradeId"), ms("o_orderdate").alias("eventTime"))
     fill = D.stable_id("fill_", "symbol", "tradeId", "eventTime")

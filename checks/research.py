@@ -154,7 +154,17 @@ def _no_stress(spark, sf):
     return T.evaluate(trade_table(spark, sf), F.lit(START), F.lit(END), least=F.lit(5), require_stress=False).select(*BY.split(", "), "n", "net", "pass")
 
 
-@check("whole_catalogue_scan")
+def catalogue_sql() -> str:
+    """Signals of all strategies, each group by its own SQL, through trades and metrics."""
+    from checks.strategies import GROUPS
+
+    groups = " UNION ALL ".join(f"SELECT symbol, timeframe, strategy_id, t, sig FROM ({sql})" for _, sql in GROUPS.values())
+    return f"""WITH {walk()}, sa AS MATERIALIZED ({groups}), nx AS (SELECT symbol, t, i, lead(t) OVER w AS nt, lead(o) OVER w AS no FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY i)),
+sg AS MATERIALIZED (SELECT sa.symbol, timeframe, strategy_id, sa.t, sig, i, nt, no FROM sa JOIN nx ON nx.symbol = sa.symbol AND nx.t = sa.t), {trade_cte(out='tr0')}, tr AS (SELECT * FROM tr0 WHERE side <> 0),
+{result_cte('tr', BY, str(START), str(END), '25')} SELECT {RES_OUT} FROM res"""
+
+
+@check("whole_catalogue_scan", catalogue_sql())
 def _scan(spark, sf):
     return result_columns(result_table(spark, sf, None))
 
@@ -240,7 +250,12 @@ def _matrix(spark, sf):
     return G.robustness_matrix(_rows(spark, sf), min_n=10).drop("reason")
 
 
-@check("acceptance_report")
+@check("acceptance_report", f"""{STUDY},\n{STATS_CTE},\n{DECIDE}, gd AS (SELECT symbol, timeframe, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS d FROM bars),
+gm AS (SELECT symbol, d AS m FROM (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, d) AS k FROM gd WHERE d > 0 GROUP BY 1, 2) WHERE k = 1),
+gq AS (SELECT gd.symbol, timeframe, NOT bool_or(coalesce(d / m > 1.5, false)) AS ok FROM gd JOIN gm ON gm.symbol = gd.symbol GROUP BY 1, 2),
+pr AS (SELECT symbol, string_agg(kind, ',' ORDER BY kind) FILTER (status = 'PASS') AS kinds FROM mx GROUP BY 1)
+SELECT gq.symbol, timeframe, ok AS quality_pass, CASE WHEN ok THEN coalesce(kinds, '') ELSE '' END AS promotable,
+  CASE WHEN NOT ok THEN 'DATA_QUALITY_FAIL' WHEN kinds IS NOT NULL THEN 'PROMOTABLE_SETUP_FOUND' ELSE 'NO_PROMOTABLE_SETUP' END AS verdict FROM gq JOIN pr ON pr.symbol = gq.symbol""")
 def _acceptance(spark, sf):
     b = bars(spark, sf)
     quality = B.quality_report(b, "t", chunk_size=2_592_000_000)

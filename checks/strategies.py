@@ -19,8 +19,7 @@ GROUPS = {
     "signals_oscillators": (list(S.OSC_RULES), S.OSC_SQL),
     "signals_momentum_filter": (["ssl_hybrid_qqe_flip", "chandelier_zlsma"], S.MOMENTUM_SQL),
     "signals_order_blocks": (["sr25_lsob", "sr25_kernel_supply_demand"], S.BLOCKS_SQL),
-    "signals_swing_patterns": (["fib_golden_pocket", "fib_retrace_382", "fib_retrace_500", "fib_retrace_618", "fib_retrace_786",
-                                "elliott_w2_w3", "elliott_w4_w5", "elliott_abc", "harmonic_prz"], None),
+    "signals_swing_patterns": (list(S.SWING_RULES), S.SWINGS_SQL),
 }
 
 

@@ -613,3 +613,60 @@ q0 AS MATERIALIZED (SELECT *, {ranges((24,))}, {pivots(2)}, CASE WHEN i >= 19 TH
 q AS MATERIALIZED (SELECT *, list_position([z < 0 FOR z IN back_d], true) AS kd, list_position([z > 0 FOR z IN back_d], true) AS ku FROM q0),
 {_ob.sql('q', 'ro', 'f')}
 {emit_columns({'sr25_lsob': 'ob_s', 'sr25_kernel_supply_demand': 'zs_s'}, 'f')}"""
+
+# --- swing patterns ---------------------------------------------------------------------------------------
+
+_sw = Recur()
+_last = "r.sw[-1]"
+_ev = (f"(CASE WHEN x.vh3 IS NOT NULL AND (x.vl3 IS NULL OR len(r.sw) = 0 OR {_last}.k <> 'H') THEN {{'k': 'H', 'p': x.vh3, 'j': x.i - 3}} "
+       f"WHEN x.vl3 IS NOT NULL THEN {{'k': 'L', 'p': x.vl3, 'j': x.i - 3}} END)")
+_sw.raw("sw", "CAST([] AS STRUCT(k VARCHAR, p DOUBLE, j BIGINT)[])",
+        f"CASE WHEN {_ev} IS NULL THEN r.sw WHEN len(r.sw) = 0 THEN [{_ev}] WHEN {_ev}.k <> {_last}.k THEN CASE WHEN {_ev}.j > {_last}.j THEN list_append(r.sw, {_ev})[-8:] ELSE r.sw END "
+        f"WHEN ({_ev}.k = 'H' AND {_ev}.p > {_last}.p) OR ({_ev}.k = 'L' AND {_ev}.p < {_last}.p) THEN list_append(r.sw[:-2], {_ev}) ELSE r.sw END")
+_P = [f"sw[-{n}].p" for n in range(1, 6)]
+
+
+def _ret(ratio: float, far: float | None = None) -> str:
+    up, dn = f"(p1 - {ratio} * (p1 - p2))", f"(p1 + {ratio} * (p2 - p1))"
+    in_up = "true" if far is None else f"h >= p1 - {far} * (p1 - p2)"
+    in_dn = "true" if far is None else f"l <= p1 + {far} * (p2 - p1)"
+    return (f"CASE WHEN n < 2 OR NOT abs(p1 - p2) >= 2.5 * a THEN 0 WHEN k1 = 'H' AND l <= {up} AND c > {up} AND c > o AND {in_up} THEN 1 "
+            f"WHEN k1 = 'L' AND h >= {dn} AND c < {dn} AND c < o AND {in_dn} THEN -1 ELSE 0 END")
+
+
+def _wave(m: int, cond: str) -> str:
+    return f"CASE WHEN n >= {m} AND brk AND ({cond}) THEN sd ELSE 0 END"
+
+
+_H = " OR ".join(
+    f"(({{0}}) BETWEEN {b[0]} AND {b[1]} AND ({{1}}) BETWEEN {c[0]} AND {c[1]} AND ({{2}}) BETWEEN {d[0]} AND {d[1]} AND ({{3}}) BETWEEN {e[0]} AND {e[1]})"
+    for b, c, d, e in (((0.55, 0.70), (0.382, 0.886), (0.72, 0.86), (1.10, 1.80)), ((0.30, 0.55), (0.382, 0.886), (0.82, 0.95), (1.50, 2.80)),
+                       ((0.70, 0.86), (0.382, 0.886), (1.18, 1.70), (1.50, 2.50)), ((0.30, 0.70), (0.382, 0.886), (1.45, 1.80), (2.00, 4.00))))
+SWING_RULES = {
+    "fib_golden_pocket": (2, _ret(0.618, 0.67)), "fib_retrace_382": (2, _ret(0.382)), "fib_retrace_500": (2, _ret(0.5)),
+    "fib_retrace_618": (2, _ret(0.618)), "fib_retrace_786": (2, _ret(0.786)),
+    "elliott_w2_w3": (3, _wave(3, "q2 - q3 >= 2.5 * a AND q1 > q3 AND (q2 - q1) / (q2 - q3) BETWEEN 0.382 AND 0.786")),
+    "elliott_w4_w5": (5, _wave(5, "q4 - q5 >= 2.5 * a AND q3 > q5 AND q2 > q4 AND q1 > q4 AND (q4 - q3) / (q4 - q5) BETWEEN 0.382 AND 0.786 AND (q2 - q1) / (q2 - q3) BETWEEN 0.236 AND 0.5")),
+    "elliott_abc": (4, _wave(4, "q4 - q3 >= 2.5 * a AND q2 < q4 AND q1 < q3 AND (q2 - q3) / (q4 - q3) BETWEEN 0.382 AND 0.786 AND (q2 - q1) / (q4 - q3) BETWEEN 0.618 AND 1.618")),
+    "harmonic_prz": (5, _wave(5, "q4 - q5 >= 2.5 * a AND q4 > q3 AND q2 > q3 AND (" + _H.format("(q4 - q3) / (q4 - q5)", "(q2 - q3) / (q4 - q3)", "(q4 - q1) / (q4 - q5)", "(q2 - q1) / (q2 - q3)") + ")")),
+}
+_hold = Recur()
+for _n, _rule in enumerate(SWING_RULES):
+    _new = f"(x.e{_n} <> 0 AND x.e{_n} <> r.t{_n})"
+    _pos, _until = f"(CASE WHEN {_new} THEN x.e{_n} ELSE r.t{_n} END)", f"(CASE WHEN {_new} THEN x.i + 12 ELSE r.u{_n} END)"
+    _hold.raw(f"t{_n}", "0", f"CASE WHEN {_pos} <> 0 AND x.i >= {_until} THEN 0 ELSE {_pos} END")
+    _hold.raw(f"u{_n}", "-1", f"CASE WHEN {_pos} <> 0 AND x.i >= {_until} THEN -1 ELSE {_until} END")
+SWINGS_SQL = f"""WITH RECURSIVE {walk()},
+{LAGS},
+{ATR},
+q AS MATERIALIZED (SELECT *, {pivots(3)}, {ranges((3,))} FROM xa),
+{_sw.sql('q', 'r1', 'w1')},
+w2 AS MATERIALIZED (SELECT *, len(sw) AS n, sw[-1].k AS k1, {', '.join(f'{x} AS p{j}' for j, x in enumerate(_P, 1))}, CASE WHEN sw[-1].k = 'L' THEN 1 ELSE -1 END AS sd,
+  {', '.join(f"CASE WHEN sw[-1].k = 'L' THEN {x} ELSE -{x} END AS q{j}" for j, x in enumerate(_P, 1))}, CASE WHEN sw[-1].k = 'L' THEN c > ph3 ELSE c < pl3 END AS brk FROM w1 WHERE a > 0),
+w3 AS (SELECT symbol, i, sw, unnest([{', '.join(f"{{'r': {j}, 'm': {m}, 'e': coalesce({e}, 0)}}" for j, (m, e) in enumerate(SWING_RULES.values()))}]) AS z FROM w2),
+w4 AS (SELECT symbol, i, z.r AS r, z.e AS e, row_number() OVER (PARTITION BY symbol, z.r, array_to_string([y.j FOR y IN sw[-z.m:]], '-') ORDER BY i) AS k FROM w3 WHERE z.e <> 0),
+w5 AS MATERIALIZED (SELECT b.symbol, b.timeframe, b.t, b.i, {', '.join(f'coalesce(max(e) FILTER (r = {j}), 0) AS e{j}' for j in range(9))} FROM q b LEFT JOIN (SELECT * FROM w4 WHERE k = 1) w ON w.symbol = b.symbol AND w.i = b.i GROUP BY 1, 2, 3, 4),
+{_hold.sql('w5', 'r2', 'f')},
+g AS (SELECT symbol, timeframe, t, i, unnest([{', '.join(f"{{'id': '{r}', 'p': t{j}}}" for j, r in enumerate(SWING_RULES))}]) AS z FROM f),
+v AS (SELECT symbol, timeframe, z.id AS strategy_id, t, z.p AS sig, lag(z.p) OVER (PARTITION BY symbol, z.id ORDER BY i) AS ps FROM g)
+SELECT symbol, timeframe, strategy_id, t, CAST(sig AS BIGINT) AS sig FROM v WHERE sig <> 0 OR coalesce(ps, 0) <> 0"""
