@@ -20,7 +20,7 @@ import pickle
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +30,7 @@ from barlight.session import reliable_checkpoint
 SERIES = ("symbol", "timeframe")
 BLOCK = "block"
 INDEX = "i"
-DEFAULT_BLOCK_ROWS = 262_144
+DEFAULT_BLOCK_ROWS = 131_072
 
 
 def series_keys(df: DataFrame) -> list[str]:
@@ -109,17 +109,25 @@ class Scan:
     outputs: tuple[str, ...]
 
 
-def _run_rows(pdf: pd.DataFrame, scans: Sequence[Scan], objs: list) -> dict[str, list]:
-    out: dict[str, list] = {}
+def _in_time_order(table: pa.Table) -> pa.Table:
+    t = table["t"].to_numpy()
+    return table if (t[1:] >= t[:-1]).all() else table.sort_by("t")
+
+
+def _with_outputs(table: pa.Table, scans: Sequence[Scan], objs: list) -> pa.Table:
+    """Append each recurrence's outputs; the other columns stay Arrow buffers."""
+    cols: dict[str, list[float]] = {}
     for scan, obj in zip(scans, objs):
         step = obj.step
-        rows = [step(*row) for row in zip(*(pdf[c].tolist() for c in scan.inputs))]
-        if len(scan.outputs) == 1:
-            out[scan.outputs[0]] = rows
-        else:
-            for name, values in zip(scan.outputs, zip(*rows)):
-                out[name] = values
-    return out
+        for c in scan.inputs:
+            if c not in cols:
+                cols[c] = table[c].cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
+        rows = [step(*row) for row in zip(*(cols[c] for c in scan.inputs))]
+        outs = [rows] if len(scan.outputs) == 1 else zip(*rows)
+        for name, values in zip(scan.outputs, outs):
+            # nan becomes NULL.
+            table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
+    return table
 
 
 def scan_series(df: DataFrame, scans: Sequence[Scan]) -> DataFrame:
@@ -129,13 +137,11 @@ def scan_series(df: DataFrame, scans: Sequence[Scan]) -> DataFrame:
     schema = T.StructType([*df.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]])
     if BLOCK in df.columns:
         return _scan_blocks(df, scans, schema)
-    keys = series_keys(df)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable", ignore_index=True)
-        return pdf.assign(**_run_rows(pdf, scans, [s.make() for s in scans]))
+    def run(table: pa.Table) -> pa.Table:
+        return _with_outputs(_in_time_order(table), scans, [s.make() for s in scans])
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+    return df.groupBy(*series_keys(df)).applyInArrow(run, schema)
 
 
 def _scan_blocks(df: DataFrame, scans: list[Scan], schema: T.StructType) -> DataFrame:
@@ -143,20 +149,18 @@ def _scan_blocks(df: DataFrame, scans: list[Scan], schema: T.StructType) -> Data
     whole = [k for k in keys if k != BLOCK]
     full = T.StructType([*schema.fields, T.StructField("_end", T.BinaryType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("t", kind="stable", ignore_index=True)
-        start = pdf["_start"].iloc[0]
+    def run(table: pa.Table) -> pa.Table:
+        start = table["_start"][0].as_py()
         objs = pickle.loads(start) if start is not None else [s.make() for s in scans]
-        out = pdf.drop(columns="_start").assign(**_run_rows(pdf, scans, objs))
-        out["_end"] = [None] * (len(out) - 1) + [pickle.dumps(objs)]
-        return out
+        out = _with_outputs(_in_time_order(table.drop_columns(["_start"])), scans, objs)
+        ends = [None] * (out.num_rows - 1) + [pickle.dumps(objs)]
+        return out.append_column("_end", pa.array(ends, pa.binary()))
 
     def execute(blocks: DataFrame, starts: DataFrame) -> DataFrame:
         # One state per block: the state table grows with blocks, not with rows.
-        return blocks.join(starts, keys, "left").groupBy(*keys).applyInPandas(run, full)
+        return blocks.join(starts, keys, "left").groupBy(*keys).applyInArrow(run, full)
 
-    blank = df.select(*keys).distinct().withColumn("_start", F.lit(None).cast("binary"))
-    used = reliable_checkpoint(blank)
+    used = reliable_checkpoint(df.select(*keys).distinct().withColumn("_start", F.lit(None).cast("binary")))
     done = reliable_checkpoint(execute(df, used))
     order = Window.partitionBy(*whole).orderBy(BLOCK)
     while True:
@@ -164,16 +168,13 @@ def _scan_blocks(df: DataFrame, scans: list[Scan], schema: T.StructType) -> Data
         wanted = ends.select(*keys, F.lag("_end").over(order).alias("_want"))
         both = wanted.join(used, keys)
         stale = reliable_checkpoint(
-            both.where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*keys, F.col("_want").alias("_start"))
-        )
+            both.where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*keys, F.col("_want").alias("_start")))
         if stale.isEmpty():
             return done.drop("_end")
         redo = execute(df.join(stale.select(*keys), keys, "left_semi"), stale)
         kept = done.join(stale.select(*keys), keys, "left_anti")
         done = reliable_checkpoint(kept.unionByName(redo))
-        used = reliable_checkpoint(
-            used.join(stale.select(*keys), keys, "left_anti").unionByName(stale)
-        )
+        used = reliable_checkpoint(used.join(stale.select(*keys), keys, "left_anti").unionByName(stale))
 
 
 # --- lag and lead over sparse rows -------------------------------------------
