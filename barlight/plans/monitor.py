@@ -248,7 +248,6 @@ def proximity(bars: DataFrame, longest: int | None = None) -> DataFrame:
     The newest bar may be the running one; nothing here is a signal.
     """
     from barlight.strategies import levels as V
-    from barlight.strategies import steps as P
     from barlight.functions.study import _Make
 
     s = Study.for_bars(bars, L.longest_series(bars) if longest is None else longest)

@@ -9,17 +9,17 @@ from barlight.functions.study import Study, _Make
 from barlight.strategies import steps as P
 from barlight.strategies.registry import TARGET, cross_over, cross_under, crosses, sided, strategy
 
-KIVANC, OPEN = "kivanc-core-v1", "tv-open-v1"
+CORE, OPEN = "kivanc-core-v1", "tv-open-v1"
 
 
-@strategy("pmax", "PMax Explorer", "trend_atr", KIVANC)
+@strategy("pmax", "PMax Explorer", "trend_atr", CORE)
 def pmax(s: Study) -> Column:
     s.true_range()
     s.scan(_Make(P.PMax), ["c", "tr"], ["pmax_ma", "pmax_line"])
     return crosses(s, "pmax_ma", "pmax_line")
 
 
-@strategy("alphatrend", "AlphaTrend", "trend_volume_atr", KIVANC)
+@strategy("alphatrend", "AlphaTrend", "trend_volume_atr", CORE)
 def alphatrend(s: Study) -> Column:
     s.true_range()
     s.sma("tr", 14)
@@ -35,13 +35,13 @@ def _two_bars_back(s: Study, ma: str, up: str, dn: str) -> Column:
     return sided((i >= 4) & (m1 <= u3) & (m > u2), (i >= 4) & (m1 >= d3) & (m < d2))
 
 
-@strategy("ott", "Optimized Trend Tracker", "adaptive_trend", KIVANC)
+@strategy("ott", "Optimized Trend Tracker", "adaptive_trend", CORE)
 def ott(s: Study) -> Column:
     s.ott(2, 1.4, "ott")
     return _two_bars_back(s, "ott_ma", "ott_line", "ott_line")
 
 
-@strategy("tott", "Twin Optimized Trend Tracker", "adaptive_trend", KIVANC)
+@strategy("tott", "Twin Optimized Trend Tracker", "adaptive_trend", CORE)
 def tott(s: Study) -> Column:
     _, line = s.ott(40, 1, "tott")
     s.row("tott_up", line * 1.006, ["tott_line"])
@@ -49,7 +49,7 @@ def tott(s: Study) -> Column:
     return _two_bars_back(s, "tott_ma", "tott_up", "tott_dn")
 
 
-@strategy("mavilimw", "MavilimW", "smoothed_trend", KIVANC)
+@strategy("mavilimw", "MavilimW", "smoothed_trend", CORE)
 def mavilimw(s: Study) -> Column:
     src = "c"
     for p in (3, 5, 8, 13, 21, 34):

@@ -8,7 +8,7 @@ from barlight.operators import bars as B
 from barlight.plans import boards as P
 from barlight.sources.files import normalize_columns, universe
 from barlight.sources.ticks import ticks_to_bars
-from checks.base import bars, check, frame, r6, sql_bars, sql_ticks, table, ticks, walk
+from checks.base import bars, check, r6, sql_bars, sql_ticks, table, ticks, walk
 
 OUT = "symbol, timeframe, t, o, h, l, c, v"
 START, END = 1_704_067_200_000, 1_706_659_200_000  # 2024-01-01 and 2024-01-31, UTC

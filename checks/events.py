@@ -7,10 +7,9 @@ from pyspark.sql import functions as F
 from barlight.operators import trades as T
 from barlight.plans import decisions as D
 from barlight.plans import monitor as M
-from barlight.strategies.registry import signals
 from checks import strategy_sql as S
-from checks.base import bars, bound, check, frame, prior, r6, table, walk
-from checks.research import BY, IDS, TARGET_CTE, signal_cte, signal_table, target_signals
+from checks.base import bars, bound, check, r6, table, walk
+from checks.research import BY, IDS, signal_cte, signal_table
 
 KEYS = BY.split(", ")
 NOW = 1_706_659_200_000

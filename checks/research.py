@@ -8,23 +8,19 @@ from barlight.operators import bars as B
 from barlight.operators import features as X
 from barlight.operators import gates as G
 from barlight.operators import trades as T
-from barlight.plans import boards as P
 from barlight.strategies.registry import registry_frame, signals
 from barlight.strategies.sweeps import direction_filter, range_reclaim
 from checks import strategy_sql as S
-from checks.base import bars, bound, check, frame, prior, r6, sql_bars, sql_ticks, table, walk
+from checks.base import bars, bound, check, frame, r6, sql_bars, sql_ticks, table, walk
 from checks.indicators import FEATURES_CTE, SETUPS_CTE
 
 START, END = 1_704_067_200_000, 1_706_745_600_000
 LATE_START = 1_704_412_800_000
-W_SYM = "(PARTITION BY symbol, strategy_id ORDER BY i)"
 
 # A few window-only strategies make the signal table of the SQL side.
 RULES = {"sr25_donchian_breakout": ("c > ph20", "c < pl20"), "vis_sr_breaks": ("c > ph50", "c < pl50"),
          "vis_fractal_breakout": ("pc <= ph5 AND c > ph5", "pc >= pl5 AND c < pl5"),
          "vis_candlestick_reversal": ("c > o AND pc < po AND o <= pc AND c >= po", "c < o AND pc > po AND o >= pc AND c <= po")}
-FAMILY = {"sr25_donchian_breakout": "support_resistance", "vis_sr_breaks": "breakout", "vis_fractal_breakout": "breakout",
-          "vis_candlestick_reversal": "price_action"}
 IDS = list(RULES)
 
 
@@ -101,9 +97,6 @@ def result_columns(df):
         *BY.split(", "), "n", "posseg", "long_n", "short_n", "min_trades", "pass", *RES_COLS)
 
 
-ENTRY_RULE = {"sr25_donchian_breakout": RULES["sr25_donchian_breakout"]}
-
-
 @check("flagship_channel_break", f"""WITH {walk()}, {signal_cte()}, {trade_cte("(SELECT * FROM sg WHERE strategy_id = 'sr25_donchian_breakout')")},
 {result_cte('tr', BY, str(START), str(END), '25')},
 k AS (SELECT *, row_number() OVER (PARTITION BY strategy_id, timeframe ORDER BY net DESC, symbol) AS rank FROM res)
@@ -282,10 +275,6 @@ def _tuned(spark, sf):
 
 # --- months -----------------------------------------------------------------------------
 
-# Five-day pieces of the month stand for months: the walk covers a single one.
-PIECE = 432_000_000
-
-
 @check("monthly_roll_forward", f"""WITH {walk('1h')}, {signal_cte()}, {trade_cte()}, wn AS (SELECT '2024-01' AS month, {START} AS s, {END} AS e),
 m AS (SELECT {BY}, strftime(make_timestamp(exit_t * 1000), '%Y-%m') AS month, gross * 1000 - 1.4 AS profit, exit_t FROM tr),
 a AS (SELECT {BY}, month, count(*) AS n, sum(profit) AS p, coalesce(sum(profit) FILTER (profit > 0), 0) AS gw, coalesce(sum(profit) FILTER (profit < 0), 0) AS gl,
@@ -294,7 +283,7 @@ SELECT {BY}, month, n, {r6('p')} AS net_profit, 10000.0 AS start_equity, {r6('p
   (g0 > 0)::INT + (g1 > 0)::INT + (g2 > 0)::INT AS posseg, n >= 3 AND p > 0 AND (CASE WHEN gl < 0 THEN gw / -gl WHEN gw > 0 THEN 999 ELSE 0 END) > 1.05 AND (g0 > 0)::INT + (g1 > 0)::INT + (g2 > 0)::INT >= 2 AS pass FROM a""")
 def _roll(spark, sf):
     t = trade_table(spark, sf, timeframe="1h").withColumn("profit", F.col("gross") * 1000 - 1.4)
-    return G.T.monthly_roll_forward(t, B.month_windows(spark, START, END), BY.split(", "), 10_000.0, 3)
+    return T.monthly_roll_forward(t, B.month_windows(spark, START, END), BY.split(", "), 10_000.0, 3)
 
 
 # Long histories: line items as currency trades over seven years.

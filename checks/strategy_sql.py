@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from checks.base import W, Recur, frame, lag_chain, num, prior, walk
 
 LAGS = f"""x AS MATERIALIZED (
@@ -316,9 +318,7 @@ def bands(n: str, mean: str, width: str, on: str, first: str, seed_on: bool) ->
     """Two trailing bands and the side in force; ``on`` once defined, ``first`` on the first defined bar."""
     lo, hi = f"({mean} - {width})", f"({mean} + {width})"
     nul = "CAST(NULL AS DOUBLE)"
-    sub = lambda e: e.replace("r.", "x.") if False else e
-    s_lo = sub(lo) if seed_on else nul
-    s_hi = sub(hi) if seed_on else nul
+    s_lo, s_hi = (lo, hi) if seed_on else (nul, nul)
     _t.raw(f"{n}_lo", s_lo, f"CASE WHEN NOT ({on}) THEN {nul} WHEN ({first}) THEN {lo} WHEN {mean} > r.{n}_lo THEN greatest({lo}, r.{n}_lo) ELSE {lo} END")
     _t.raw(f"{n}_hi", s_hi, f"CASE WHEN NOT ({on}) THEN {nul} WHEN ({first}) THEN {hi} WHEN {mean} < r.{n}_hi THEN least({hi}, r.{n}_hi) ELSE {hi} END")
     _t.raw(f"{n}_d", "1", f"CASE WHEN NOT ({on}) OR ({first}) THEN r.{n}_d WHEN r.{n}_d = -1 AND {mean} > r.{n}_hi THEN 1 WHEN r.{n}_d = 1 AND {mean} < r.{n}_lo THEN -1 ELSE r.{n}_d END")
@@ -430,7 +430,7 @@ def reenter(lo: str, hi: str) -> tuple[str, str]:
     return f"pc < {lo} AND c >= {lo}", f"pc > {hi} AND c <= {hi}"
 
 
-_krn = [__import__("math").exp(-(k * k) / (2 * (30 / 3) * (30 / 3))) for k in range(30)]
+_krn = [math.exp(-(k * k) / (2 * (30 / 3) * (30 / 3))) for k in range(30)]
 KERNEL = "(" + " + ".join(f"{num(w)} * " + ("c" if k == 0 else f"lag(c, {k}) OVER w") for k, w in enumerate(_krn)) + f") / {num(sum(_krn))}"
 SHAPE_RULES = {
     "mavilimw": (f"lag(mv) OVER {W} - lag(mv, 2) OVER {W} <= 0 AND mv - lag(mv) OVER {W} > 0", f"lag(mv) OVER {W} - lag(mv, 2) OVER {W} >= 0 AND mv - lag(mv) OVER {W} < 0"),
