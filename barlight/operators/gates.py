@@ -291,7 +291,7 @@ def annotate_recovery(monthly: DataFrame, variants: DataFrame, holdout: int = 0)
     ``monthly`` has (symbol, timeframe, variantId, month, eligible, pass).
     """
     by = [*SERIES, "variantId"]
-    rows = monthly.join(F.broadcast(variants.select("variantId", "baseline")), "variantId")
+    rows = monthly.join(variants.select("variantId", "baseline"), "variantId")
     base = rows.where("baseline").groupBy(*SERIES, "month").agg(
         F.max(F.when(F.col("eligible") & F.col("pass"), 1).otherwise(0)).alias("base_pass"),
         F.max(F.when(F.col("eligible"), 1).otherwise(0)).alias("base_eligible"))

@@ -146,9 +146,8 @@ def range_reclaim(study_bars: DataFrame, variants: DataFrame, lookbacks: list[in
                   longest: int | None = None) -> DataFrame:
     """Non-zero signals of every variant of the range sweep.
 
-    One pair of range columns per distinct lookback; the variants (a few
-    hundred rows at most, checked) are joined to the bars that pass the
-    loosest test, so the product stays sparse.
+    One pair of range columns per distinct lookback; the variants meet only the
+    bars that sweep a level of their lookback, so the product stays sparse.
     """
     from barlight.operators import layout as L
 
@@ -157,9 +156,8 @@ def range_reclaim(study_bars: DataFrame, variants: DataFrame, lookbacks: list[in
     a = s.atr(atr_period)
     levels = F.array(*[F.struct(F.lit(p).alias("lookback"), s.prior_high(p).alias("hi"), s.prior_low(p).alias("lo"))
                        for p in lookbacks])
-    keys = [c for c in ("symbol", "timeframe", "part", "block")]
     bars = s.frame()
-    keys = [k for k in keys if k in bars.columns]
+    keys = [k for k in ("symbol", "timeframe", "part", "block") if k in bars.columns]
     swept = (
         bars.where(a > 0)
         .select(*keys, "t", "next_t", "next_o", "o", "h", "l", "c", a.alias("a"), F.explode(levels).alias("r"))
