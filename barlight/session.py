@@ -46,16 +46,26 @@ def local_session(cores: str = "8", partitions: int = 8, app: str = "barlight")
     return spark
 
 
-def reliable_checkpoint(df):
-    """Cut the lineage of ``df`` in the folder the cluster names.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    The folder is read from ``spark.checkpoint.dir``; only where it is unset
-    (tests) is one of our own put in its place.
+    Where it is unset a local master (tests) gets one of its own; a cluster must name one,
+    as a machine-local folder would hide files from the other machines.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         folder = sc.getConf().get("spark.checkpoint.dir")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+            folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        sc.setCheckpointDir(folder)
+    return sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+
+
+def reliable_checkpoint(df):
+    """Cut the lineage of ``df`` in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
