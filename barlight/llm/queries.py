@@ -5,11 +5,51 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import simhash
-from barlight.llm.common import ORACLES, QUERIES, query, table  # noqa: F401
+from barlight.llm import sharding, simhash, toxicity, url_filter
+from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
 @query("op10_simhash_near_dedup")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query("op6_virtual_slot_shards")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = sharding.shard_documents(spark, table(spark, sf_dir, "documents"), 24, shared_folder(spark, "slot-map"))
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "next_shard")
+
+
+# The rules of the query.
+URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow")]
+
+OP8_SQL = """
+WITH rules(rh, rp, v) AS (VALUES """ + ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES) + r"""),
+cut AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM cut),
+parts AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM hosts),
+fits AS (SELECT page_id, rh || rp AS rule, v, row_number() OVER (PARTITION BY page_id ORDER BY length(rh || rp) DESC, length(rh) DESC) AS k
+  FROM parts JOIN rules ON (host = rh OR host LIKE '%.' || rh) AND starts_with(path, rp))
+SELECT p.page_id, p.host, p.path, f.rule, coalesce(f.v, 'allow') AS verdict FROM parts p LEFT JOIN fits f ON f.page_id = p.page_id AND f.k = 1"""
+
+
+@query("op8_sorted_digest_url_filter", OP8_SQL)
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    return url_filter.judged(table(spark, sf_dir, "pages"), url_filter.build_index(spark, rules), "page_id", "url").withColumnRenamed("id", "page_id")
+
+
+def is_held_out(doc_id) -> object:
+    """Rows that nothing is learned from."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string")), F.lit(4)) == 2
+
+
+@query("op7_boosted_toxicity")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~is_held_out("doc_id")))
+    out = toxicity.scored(docs, model)
+    return out.select(F.col("id").alias("doc_id"), is_held_out("id").alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
