@@ -58,7 +58,9 @@ def build_index(spark: SparkSession, rules: DataFrame) -> str:
             blocks.write(bytes([bool(r.block)]))
             lengths.add(len(r.path))
     np.array(sorted(lengths), dtype=np.int64).tofile(folder / "lengths")
-    spark.sparkContext.addFile(str(folder), recursive=True)
+    for f in list(folder.iterdir()):
+        f = f.rename(folder / f"{folder.name}-{f.name}")
+        spark.sparkContext.addFile(str(f))
     return folder.name
 
 
@@ -66,14 +68,13 @@ class DigestArray:
     """The mapped index in a task."""
 
     def __init__(self, name: str):
-        at = Path(SparkFiles.get(name))
-
         def mapped(file: str, kind):
-            return np.memmap(at / file, dtype=kind, mode="r") if (at / file).stat().st_size else np.zeros(0, kind)
+            at = Path(SparkFiles.get(f"{name}-{file}"))
+            return np.memmap(at, dtype=kind, mode="r") if at.stat().st_size else np.zeros(0, kind)
 
         self.keys, self.ends = mapped("digests", np.uint64), mapped("ends", np.int64)
         self.strings, self.blocks = mapped("strings", np.uint8), mapped("blocks", np.uint8)
-        self.lengths = np.fromfile(at / "lengths", dtype=np.int64).tolist()
+        self.lengths = mapped("lengths", np.int64).tolist()
 
     def find(self, digests: np.ndarray, texts: list[bytes]) -> np.ndarray:
         """Row of each probe or -1: binary search for all at once, then the stored strings decide, also among equal digests."""
