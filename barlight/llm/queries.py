@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import sharding, simhash, topk, toxicity, url_filter
+from barlight.llm import fm_dedup, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
@@ -67,3 +67,15 @@ SELECT * FROM r WHERE rank <= 20"""
 @query("op1_sorted_list_top_k", OP1_SQL)
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
+
+
+@query("op9_fm_index_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fm_dedup.remove_repeated(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
+
+
+@query("op2_suffix_array_dedup")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
