@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import fm_dedup, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from barlight.llm import decontaminate, fm_dedup, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
@@ -79,3 +79,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op3_simhash_decontamination")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", F.round("similarity", 6).alias("similarity"))
