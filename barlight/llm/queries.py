@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import decontaminate, fm_dedup, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from barlight.llm import decontaminate, fm_dedup, pieces, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
@@ -85,3 +85,15 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "start", "n_words", F.round("similarity", 6).alias("similarity"))
+
+
+# Where the model file is; a parameter, the file is never copied into the repository.
+PIECE_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+@query("op5_max_plus_pieces")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = pieces.ship_model(spark, PIECE_MODEL)
+    out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    return out.select(F.col("id").alias("doc_id"), F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"),
+                      (F.xxhash64("decoded") == F.col("th")).alias("round_trip"))
