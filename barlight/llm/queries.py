@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import decontaminate, fm_dedup, pieces, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from barlight.llm import chat, decontaminate, fm_dedup, pieces, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
@@ -97,3 +97,41 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
     return out.select(F.col("id").alias("doc_id"), F.size("pieces").alias("n_pieces"), F.sha2(F.array_join("pieces", " "), 256).alias("pieces_sha256"),
                       (F.xxhash64("decoded") == F.col("th")).alias("round_trip"))
+
+
+# Parameters of the two tools that turns of a conversation stand for in the query.
+TURN_TOOLS = [("ask", "prompt", "string", True), ("ask", "words", "integer", True), ("ask", "context", "string", False), ("configure", "instruction", "string", True)]
+
+OP4_SQL = r"""
+WITH c AS (SELECT conv_id, turn, CAST(conv_id AS VARCHAR) || '-' || turn AS call_id, CASE role WHEN 'user' THEN 'ask' ELSE 'configure' END AS name, text,
+    len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM conversations WHERE role IN ('system', 'user')),
+calls AS (SELECT c.*, CASE WHEN name = 'ask' AND c.turn > 0 AND EXISTS (FROM c d WHERE d.call_id = CAST(c.conv_id AS VARCHAR) || '-0') THEN 1 ELSE 0 END AS level,
+    CASE WHEN name = 'configure' THEN '{"instruction":' || to_json(text) || '}'
+      ELSE '{' || CASE WHEN c.turn > 0 THEN '"context":"@' || c.conv_id || '-0",' ELSE '' END || '"prompt":' || to_json(text) || ',"words":' || words || '}' END AS args FROM c),
+results AS (SELECT conv_id, turn AS result_turn, CAST(conv_id AS VARCHAR) || '-' || (turn - 1) AS call_id, CAST(to_json(text) AS VARCHAR) AS content FROM conversations WHERE role = 'assistant')
+SELECT coalesce(k.conv_id, r.conv_id) AS conv_id, coalesce(k.call_id, r.call_id) AS call_id, coalesce(k.name, '') AS name, coalesce(k.turn, -1) AS turn,
+  coalesce(r.result_turn, -1) AS result_turn, coalesce(k.level, -1) AS level,
+  CASE WHEN k.call_id IS NULL THEN 0 ELSE 1 END AS n_calls, CASE WHEN r.call_id IS NULL THEN 0 ELSE 1 END AS n_results,
+  CASE WHEN k.call_id IS NULL THEN 'no call' ELSE '' END AS errors,
+  '{"arguments":' || coalesce(k.args, 'null') || ',"call_id":"' || coalesce(k.call_id, r.call_id) || '","errors":' || CASE WHEN k.call_id IS NULL THEN '["no call"]' ELSE '[]' END
+    || ',"level":' || coalesce(CAST(k.level AS VARCHAR), 'null') || ',"name":' || coalesce('"' || k.name || '"', 'null') || ',"result":' || coalesce(r.content, 'null')
+    || ',"result_turn":' || coalesce(CAST(r.result_turn AS VARCHAR), 'null') || ',"turn":' || coalesce(CAST(k.turn AS VARCHAR), 'null') || '}' AS json
+FROM calls k FULL JOIN results r ON k.conv_id = r.conv_id AND k.call_id = r.call_id"""
+
+
+def turns_as_calls(turns: DataFrame) -> DataFrame:
+    """Turns in the form of tool messages: system and user turns call a tool, a user turn refers to turn 0, an assistant's turn is the result of the turn before."""
+    ident = lambda t: F.concat_ws("-", F.col("conv_id").cast("string"), t.cast("string"))
+    words = F.size(F.filter(F.split("text", "[\\x20\\x09-\\x0D]+"), lambda w: w != ""))
+    ask = F.struct(F.when(F.col("turn") > 0, F.concat(F.lit("@"), ident(F.lit(0)))).alias("context"), F.col("text").alias("prompt"), words.alias("words"))
+    call = lambda name, args: F.to_json(F.struct(F.array(F.struct(ident(F.col("turn")).alias("id"), F.lit(name).alias("name"), args.alias("arguments"))).alias("tool_calls")))
+    text = F.when(F.col("role") == "user", call("ask", ask)).when(F.col("role") == "system", call("configure", F.struct(F.col("text").alias("instruction"))))
+    text = text.when(F.col("role") == "assistant", F.to_json(F.struct(ident(F.col("turn") - 1).alias("tool_call_id"), F.col("text").alias("content"))))
+    return turns.select("conv_id", "turn", text.alias("text"))
+
+
+@query("op4_linked_tool_calls", OP4_SQL)
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tools = spark.createDataFrame(TURN_TOOLS, "name string, parameter string, kind string, required boolean")
+    out = chat.link_tool_calls(turns_as_calls(table(spark, sf_dir, "conversations")), tools).withColumnRenamed("conv", "conv_id")
+    return out.fillna(-1, ["turn", "result_turn", "level"]).fillna("", ["name"])
