@@ -23,10 +23,32 @@ def mixed(x: np.ndarray) -> np.ndarray:
 _BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
+_BASE = 0xD6E8FEB86659FD93  # odd, so that it has an inverse
+_POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
 def byte_hashes(b: bytes) -> np.ndarray:
     return _BYTE[np.frombuffer(b, dtype=np.uint8)]
 
 
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, ``n`` at least."""
+    if len(_POWERS[0]) < n:
+        size = 1 << max(16, n.bit_length())
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            _POWERS[k] = np.concatenate([np.ones(1, np.uint64), np.full(size, base, np.uint64)]).cumprod()
+    return _POWERS
+
+
+def word_hashes(text: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the words ``text[start:end]``, from prefix sums of one polynomial over the text."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    power, inverse = _powers(len(text) + 1)
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(byte_hashes(text) * power[:len(text)])])
+    return mixed((total[ends] - total[starts]) * inverse[starts])
+
+
 def _grams(h: np.ndarray, gram: int) -> np.ndarray:
     """Hashes of all grams; ``gram`` is a power of two."""
     step, factor = 1, 0x9E3779B97F4A7C15

@@ -74,34 +74,48 @@ class FMIndex:
 def repeated_windows(index: FMIndex, text: np.ndarray, begin: np.ndarray, windows: np.ndarray, width: int) -> list[np.ndarray]:
     """For each stretch ``text[begin:...]`` the offsets of its windows that occur twice or more in the index.
 
-    All stretches are streamed side by side. At a window's end the search goes
-    backward; the match it reaches is the matching statistic there. One that falls short
-    at some word rules out every window over that word, so the next end is a
-    window beyond it.
+    All stretches are streamed side by side. From the end of a span of windows
+    the search goes backward; how far it gets is the matching statistic there.
+    A span that matches whole is done at once, and the next one is twice as wide.
+    One that falls short at some word settles the windows behind that word and rules
+    out those over it and the end; what lies left and right of them goes on as two streams.
     """
-    out: list[list[np.ndarray]] = [[] for _ in begin]
-    lane, start = np.arange(len(begin)), np.zeros(len(begin), np.int64)
-    depth = np.zeros(len(begin), np.int64)
+    lane, x, y = np.arange(len(begin)), np.zeros(len(begin), np.int64), windows - 1
+    more, depth = np.zeros(len(begin), np.int64), np.zeros(len(begin), np.int64)
     lo, hi = index.whole(len(begin))
-    found_lane, found_at = [], []
+    hits: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
     while len(lane):
-        word = text[begin[lane] + start + width - 1 - depth]
-        lo, hi = index.extend(word, lo, hi)
-        depth = depth + 1
+        lo, hi = index.extend(text[begin[lane] + x + more + width - 1 - depth], lo, hi)
+        depth += 1
         short = hi - lo < 2
-        done = ~short & (depth == width)
-        found_lane.append(lane[done])
-        found_at.append(start[done])
-        start = np.where(short, start + width - depth + 1, np.where(done, start + 1, start))
+        done = ~short & (depth == width + more)
+        if not (short | done).any():
+            continue
+        top, p = x + more, x + more + width - depth  # last window of the span; the word that failed
+        deep = short & (depth > width)
+        hits += [(lane[done], x[done], top[done]), (lane[deep], p[deep] + 1, top[deep])]
+        # a short span leaves windows before it ends on the left, the others on the right
+        left_end = np.where(deep, p, top - 1)
+        right = np.where(deep, top, np.where(short, p, top)) + 1
+        split = short & (left_end >= x)
+        fork = split & (right <= y)
+        extra = (lane[fork], right[fork], y[fork])
+        y = np.where(split, left_end, y)
+        x = np.where((short & ~split) | done, right, x)
+        more = np.where(done, 2 * more + 1, np.where(split, more // 2, np.where(short, 0, more)))
         again = short | done
         depth = np.where(again, 0, depth)
         lo, hi = np.where(again, 0, lo), np.where(again, index.n, hi)
-        live = start < windows[lane]
-        lane, start, depth, lo, hi = lane[live], start[live], depth[live], lo[live], hi[live]
-    who, at = np.concatenate(found_lane or [lane]), np.concatenate(found_at or [lane])
-    order = np.lexsort((at, who))
-    bounds = np.searchsorted(who[order], np.arange(len(begin) + 1))
-    return [at[order[a:b]] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)] if len(out) else []
+        live = x <= y
+        n = len(extra[0])
+        lane, x, y = np.append(lane[live], extra[0]), np.append(x[live], extra[1]), np.append(y[live], extra[2])
+        more = np.minimum(np.append(more[live], np.zeros(n, np.int64)), y - x)
+        depth, lo, hi = np.append(depth[live], np.zeros(n, np.int64)), np.append(lo[live], np.zeros(n, np.int64)), np.append(hi[live], np.full(n, index.n))
+    marks: list[list[int]] = [[] for _ in begin]
+    for who, a, b in hits:
+        for i, p, q in zip(who.tolist(), a.tolist(), b.tolist(), strict=True):
+            marks[i].extend(range(p, q + 1))
+    return [np.array(sorted(m), dtype=np.int64) for m in marks]
 
 
 def elsewhere(shard: Shard) -> list[np.ndarray]:
@@ -123,7 +137,7 @@ def elsewhere(shard: Shard) -> list[np.ndarray]:
 
 
 def _finish(t: Tokens, keep: np.ndarray) -> tuple:
-    return len(keep), int(len(keep) - keep.sum()), b" ".join(w for w, k in zip(t.words, keep.tolist(), strict=True) if k).decode()
+    return len(keep), int(len(keep) - keep.sum()), t.kept(keep).decode()
 
 
 def remove_repeated(docs: DataFrame, width: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

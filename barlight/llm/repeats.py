@@ -41,17 +41,25 @@ class Tokens:
 
     def __init__(self, law: Law, b: bytes):
         if law.words:
-            from xxhash import xxh64_intdigest
-
-            self.words = b.split()
-            self.hashes = np.array([xxh64_intdigest(w) for w in self.words], dtype=np.uint64)
-            self.text = b" ".join(self.words)
-            self.starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in self.words])]).tolist() if self.words else [0]
+            self.text = b" ".join(b.split())
+            gaps = np.flatnonzero(np.frombuffer(self.text, np.uint8) == 32)
+            self.starts = np.concatenate([np.zeros(1, np.int64), gaps + 1]) if self.text else np.zeros(0, np.int64)
+            self.ends = np.append(gaps, len(self.text)) if self.text else self.starts
+            self.hashes = anchors.word_hashes(self.text, self.starts, self.ends)
         else:
-            self.text, self.hashes, self.words = b, anchors.byte_hashes(b), None
+            self.text, self.hashes, self.starts, self.ends = b, anchors.byte_hashes(b), None, None
 
     def stretch(self, a: int, b: int) -> bytes:
-        return self.text[a:b] if self.words is None else self.text[self.starts[a]:self.starts[b] - 1]
+        return self.text[a:b] if self.starts is None else self.text[self.starts[a]:self.ends[b - 1]]
+
+    def kept(self, keep: np.ndarray) -> bytes:
+        """The kept tokens; words are joined by single spaces."""
+        if self.starts is None:
+            return np.frombuffer(self.text, np.uint8)[keep].tobytes()
+        if not len(keep):
+            return b""
+        mask = np.repeat(keep, self.ends - self.starts + 1)
+        return np.frombuffer(self.text + b" ", np.uint8)[mask].tobytes()[:-1]
 
 
 def _marks(src: DataFrame, law: Law) -> DataFrame:
@@ -172,23 +180,28 @@ def _frequent(src: DataFrame, law: Law) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            own, off, dig = [], [], []
+            own, offs, dig = [], [], []
             for i, (b, n) in enumerate(zip(x.column("seg").to_pylist(), x.column("size").to_pylist(), strict=True)):
-                t = Tokens(law, b)
-                own.extend([i] * n)
-                off.extend(range(n))
-                dig.extend(xxh3_128_digest(t.stretch(k, k + law.width)) for k in range(n))
+                t, at = Tokens(law, b), {}
+                for k in range(n):
+                    at.setdefault(xxh3_128_digest(t.stretch(k, k + law.width)), []).append(k)
+                own.extend([i] * len(at))
+                dig.extend(at)
+                offs.extend(at.values())
             at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(x.column(c).take(at) for c in ("key", "sid", "first", "last")), pa.array(off, pa.int32()), pa.array(dig, pa.binary())], ["key", "sid", "first", "last", "off", "digest"])
+            yield pa.RecordBatch.from_arrays([*(x.column(c).take(at) for c in ("key", "sid", "first", "last")), pa.array(offs, pa.list_(pa.int32())), pa.array(dig, pa.binary())], ["key", "sid", "first", "last", "offs", "digest"])
 
     kind = distinct.schema["first"].dataType.simpleString()
-    windows = distinct.select("key", "sid", "first", "last", "seg", "size").mapInArrow(digests, f"key long, sid binary, first {kind}, last {kind}, off int, digest binary")
-    moved = F.struct(F.col("first.id").alias("id"), F.col("first.th").alias("th"), (F.col("first.start") + F.col("off")).alias("start"))
-    moved_last = F.struct(F.col("last.id").alias("id"), F.col("last.th").alias("th"), (F.col("last.start") + F.col("off")).alias("start"))
-    windows = windows.select("key", "sid", "off", "digest", moved.alias("here"), moved_last.alias("there"))
+    windows = distinct.select("key", "sid", "first", "last", "seg", "size").mapInArrow(digests, f"key long, sid binary, first {kind}, last {kind}, offs array<int>, digest binary")
+    moved = F.struct(F.col("first.id").alias("id"), F.col("first.th").alias("th"), (F.col("first.start") + F.col("offs")[0]).alias("start"))
+    moved_last = F.struct(F.col("last.id").alias("id"), F.col("last.th").alias("th"), (F.col("last.start") + F.element_at("offs", -1)).alias("start"))
+    windows = windows.select("key", "sid", "offs", "digest", moved.alias("here"), moved_last.alias("there"))
     ends = windows.groupBy("digest").agg(F.min("here").alias("lo"), F.max("there").alias("hi"))
-    repeated = F.col("lo") < F.col("here") if law.keep_first else F.col("lo") < F.col("hi")
-    hits = windows.join(ends, "digest").where(repeated).groupBy("key", "sid").agg(F.collect_list("off").alias("offs"))
+    if law.keep_first:  # the first place of a window that no other stretch has earlier stays
+        repeated = F.when(F.col("lo") < F.col("here"), F.col("offs")).otherwise(F.slice("offs", 2, F.greatest(F.size("offs") - 1, F.lit(0))))
+    else:
+        repeated = F.when(F.col("lo") < F.col("hi"), F.col("offs")).otherwise(F.array().cast("array<int>"))
+    hits = windows.join(ends, "digest").select("key", "sid", repeated.alias("offs")).where(F.size("offs") > 0).groupBy("key", "sid").agg(F.flatten(F.collect_list("offs")).alias("offs"))
     known = distinct.select("key", "sid", "first", "last").join(hits, ["key", "sid"], "left")
     met = rows.select("key", "sid", "id", "th", "start", "size").join(known, ["key", "sid"])
     whole = F.col("first") < F.struct("id", "th", "start") if law.keep_first else F.col("first") < F.col("last")

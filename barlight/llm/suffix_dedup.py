@@ -35,10 +35,9 @@ def earlier(shard: Shard) -> list[np.ndarray]:
 
 
 def _finish(t: Tokens, keep: np.ndarray) -> tuple:
-    rest = np.frombuffer(t.text, np.uint8)[keep].tobytes()
     gone = ~keep
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
-    return len(keep), int(gone.sum()), spans, rest
+    return len(keep), int(gone.sum()), spans, t.kept(keep)
 
 
 def remove_earlier(docs: DataFrame, width: int = 100, gram: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
