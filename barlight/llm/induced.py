@@ -60,16 +60,13 @@ def _next_index(hit: np.ndarray, after: int) -> np.ndarray:
     return np.minimum.accumulate(at[::-1])[::-1]
 
 
-def _ranks(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Order of rows by columns (first column first), and dense ranks."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        s = c[order]
-        new[1:] |= s[1:] != s[:-1]
+def _ranks(values: np.ndarray) -> np.ndarray:
+    """Dense ranks of whole numbers."""
+    order = np.argsort(values)
+    held = values[order]
     rank = np.empty(len(order), np.int64)
-    rank[order] = np.cumsum(new)
-    return order, rank
+    rank[order] = np.cumsum(np.concatenate([[0], held[1:] != held[:-1]]))
+    return rank
 
 
 def _windows(text: np.ndarray, at: np.ndarray, skip: int) -> np.ndarray:
@@ -91,21 +88,21 @@ def _sorted_heads(text: np.ndarray, heads: np.ndarray, cap: int) -> np.ndarray:
     if not len(heads):
         return heads
     size = np.diff(np.append(heads, len(text) - 1)) + 1
-    rank = np.zeros(len(heads), np.int64)
-    skip, live = 0, np.arange(len(heads))
-    while len(live) and skip < cap + 3:
-        key = _windows(text, heads[live], skip)
-        _, r = _ranks([rank[live], key])
-        step = np.zeros(len(heads), np.int64)
-        step[live] = r + 1
-        _, rank = _ranks([rank, step])
+    n = len(heads)
+    rank = _ranks(_windows(text, heads, 0))
+    skip = 3
+    while skip < cap + 3:
+        live = np.flatnonzero((np.bincount(rank)[rank] > 1) & (size > skip))
+        if not len(live):
+            break
+        step = np.zeros(n, np.int64)
+        step[live] = _ranks(_windows(text, heads[live], skip)) + 1
+        rank = _ranks(rank * (len(live) + 1) + step)
         skip += 3
-        counts = np.bincount(rank)
-        live = np.flatnonzero((counts[rank] > 1) & (size > skip))
-    names, step, n = rank, 1, len(heads)
-    while step <= cap and len(np.unique(names)) < n:
+    names, step = rank, 1
+    while step <= cap and int(names.max()) < n - 1:
         later = np.concatenate([names[step:] + 1, np.zeros(min(step, n), np.int64)])[:n]
-        _, names = _ranks([names, later])
+        names = _ranks(names * (n + 1) + later)
         step *= 2
     return np.argsort(names, kind="stable")
 

@@ -24,6 +24,8 @@ INDEX_TOKENS = 1_000_000
 # Places of one anchor up to which its windows go to an index; a more frequent anchor's are
 # merged window by window, which combines before the shuffle.
 FREQUENT = 512
+# Bytes of text in a bucket, which a task holds at once; the number of buckets follows from it.
+BUCKET_BYTES = 32 << 20
 
 
 @dataclass(frozen=True)
@@ -62,46 +64,86 @@ class Tokens:
         return np.frombuffer(self.text + b" ", np.uint8)[mask].tobytes()[:-1]
 
 
-def _marks(src: DataFrame, law: Law) -> DataFrame:
-    """``(id, key, n)``: anchors of each text and at how many places they are."""
+def _anchors(docs: DataFrame, notes: DataFrame, law: Law, parts: int) -> DataFrame:
+    """``(part, bucket, keys, ns)``: the distinct anchors of each bucket of texts, packed by ``key mod parts``, and at how many places they are."""
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        later = _copies(own)
+        found = [anchors.anchor_keys(Tokens(law, b).hashes, law.width, law.gram) for i, th, b in _rows(texts) if (i, th) not in later]
+        keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *found]), return_counts=True)
+        part = (keys % np.uint64(parts)).astype(np.int64)
+        order = np.argsort(part, kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1)).tolist()
+        keys, n = keys[order], np.minimum(n[order], 65_535).astype(np.uint16)
+        full = [p for p in range(parts) if cut[p + 1] > cut[p]]
+        at = int(texts.column("bucket")[0].as_py()) if texts.num_rows else 0
+        return pa.table({"part": pa.array(full, pa.int32()), "bucket": pa.array([at] * len(full), pa.int32()),
+                         "keys": pa.array([keys[cut[p]:cut[p + 1]].tobytes() for p in full], pa.binary()), "ns": pa.array([n[cut[p]:cut[p + 1]].tobytes() for p in full], pa.binary())})
+
+    return docs.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(run, "part int, bucket int, keys binary, ns binary")
+
+
+def _shared(packed: DataFrame, parts: int) -> DataFrame:
+    """``(bucket, keys, ns)``: each bucket's anchors that are at two places or more in the corpus, with the number of places (65,535 at most)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
         for x in batches:
-            own, keys, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            for i, b in enumerate(x.column("b")):
-                k, n = np.unique(anchors.anchor_keys(Tokens(law, b.as_py()).hashes, law.width, law.gram), return_counts=True)
-                own.append(np.full(len(k), i))
-                keys.append(k)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([x.column("id").take(pa.array(np.concatenate(own))), pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(counts))], ["id", "key", "n"])
+            for p, at, k, n in zip(*(x.column(c).to_pylist() for c in ("part", "bucket", "keys", "ns")), strict=True):
+                held.setdefault(p, []).append((at, k, n))
+        for p in list(held):
+            rows = held.pop(p)
+            keys = np.concatenate([np.frombuffer(k, np.uint64) for _, k, _ in rows])
+            ns = np.concatenate([np.frombuffer(n, np.uint16) for _, _, n in rows]).astype(np.int64)
+            _, of = np.unique(keys, return_inverse=True)
+            total = np.bincount(of, ns).astype(np.int64)[of]
+            ends = np.cumsum([len(k) // 8 for _, k, _ in rows]).tolist()
+            out = {"bucket": [], "keys": [], "ns": []}
+            for (at, _, _), a, b in zip(rows, [0, *ends[:-1]], ends, strict=True):
+                hot = total[a:b] > 1
+                out["bucket"].append(at)
+                out["keys"].append(keys[a:b][hot].tobytes())
+                out["ns"].append(np.minimum(total[a:b][hot], 65_535).astype(np.uint16).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(out["bucket"], pa.int32()), pa.array(out["keys"], pa.binary()), pa.array(out["ns"], pa.binary())], ["bucket", "keys", "ns"])
+
+    return packed.repartition(parts, "part").mapInArrow(run, "bucket int, keys binary, ns binary")
+
+
+def _rows(texts: pa.Table) -> Iterator[tuple]:
+    for x in texts.to_batches():
+        yield from zip(x.column("id").to_pylist(), x.column("th").to_pylist(), (b.as_py() for b in x.column("b")), strict=True)
+
 
-    return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, key long, n long")
+def _copies(notes: pa.Table) -> set:
+    """``(id, th)`` of rows that repeat the whole text of an earlier one: they need no search."""
+    return {(i, th) for i, th, a, th_a in zip(*(notes.column(c).to_pylist() for c in ("id", "th", "a", "kind")), strict=True) if th_a == COPY and a > 0}
 
 
-def _stretches(src: DataFrame, law: Law, frequent: bool) -> DataFrame:
+# Kinds of notes on a bucket: packed anchors, a copy of another row's text, a range to remove.
+KEYS, COPY, RANGE = 0, 1, 2
+
+
+def _stretches(docs: DataFrame, notes: DataFrame, law: Law, frequent: bool) -> DataFrame:
     """``(key, id, th, start, size, seg)``: runs of windows with an anchor that is at two places or more; ``seg`` holds their tokens."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            own, out = [], {"key": [], "start": [], "size": [], "seg": []}
-            for i, b in enumerate(x.column("b")):
-                hot = x.column("hot")[i].as_py()
-                known = np.array([h["key"] for h in hot if (h["n"] > FREQUENT) == frequent], dtype=np.int64).view(np.uint64)
-                if not len(known):
-                    continue
-                t = Tokens(law, b.as_py())
-                start, size, key = anchors.runs(t.hashes, law.width, law.gram)
-                for k in np.flatnonzero(np.isin(key, known)).tolist():
-                    own.append(i)
-                    a, n = int(start[k]), int(size[k])
-                    out["start"].append(a)
-                    out["size"].append(n)
-                    out["key"].append(int(key[k]))
-                    out["seg"].append(t.stretch(a, a + n + law.width - 1))
-            at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out["key"], dtype=np.uint64).view(np.int64)), x.column("id").take(at), x.column("th").take(at),
-                                              pa.array(out["start"], pa.int32()), pa.array(out["size"], pa.int32()), pa.array(out["seg"], pa.binary())],
-                                             ["key", "id", "th", "start", "size", "seg"])
+    def run(texts: pa.Table, own: pa.Table) -> pa.Table:
+        later = _copies(own)
+        blobs = [(k, n) for k, n, kind in zip(*(own.column(c).to_pylist() for c in ("keys", "ns", "kind")), strict=True) if kind == KEYS]
+        keys = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(k, np.uint64) for k, _ in blobs)])
+        ns = np.concatenate([np.zeros(0, np.uint16), *(np.frombuffer(n, np.uint16) for _, n in blobs)])
+        known = np.sort(keys[(ns > FREQUENT) == frequent])
+        out: dict[str, list] = {"key": [], "id": [], "th": [], "start": [], "size": [], "seg": []}
+        for i, th, b in _rows(texts) if len(known) else ():
+            if (i, th) in later:
+                continue
+            t = Tokens(law, b)
+            start, size, key = anchors.runs(t.hashes, law.width, law.gram)
+            spot = np.searchsorted(known, key)
+            for k in np.flatnonzero(known[np.minimum(spot, len(known) - 1)] == key).tolist():
+                a, n = int(start[k]), int(size[k])
+                for c, v in zip(out, (int(key[k]), i, th, a, n, t.stretch(a, a + n + law.width - 1)), strict=True):
+                    out[c].append(v)
+        return pa.table({"key": pa.array(np.array(out["key"], dtype=np.uint64).view(np.int64)), "id": pa.array(out["id"], texts.schema.field("id").type), "th": pa.array(out["th"], pa.int64()),
+                         "start": pa.array(out["start"], pa.int32()), "size": pa.array(out["size"], pa.int32()), "seg": pa.array(out["seg"], pa.binary())})
 
-    return src.mapInArrow(run, f"key long, id {src.schema['id'].dataType.simpleString()}, th long, start int, size int, seg binary")
+    return docs.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}, th long, start int, size int, seg binary")
 
 
 class Shard:
@@ -170,11 +212,11 @@ def _decided(law: Law, index: Callable[[Shard], list[np.ndarray]]):
     return run
 
 
-def _frequent(src: DataFrame, law: Law) -> DataFrame:
+def _frequent(rows: DataFrame, law: Law) -> DataFrame:
     """The same ranges for anchors at very many places: distinct stretches, then windows by digest, both combined before the shuffle."""
     from xxhash import xxh3_128_digest
 
-    rows = _stretches(src, law, True).withColumn("sid", F.unhex(F.md5("seg")))
+    rows = rows.withColumn("sid", F.unhex(F.md5("seg")))
     place = F.struct("id", "th", "start")
     distinct = rows.groupBy("key", "sid").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.first("seg").alias("seg"), F.first("size").alias("size"))
 
@@ -213,39 +255,61 @@ def _frequent(src: DataFrame, law: Law) -> DataFrame:
 def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndarray]], finish: Callable, columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a text: ``id`` and what ``finish(Tokens, keep mask)`` returns for ``columns``.
 
-    1. Every text gives its anchors; an anchor at one place only cannot hold a repeat.
-    2. The runs of windows under the other anchors go to shards by anchor, where ``index`` decides; anchors at very many
+    1. Texts go to buckets, once; a row whose whole text an earlier row has is settled by a digest of it.
+    2. Every bucket gives its distinct anchors; an anchor at one place only cannot hold a repeat.
+    3. The runs of windows under the other anchors go to shards by anchor, where ``index`` decides; anchors at very many
        places are merged window by window, so no anchor fills a task.
-    3. Ranges to remove meet their text by id; the text is cut by their union.
+    4. Ranges to remove meet their text in its bucket; the text is cut by their union.
 
     A null text counts as empty. Rows with equal id and text are one document
     (each gets its row); equal ids with different texts are told apart by a hash
     of the text, and a null id sorts first. An empty table gives no rows. Other columns are ignored.
     """
+    spark = docs.sparkSession
     b = text_bytes(text_col)
     src = docs.select(F.col(id_col).alias("id"), b.alias("b")).withColumn("th", F.xxhash64("b"))
     kind = src.schema["id"].dataType.simpleString()
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    marks = _marks(src.select("id", "b"), law)
-    twice = reliable_checkpoint(marks.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1"))
-    of = marks.select("id", "key").join(twice, "key").groupBy("id").agg(F.collect_list(F.struct("key", "n")).alias("hot")).withColumnRenamed("id", "at")
-    held = src.join(of, F.col("id").eqNullSafe(F.col("at"))).select("id", "th", "b", "hot")
-    rare = _stretches(held, law, False).repartition(parts, "key").sortWithinPartitions("key")
-    out = rare.mapInArrow(_decided(law, index), f"id {kind}, th long, a long, b long").unionAll(_frequent(held, law))
-    gone = out.groupBy("id").agg(F.collect_list(F.struct("th", "a", "b")).alias("gone")).withColumnRenamed("id", "at")
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields = [c.split()[0] for c in columns.split(",")]
-        for x in batches:
-            rows = []
-            for text, th, gone in zip(x.column("b"), x.column("th").to_pylist(), x.column("gone"), strict=True):
-                t = Tokens(law, text.as_py())
-                edge = np.zeros(len(t.hashes) + 1, np.int64)
-                for r in gone.as_py() or ():
-                    if r["th"] == th:
-                        edge[r["a"]] += 1
-                        edge[r["b"]] -= 1
-                rows.append(finish(t, np.cumsum(edge)[:-1] == 0))
-            yield pa.RecordBatch.from_arrays([x.column("id"), *(pa.array([r[k] for r in rows]) for k in range(len(fields)))], ["id", *fields])
-
-    return src.join(gone, F.col("id").eqNullSafe(F.col("at")), "left").select("id", "th", "b", "gone").mapInArrow(cut, f"id {kind}, {columns}")
+    total = src.agg(F.sum(F.octet_length("b"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    bucket = F.pmod(F.xxhash64("id", "th"), F.lit(parts)).cast("int").alias("bucket")
+    # rows with the same text: one is searched
+    row = F.struct("id", "th")
+    slim = src.select("id", "th", F.unhex(F.md5("b")).alias("md5"))
+    sets = reliable_checkpoint(slim.groupBy("md5").agg(F.min(row).alias("first"), F.max(row).alias("last")).where("first < last").select("md5", "first"))
+    copies = slim.join(sets, "md5").select(bucket, "id", "th", (F.col("first") < row).cast("long").alias("a"))
+    copies = reliable_checkpoint(copies.where("a > 0") if law.keep_first else copies)
+    none = lambda t: F.lit(None).cast(t)
+    note = lambda df, k, **c: df.select("bucket", F.lit(k).alias("kind"), *[c.get(n, none(t)).alias(n) for n, t in (("keys", "binary"), ("ns", "binary"), ("id", kind), ("th", "long"), ("a", "long"), ("b", "long"))])
+    copied = note(copies, COPY, id=F.col("id"), th=F.col("th"), a=F.col("a"))
+    texts = src.select(bucket, "id", "th", "b").repartition(parts, "bucket")
+    shared = note(_shared(_anchors(texts, copied, law, parts), parts), KEYS, keys=F.col("keys"), ns=F.col("ns")).unionAll(copied)
+    rare = _stretches(texts, shared, law, False).repartition(parts, "key").sortWithinPartitions("key")
+    out = rare.mapInArrow(_decided(law, index), f"id {kind}, th long, a long, b long").unionAll(_frequent(_stretches(texts, shared, law, True), law))
+    gone = note(out.withColumn("bucket", bucket), RANGE, id=F.col("id"), th=F.col("th"), a=F.col("a"), b=F.col("b")).unionAll(copied)
+    fields = [c.split()[0] for c in columns.split(",")]
+
+    def cut(texts: pa.Table, own: pa.Table) -> pa.Table:
+        ranges: dict[tuple, list] = {}
+        whole = set()
+        for k, i, th, p, q in zip(*(own.column(c).to_pylist() for c in ("kind", "id", "th", "a", "b")), strict=True):
+            if k == COPY:
+                whole.add((i, th))
+            else:
+                ranges.setdefault((i, th), []).append((p, q))
+        ids, rows = [], []
+        for i, th, b in _rows(texts):
+            t = Tokens(law, b)
+            n = len(t.hashes)
+            edge = np.zeros(n + 1, np.int64)
+            if (i, th) in whole and n >= law.width:
+                edge[0] = 1
+            for p, q in ranges.get((i, th), ()):
+                edge[p] += 1
+                edge[q] -= 1
+            ids.append(i)
+            rows.append(finish(t, np.cumsum(edge)[:-1] == 0))
+        return pa.table({"id": pa.array(ids, texts.schema.field("id").type), **{c: pa.array([r[k] for r in rows]) for k, c in enumerate(fields)}}, schema=want if not rows else None)
+
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
+    want = pa.schema([("id", pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), *((c.split()[0], types[c.split()[1]]) for c in columns.split(","))])
+    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, f"id {kind}, {columns}")
