@@ -58,7 +58,7 @@ def similarity(a: Column, b: Column) -> Column:
 
 
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``(id, item, start, n_words, similarity)``: for each document and item the best window of the item's size at ``SIMILAR`` or more.
+    """``(id, th, item, start, n_words, similarity)``: for each document and item the best window of the item's size at ``SIMILAR`` or more.
 
     1. Windows lie where a document shares a shingle with an item, aligned on it; any other window has similarity 0.
     2. Windows and items get a SimHash; equal blocks bring all pairs within ``RADIUS`` bits together, the distance is then checked.
@@ -67,7 +67,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     Words are lower-cased (A-Z) runs without white space. Null or empty texts and
     items have no shingle and match nothing; items with a null id or over
     ``ITEM_WORDS`` words raise; repeated rows count once; equal ids with different
-    texts are looked at each, the best window is given. Empty tables give no rows. Other columns are ignored.
+    texts (``th`` is a hash of the text) have their own rows. Empty tables give no rows. Other columns are ignored.
     """
     w = words_of(F.col(item_text_col))
     known = items.select(F.col(item_col).alias("item"), w.alias("iw")).where(F.size("iw") > 0).distinct()
@@ -80,8 +80,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     found = [_one_pass(docs, numbered.where(F.col("pass") == p), id_col, text_col) for p in range(max(passes, 1))]
     every = reduce(DataFrame.unionAll, found)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("n_words")).alias("w"))).alias("m")
-    out = every.groupBy("id", "item").agg(best)
-    return out.select("id", "item", (-F.col("m.s")).alias("start"), (-F.col("m.w")).alias("n_words"), F.col("m.similarity").alias("similarity"))
+    out = every.groupBy("id", "th", "item").agg(best)
+    return out.select("id", "th", "item", (-F.col("m.s")).alias("start"), (-F.col("m.w")).alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 
 def _one_pass(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -100,13 +100,20 @@ def _one_pass(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) ->
     met = src.join(hits, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", words_of(F.col("text")).alias("w"), "at")
     cut = met.select("id", "th", "w", F.explode("at").alias("x"))
     win = F.slice("w", F.col("x.start") + 1, F.greatest(F.least(F.col("x.end"), F.size("w")) - F.col("x.start"), F.lit(0)))
-    windows = cut.select("id", F.col("x.start").alias("start"), win.alias("win"))
-    windows = windows.select("id", "start", F.size("win").alias("n_words"), shingles_of(F.col("win")).alias("shingles"))
+    windows = cut.select("id", "th", F.col("x.start").alias("start"), win.alias("win"))
+    windows = windows.select("id", "th", "start", F.size("win").alias("n_words"), shingles_of(F.col("win")).alias("shingles"))
     windows = windows.withColumn("fp", simhash(F.transform("shingles", lambda s: F.xxhash64(s))))
     targets = known.select("item", "item_shingles", simhash(F.transform("item_shingles", lambda s: F.xxhash64(s))).alias("item_fp"))
     left = windows.select("*", F.explode(blocks_of(F.col("fp"))).alias("block"))
     right = targets.select("item", "item_shingles", "item_fp", F.explode(blocks_of(F.col("item_fp"))).alias("block"))
     near = left.join(F.broadcast(right.select("item", "item_fp", "block")), "block").where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    near = near.select("id", "start", "n_words", "shingles", "item").distinct()
+    near = near.select("id", "th", "start", "n_words", "shingles", "item").distinct()
     judged = near.join(F.broadcast(targets.select("item", "item_shingles")), "item").withColumn("similarity", similarity(F.col("shingles"), F.col("item_shingles")))
-    return judged.where(F.col("similarity") >= SIMILAR).select("id", "item", "start", "n_words", "similarity")
+    return judged.where(F.col("similarity") >= SIMILAR).select("id", "th", "item", "start", "n_words", "similarity")
+
+
+def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that hold no item, as they are."""
+    found = contaminated(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
+    text = F.coalesce(docs[text_col], F.lit(""))
+    return docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left_anti")

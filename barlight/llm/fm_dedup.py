@@ -136,7 +136,7 @@ def elsewhere(shard: Shard) -> list[np.ndarray]:
     return out
 
 
-def _finish(t: Tokens, keep: np.ndarray) -> tuple:
+def _finish(t: Tokens, keep: np.ndarray, text: bytes) -> tuple:
     return len(keep), int(len(keep) - keep.sum()), t.kept(keep).decode()
 
 
@@ -148,3 +148,15 @@ def remove_repeated(docs: DataFrame, width: int = 35, gram: int = 8, id_col: str
     ``gram`` (a power of two, at most ``width``) is the anchor's length and changes no result.
     """
     return cut_repeats(docs, Law(width, gram, True, False), elsewhere, _finish, "n_words long, n_removed long, kept string", id_col, text_col)
+
+
+def without_repeats(docs: DataFrame, width: int = 35, gram: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with what :func:`remove_repeated` keeps as text; a text without repeats stays as it is."""
+    from pyspark.sql import functions as F
+
+    def finish(t: Tokens, keep: np.ndarray, text: bytes) -> tuple:
+        return (text if keep.all() else t.kept(keep)).decode(), int(len(keep) - keep.sum())
+
+    out = cut_repeats(docs, Law(width, gram, True, False), elsewhere, finish, "kept string, n_removed long", id_col, text_col, carry=True)
+    at = {c: F.col("row")[c] for c in docs.columns if c != text_col}
+    return out.select(*[(F.col("kept") if c == text_col else at[c]).alias(c) for c in docs.columns])

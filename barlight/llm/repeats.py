@@ -252,8 +252,8 @@ def _frequent(rows: DataFrame, law: Law) -> DataFrame:
     return met.select("id", "th", F.explode(ranges).alias("r")).select("id", "th", "r.a", "r.b")
 
 
-def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndarray]], finish: Callable, columns: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row a text: ``id`` and what ``finish(Tokens, keep mask)`` returns for ``columns``.
+def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndarray]], finish: Callable, columns: str, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """One row a text: ``id`` and what ``finish(Tokens, keep mask, text)`` returns for ``columns``; with ``carry`` also the whole row as ``row``.
 
     1. Texts go to buckets, once; a row whose whole text an earlier row has is settled by a digest of it.
     2. Every bucket gives its distinct anchors; an anchor at one place only cannot hold a repeat.
@@ -267,7 +267,9 @@ def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndar
     """
     spark = docs.sparkSession
     b = text_bytes(text_col)
-    src = docs.select(F.col(id_col).alias("id"), b.alias("b")).withColumn("th", F.xxhash64("b"))
+    row_of = [F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col]).alias("row")] if carry else []
+    src = docs.select(F.col(id_col).alias("id"), b.alias("b"), *row_of).withColumn("th", F.xxhash64("b"))
+    row_cols, row_type = (["row"], f", row {src.schema['row'].dataType.simpleString()}") if carry else ([], "")
     kind = src.schema["id"].dataType.simpleString()
     total = src.agg(F.sum(F.octet_length("b"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
@@ -281,12 +283,13 @@ def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndar
     none = lambda t: F.lit(None).cast(t)
     note = lambda df, k, **c: df.select("bucket", F.lit(k).alias("kind"), *[c.get(n, none(t)).alias(n) for n, t in (("keys", "binary"), ("ns", "binary"), ("id", kind), ("th", "long"), ("a", "long"), ("b", "long"))])
     copied = note(copies, COPY, id=F.col("id"), th=F.col("th"), a=F.col("a"))
-    texts = src.select(bucket, "id", "th", "b").repartition(parts, "bucket")
+    texts = src.select(bucket, "id", "th", "b", *row_cols).repartition(parts, "bucket")
     shared = note(_shared(_anchors(texts, copied, law, parts), parts), KEYS, keys=F.col("keys"), ns=F.col("ns")).unionAll(copied)
     rare = _stretches(texts, shared, law, False).repartition(parts, "key").sortWithinPartitions("key")
     out = rare.mapInArrow(_decided(law, index), f"id {kind}, th long, a long, b long").unionAll(_frequent(_stretches(texts, shared, law, True), law))
     gone = note(out.withColumn("bucket", bucket), RANGE, id=F.col("id"), th=F.col("th"), a=F.col("a"), b=F.col("b")).unionAll(copied)
-    fields = [c.split()[0] for c in columns.split(",")]
+    fields = [tuple(c.split()) for c in columns.split(",")]
+    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
 
     def cut(texts: pa.Table, own: pa.Table) -> pa.Table:
         ranges: dict[tuple, list] = {}
@@ -296,7 +299,7 @@ def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndar
                 whole.add((i, th))
             else:
                 ranges.setdefault((i, th), []).append((p, q))
-        ids, rows = [], []
+        rows = []
         for i, th, b in _rows(texts):
             t = Tokens(law, b)
             n = len(t.hashes)
@@ -306,10 +309,8 @@ def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndar
             for p, q in ranges.get((i, th), ()):
                 edge[p] += 1
                 edge[q] -= 1
-            ids.append(i)
-            rows.append(finish(t, np.cumsum(edge)[:-1] == 0))
-        return pa.table({"id": pa.array(ids, texts.schema.field("id").type), **{c: pa.array([r[k] for r in rows]) for k, c in enumerate(fields)}}, schema=want if not rows else None)
+            rows.append(finish(t, np.cumsum(edge)[:-1] == 0, b))
+        made = {c: pa.array([r[k] for r in rows], types[t]) for k, (c, t) in enumerate(fields)}
+        return pa.table({"id": texts.column("id"), **made, **{c: texts.column(c) for c in row_cols}})
 
-    types = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
-    want = pa.schema([("id", pa.int64() if kind == "bigint" else pa.string() if kind == "string" else pa.int32()), *((c.split()[0], types[c.split()[1]]) for c in columns.split(","))])
-    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, f"id {kind}, {columns}")
+    return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, f"id {kind}, {columns}{row_type}")

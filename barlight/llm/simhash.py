@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlight.llm.anchors import mixed
 from barlight.llm.common import text_bytes
 from barlight.llm.components import components
 from barlight.session import reliable_checkpoint
 
-# Four segments of 16 bits on a ring, at most two differing bits: a budget of half a bit a segment.
-SEGMENTS, WIDTH, RADIUS = 4, 16, 2
 # Buckets up to this size are checked pair by pair; larger ones go by shared neighbours.
 BUCKET = 64
 
@@ -55,21 +55,65 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return src.mapInArrow(run, f"id {src.schema['id'].dataType.simpleString()}, fp long")
 
 
-def ring_differences(x: np.ndarray) -> np.ndarray:
-    """Differing bits per segment, for xor values."""
-    return np.stack([np.bitwise_count((x >> np.uint64(WIDTH * k)) & np.uint64((1 << WIDTH) - 1)) for k in range(SEGMENTS)]).astype(np.int16)
+@dataclass(frozen=True)
+class Ring:
+    """A fingerprint's segments on a ring, and the radius they share.
 
+    Pigeonring: if two fingerprints differ in at most ``radius`` bits, some
+    segment begins a chain whose every prefix of k segments differs in at most
+    k * radius / segments bits. While that share is below 1 the segments are equal;
+    while it is below 2 all but one are. ``keys`` lists the sets of segments of
+    which one must be equal.
+    """
 
-def has_viable_chain(d: np.ndarray, radius: int = RADIUS) -> np.ndarray:
-    """Whether some start has a chain round the ring whose every prefix stays within its share of the radius."""
-    m, ok = len(d), np.zeros(d.shape[1], dtype=bool)
-    for i in range(m):
-        here, total = np.ones(d.shape[1], dtype=bool), np.zeros(d.shape[1], dtype=np.int16)
-        for k in range(m):
-            total = total + d[(i + k) % m]
-            here &= total * m <= (k + 1) * radius
-        ok |= here
-    return ok
+    segments: int
+    radius: int
+
+    def edges(self) -> list[int]:
+        return [64 * k // self.segments for k in range(self.segments + 1)]
+
+    def keys(self) -> list[tuple[int, ...]]:
+        m, r = self.segments, self.radius
+        equal = max(k for k in range(m + 1) if k * r < m)
+        nearly = max(k for k in range(m + 1) if k * r < 2 * m)
+        out = set()
+        for i in range(m):
+            ring = [(i + k) % m for k in range(nearly)]
+            for skip in range(equal, nearly):
+                out.add(tuple(sorted(ring[:skip] + ring[skip + 1:])))
+        return sorted(out)
+
+    def columns(self, fp) -> list:
+        """For each key set a column: its number above the bits of its segments."""
+        e = self.edges()
+        seg = [F.shiftrightunsigned(fp, a).bitwiseAND(F.lit((1 << (b - a)) - 1)) for a, b in zip(e[:-1], e[1:], strict=True)]
+        out = []
+        for n, at in enumerate(self.keys()):
+            key = F.lit(n).cast("long")
+            for k in at:
+                key = F.shiftleft(key, e[k + 1] - e[k]).bitwiseOR(seg[k])
+            out.append(key)
+        return out
+
+    def differences(self, x: np.ndarray) -> np.ndarray:
+        """Differing bits per segment, for xor values."""
+        e = self.edges()
+        return np.stack([np.bitwise_count((x >> np.uint64(a)) & np.uint64((1 << (b - a)) - 1)) for a, b in zip(e[:-1], e[1:], strict=True)]).astype(np.int16)
+
+    def viable(self, d: np.ndarray) -> np.ndarray:
+        """Whether some start has a chain whose every prefix stays within its share."""
+        m, ok = len(d), np.zeros(d.shape[1], dtype=bool)
+        for i in range(m):
+            here, total = np.ones(d.shape[1], dtype=bool), np.zeros(d.shape[1], dtype=np.int16)
+            for k in range(m):
+                total = total + d[(i + k) % m]
+                here &= total * m <= (k + 1) * self.radius
+            ok |= here
+        return ok
+
+
+# Four segments of 16 bits and two differing bits: segment 0 of a chain is equal, and one of the next two.
+STRICT = Ring(4, 2)
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
@@ -92,61 +136,67 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _check_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``key, fp, rep`` sorted by key: links between representatives within the radius."""
-    rest = None
+def _check_buckets(ring: Ring, span: bool):
+    """Rows ``key, fp, rep`` sorted by key: links between representatives within the radius; with ``span`` only as many as join the same."""
     names = ["key", "fp", "rep"]
 
     def links(t: pa.Table) -> pa.RecordBatch:
         key, fp, rep = (t.column(n).to_numpy() for n in names)
         fp = fp.view(np.uint64)
-        out_a, out_b = [], []
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         for step in range(1, BUCKET):
             at = np.flatnonzero(key[:-step] == key[step:])
             if not len(at):
                 break
             x = fp[at] ^ fp[at + step]
-            at = at[has_viable_chain(ring_differences(x))]
-            at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= RADIUS]
-            out_a.append(rep[at])
-            out_b.append(rep[at + step])
-        a, b = _forest(np.concatenate(out_a), np.concatenate(out_b)) if out_a else ([], [])
+            at = at[ring.viable(ring.differences(x))]
+            at = at[np.bitwise_count(fp[at] ^ fp[at + step]) <= ring.radius]
+            out_a.append(np.minimum(rep[at], rep[at + step]))
+            out_b.append(np.maximum(rep[at], rep[at + step]))
+        a, b = np.concatenate(out_a), np.concatenate(out_b)
+        a, b = _forest(a, b) if span else np.unique(np.stack([a, b], 1), axis=0).T
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
-    for x in batches:
-        t = pa.Table.from_batches([x]).select(names)
-        if rest is not None:
-            t = pa.concat_tables([rest, t]).combine_chunks()
-        key = t.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
-        if cut:
-            yield links(t.slice(0, cut))
-        rest = t.slice(cut)
-    if rest is not None and rest.num_rows:
-        yield links(rest)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for x in batches:
+            t = pa.Table.from_batches([x]).select(names)
+            if rest is not None:
+                t = pa.concat_tables([rest, t]).combine_chunks()
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
+            if cut:
+                yield links(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield links(rest)
+
+    return run
+
+
+def _keyed(fps: DataFrame, keys: list) -> DataFrame:
+    """Rows ``key, n, fp, rep`` of the keys that two or more fingerprints have."""
+    keyed = fps.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
+    sizes = reliable_checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    return reliable_checkpoint(keyed.join(sizes, "key"))
+
+
+def _small(at: DataFrame) -> DataFrame:
+    parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return at.where(F.col("n") <= BUCKET).select("key", "fp", "rep").repartition(parts, "key").sortWithinPartitions("key")
 
 
 def linked(fps: DataFrame) -> DataFrame:
-    """``(u, v)``: links among distinct fingerprints ``(fp, rep)`` that span all pairs within the radius.
-
-    Pigeonring: if two fingerprints differ in at most two of four segments' bits,
-    some segment begins a chain whose prefixes of 1, 2, 3, 4 segments differ in
-    at most 0, 1, 1, 2 bits; that segment and one of the next two are equal.
-    Equality on such a pair of segments (32 bits, six pairs) makes the buckets,
-    the chain test prunes inside them, the full distance decides.
-    Buckets with over ``BUCKET`` fingerprints are not compared pair by pair: each
-    member gives itself and its 64 one-bit neighbours, and fingerprints that share
-    such a point are within two bits, and the reverse. Nothing is left out.
+    """``(u, v)``: links among distinct fingerprints ``(fp, rep)`` that span all pairs within two bits.
+
+    Equal key segments (:class:`Ring`) make the buckets, the chain test prunes
+    inside them, the full distance decides. Buckets with over ``BUCKET``
+    fingerprints are not compared pair by pair: each member gives itself and its
+    64 one-bit neighbours, and fingerprints that share such a point are within two
+    bits, and the reverse. Nothing is left out.
     """
-    seg = [F.shiftrightunsigned("fp", WIDTH * k).bitwiseAND(F.lit((1 << WIDTH) - 1)) for k in range(SEGMENTS)]
-    pairs = [(i, (i + 1) % SEGMENTS) for i in range(SEGMENTS)] + [(0, 2), (1, 3)]
-    keys = F.array(*[F.lit(n << 32).bitwiseOR(F.shiftleft(seg[i], WIDTH)).bitwiseOR(seg[j]) for n, (i, j) in enumerate(pairs)])
-    keyed = fps.select("fp", "rep", F.explode(keys).alias("key"))
-    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    at = reliable_checkpoint(keyed.join(sizes, "key"))
-    parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    small = at.where(F.col("n") <= BUCKET).select("key", "fp", "rep").repartition(parts, "key").sortWithinPartitions("key")
-    by_bucket = small.mapInArrow(_check_buckets, "u long, v long")
+    at = _keyed(fps, STRICT.columns(F.col("fp")))
+    by_bucket = _small(at).mapInArrow(_check_buckets(STRICT, True), "u long, v long")
     points = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     hot = at.where(F.col("n") > BUCKET).select("fp", "rep").distinct()
     near = hot.select("rep", F.explode(F.transform(points, lambda p: F.col("fp").bitwiseXOR(p))).alias("point"))
@@ -170,3 +220,81 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     of = reps.join(comp, reps.rep == comp.node, "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component"))
     out = fp.join(of, "fp", "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
+
+
+# Fingerprints of similar texts: so many of the distinct words, each under another seed, within three bits on six segments.
+TABLES, LOOSE = 6, Ring(6, 3)
+
+
+def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``(id, th, same, fps)``: a digest of the lower-cased words in order, and SimHashes of the distinct words."""
+    from xxhash import xxh3_128_digest, xxh64_intdigest
+
+    b = text_bytes(text_col)
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(b).alias("th"), b.alias("b"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            same, fps = [], []
+            for b in x.column("b"):
+                words = b.as_py().lower().split()
+                same.append(xxh3_128_digest(b" ".join(words)))
+                h = np.array([xxh64_intdigest(w) for w in set(words)], dtype=np.uint64)
+                fps.append([_majority(mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))) for k in range(TABLES)])
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["id", "th", "same", "fps"])
+
+    return src.mapInArrow(run, "id long, th long, same binary, fps array<long>")
+
+
+def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
+    """``(id, s)``: distinct hashes of the word shingles of rows ``(id, b)``."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in batches:
+            out = [np.unique(_hashes(b.as_py().lower().split(), size)).view(np.int64) for b in x.column("b")]
+            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+
+    return docs.mapInArrow(run, "id long, s array<long>")
+
+
+def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
+    """``(id, th, component)`` per row with an id: documents linked by a similarity of ``similar`` or more of their sets of word shingles.
+
+    Candidates come from pigeonring filtering of several SimHashes of the distinct
+    words; each is verified exactly. Buckets with over ``BUCKET`` members are
+    verified as stars round their first member; members that fail there are
+    compared with all of the bucket. Equal word sequences are one node. Ids must
+    be whole numbers; null ids are left out, so such rows are in no group.
+    """
+    sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
+    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")))
+    each = reps.select("rep", F.posexplode("fps").alias("t", "fp"))
+    tagged = [(F.col("t").cast("long") * len(LOOSE.keys()) * (1 << 40)) + c for c in LOOSE.columns(F.col("fp"))]
+    at = _keyed(each, tagged)
+    close = _small(at).mapInArrow(_check_buckets(LOOSE, False), "u long, v long")
+    hot = at.where(F.col("n") > BUCKET).select("key", "fp", "rep")
+    first = reliable_checkpoint(hot.groupBy("key").agg(F.min("rep").alias("lead")))
+    star = hot.join(first, "key").where(F.col("rep") != F.col("lead"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("b"), F.xxhash64(text_bytes(text_col)).alias("th"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        pairs = reliable_checkpoint(pairs.distinct())
+        wanted = pairs.select(F.col("u").alias("n")).unionAll(pairs.select("v")).distinct()
+        sets = reliable_checkpoint(_shingle_sets(texts.join(wanted, F.col("id") == F.col("n"), "left_semi").select("id", "b"), shingle).dropDuplicates(["id"]))
+        both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
+        met = F.size(F.array_intersect("su", "sv"))
+        return reliable_checkpoint(both.where(met >= similar * (F.size("su") + F.size("sv") - met)).select("u", "v"))
+
+    links = verified(close.unionAll(star.select(F.col("lead").alias("u"), F.col("rep").alias("v"))))
+    fits = links.toDF("lead", "rep").withColumn("fits", F.lit(True))
+    failed = reliable_checkpoint(star.join(fits, ["lead", "rep"], "left").where("fits is null").select("key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2")))
+    again = hot.join(failed, "key").where((F.col("rep") != F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= LOOSE.radius))
+    more = verified(again.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")))
+    comp = reliable_checkpoint(components(links.unionAll(more)))
+    of = reps.join(comp, reps.rep == comp.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
+    return sk.select("id", "th", "same").join(reliable_checkpoint(of), "same").select("id", "th", "component")
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` without those whose group has a smaller id; rows with a null id stay."""
+    gone = similar_groups(docs, id_col, text_col).where(F.col("id") != F.col("component")).select(F.col("id").alias("_id"), F.col("th").alias("_th"))
+    return docs.join(gone, (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(text_bytes(docs[text_col])) == F.col("_th")), "left_anti")

@@ -34,7 +34,7 @@ def earlier(shard: Shard) -> list[np.ndarray]:
     return [offset[hit[a:b]] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
-def _finish(t: Tokens, keep: np.ndarray) -> tuple:
+def _finish(t: Tokens, keep: np.ndarray, text: bytes) -> tuple:
     gone = ~keep
     spans = int(np.count_nonzero(gone[1:] & ~gone[:-1])) + int(len(gone) > 0 and gone[0])
     return len(keep), int(gone.sum()), spans, t.kept(keep)

@@ -140,3 +140,9 @@ def scored(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     raw = model.trees.transform(made).select("id", vector_to_array("probability")[1].alias("_raw"))
     cal = model.steps.transform(raw)
     return cal.select("id", F.least(F.greatest((1 - TIE) * F.col("_calibrated") + TIE * F.col("_raw"), F.lit(0.0)), F.lit(1.0)).alias("score"))
+
+
+def accepted(docs: DataFrame, model: Model, limit: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` with a score below ``limit``, as they are."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).alias("text"))
+    return scored(rows, model, "row", "text").where(F.col("score") < limit).select("id.*")
