@@ -146,6 +146,15 @@ def _stretches(docs: DataFrame, notes: DataFrame, law: Law, frequent: bool) -> D
     return docs.groupBy("bucket").cogroup(notes.groupBy("bucket")).applyInArrow(run, f"key long, id {docs.schema['id'].dataType.simpleString()}, th long, start int, size int, seg binary")
 
 
+def _nullable(t: pa.DataType) -> pa.DataType:
+    """The type with fields that may be null, as the result's schema says."""
+    if pa.types.is_struct(t):
+        return pa.struct([pa.field(f.name, _nullable(f.type)) for f in t])
+    if pa.types.is_list(t):
+        return pa.list_(pa.field(t.value_field.name, _nullable(t.value_type)))
+    return t
+
+
 class Shard:
     """Rows of one index: distinct stretches, and each row's place as one number that sorts as (id, text, start)."""
 
@@ -311,6 +320,6 @@ def cut_repeats(docs: DataFrame, law: Law, index: Callable[[Shard], list[np.ndar
                 edge[q] -= 1
             rows.append(finish(t, np.cumsum(edge)[:-1] == 0, b))
         made = {c: pa.array([r[k] for r in rows], types[t]) for k, (c, t) in enumerate(fields)}
-        return pa.table({"id": texts.column("id"), **made, **{c: texts.column(c) for c in row_cols}})
+        return pa.table({"id": texts.column("id"), **made, **{c: texts.column(c).cast(_nullable(texts.schema.field(c).type)) for c in row_cols}})
 
     return texts.groupBy("bucket").cogroup(gone.groupBy("bucket")).applyInArrow(cut, f"id {kind}, {columns}{row_type}")
