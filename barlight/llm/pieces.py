@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Characters of a chunk; longer texts are split, so that no task holds a path over more.
-CHUNK = 16_384
-# Segments that a task remembers.
-REMEMBERED = 400_000
+CHUNK = 32_768
+# Segments that a task remembers, and texts of one result batch.
+REMEMBERED, TEXTS = 200_000, 500
 NEVER = -(1 << 60)
 SPACE = "▁"
 
@@ -50,6 +51,13 @@ class Vocabulary:
         alone = [c for c in "\n" if not any(c in t and len(t) > 1 for t in self.score)]
         stop = re.escape("".join(alone) + SPACE)
         self.segments = re.compile(f" +[^ {stop}]*|[^ {stop}]+|[{stop}]")
+        # pieces as a tree: by character the score and number of the piece that ends there (or None) and what follows
+        self.root: dict = {}
+        for t, (w, i) in sorted(self.score.items()):
+            kids = self.root
+            for c in t[:-1]:
+                kids = kids.setdefault(c, (None, 0, {}))[2]
+            kids[t[-1]] = (w, i, kids[t[-1]][2] if t[-1] in kids else {})
         self.raw = [bytes([int(t[3:5], 16)]) if i in set(self.byte.values()) else t.replace(SPACE, " ").encode() for i, t in enumerate(self.text)]
 
     @classmethod
@@ -59,17 +67,6 @@ class Vocabulary:
             cls._loaded[path] = cls(path)
         return cls._loaded[path]
 
-    def edges(self, s: str, p: int) -> list[tuple[int, int]]:
-        """``(end, score)`` of the pieces that start at ``p``, shorter first."""
-        out = []
-        for q in range(p + 1, min(p + self.longest, len(s)) + 1):
-            hit = self.score.get(s[p:q])
-            if hit is not None:
-                out.append((q, hit[0]))
-        if not out or out[0][0] != p + 1:
-            out.insert(0, (p + 1, self.byte_score * len(s[p].encode())))
-        return out
-
     def ids(self, s: str) -> list[int]:
         hit = self.score.get(s)
         return [hit[1]] if hit is not None else [self.byte[b] for b in s.encode()]
@@ -79,14 +76,65 @@ class Vocabulary:
         score, back = [NEVER] * (size + self.longest), [-1] * (size + self.longest)
         for a, v in entry.items():
             score[a] = v
+        n, root = len(s), self.root
         for p in range(size):
             v = score[p]
-            if v > NEVER:
-                for q, w in self.edges(s, p):
-                    if v + w > score[q]:
-                        score[q], back[q] = v + w, p
+            if v == NEVER:
+                continue
+            hit = root.get(s[p])
+            if hit is None or hit[0] is None:
+                w = v + self.byte_score * len(s[p].encode())
+                if w > score[p + 1]:
+                    score[p + 1], back[p + 1] = w, p
+            q = p
+            while hit is not None:
+                q += 1
+                w, _, kids = hit
+                if w is not None and v + w > score[q]:
+                    score[q], back[q] = v + w, p
+                if q == n:
+                    break
+                hit = kids.get(s[q])
         return score, back
 
+    def whole(self, s: str) -> tuple[int, bytes]:
+        """Score and pieces (32-bit numbers) of the best path over all of ``s``: :meth:`best` for this most frequent case."""
+        n, root = len(s), self.root
+        score, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
+        score[0] = 0
+        for p in range(n):
+            v = score[p]
+            hit = root.get(s[p])
+            q = p + 1
+            if hit is None or hit[0] is None:
+                w = v + self.byte_score * len(s[p].encode())
+                if w > score[q]:
+                    score[q], back[q], piece[q] = w, p, -1
+                if hit is None:
+                    continue
+            for c in s[q:]:
+                w, i, kids = hit
+                if w is not None and (w := v + w) > score[q]:
+                    score[q], back[q], piece[q] = w, p, i
+                hit = kids.get(c)
+                if hit is None:
+                    break
+                q += 1
+            else:
+                w, i, kids = hit
+                if w is not None and (w := v + w) > score[q]:
+                    score[q], back[q], piece[q] = w, p, i
+        out, q = [], n
+        while q:
+            p = back[q]
+            if piece[q] >= 0:
+                out.append(piece[q])
+            else:
+                out.extend(self.byte[b] for b in reversed(s[p].encode()))
+            q = p
+        out.reverse()
+        return score[n], array("i", out).tobytes()
+
     def path(self, s: str, size: int, a: int, b: int) -> tuple[int, list[int]]:
         """Score and pieces of the best path from place ``a`` to place ``b``."""
         score, back = self.best(s, size, {a: 0})
@@ -104,13 +152,14 @@ class Encoder:
     def __init__(self, name: str):
         self.v, self.known = Vocabulary.of(name), {}
 
-    def segment(self, s: str) -> tuple[int, list[int]]:
+    def segment(self, s: str) -> tuple[int, bytes]:
+        """Score and pieces (32-bit numbers) of a whole segment."""
         hit = self.known.get(s)
         if hit is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             mark = s.replace(" ", SPACE)
-            hit = (self.v.byte_score * 3, self.v.ids("\0" + SPACE)[1:]) if s == SPACE else self.v.path(mark, len(mark), 0, len(mark))
+            hit = (self.v.byte_score * 3, array("i", self.v.ids("\0" + SPACE)[1:]).tobytes()) if s == SPACE else self.v.whole(mark)
             self.known[s] = hit
         return hit
 
@@ -118,11 +167,8 @@ class Encoder:
         """Segments of the chunk's own characters, and what the last one reads ahead."""
         return self.v.segments.findall(chunk[:size]), chunk[size:]
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for s in self.v.segments.findall(" " + text) if text else ():
-            out.extend(self.segment(s)[1])
-        return out
+    def encode(self, text: str) -> bytes:
+        return b"".join([self.segment(s)[1] for s in self.v.segments.findall(" " + text)]) if text else b""
 
     def _ahead(self, last: str, rest: str) -> str:
         """What may follow ``last`` inside a piece, as far as the next place that none goes over."""
@@ -158,24 +204,33 @@ class Encoder:
                 out[a, :len(end)] = np.where(end > NEVER, head + middle + end, NEVER)
         return out
 
-    def trace(self, chunk: str, size: int, a: int, b: int) -> list[int]:
+    def trace(self, chunk: str, size: int, a: int, b: int) -> bytes:
         """Pieces that start in the chunk, from entry state ``a`` to exit state ``b``."""
         parts, rest = self.parts(chunk, size)
         first, last = parts[0], parts[-1]
 
-        def walk(s: str, more: str, a: int, b: int) -> list[int]:
+        def walk(s: str, more: str, a: int, b: int) -> bytes:
             if s == SPACE:
-                return list(self.segment(s)[1]) if a == 0 else []
+                return self.segment(s)[1] if a == 0 else b""
             t = (s + more).replace(" ", SPACE)
-            return self.v.path(t, len(s), a, len(s) + b)[1]
+            return array("i", self.v.path(t, len(s), a, len(s) + b)[1]).tobytes()
 
         if len(parts) == 1:
             return walk(first, self._ahead(last, rest), a, b)
-        out = walk(first, "", a, 0)
-        for s in parts[1:-1]:
-            out.extend(self.segment(s)[1])
-        out.extend(walk(last, self._ahead(last, rest), 0, b))
-        return out
+        return b"".join([walk(first, "", a, 0), *[self.segment(s)[1] for s in parts[1:-1]], walk(last, self._ahead(last, rest), 0, b)])
+
+
+def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of ``TEXTS`` rows at most: pieces take far more room than the text."""
+    for x in batches:
+        for a in range(0, x.num_rows, TEXTS):
+            yield x.slice(a, TEXTS)
+
+
+def _lists(blobs: list[bytes]) -> pa.Array:
+    """Packed 32-bit numbers as an array of lists."""
+    ends = np.cumsum([0, *(len(b) // 4 for b in blobs)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(blobs), np.int32)))
 
 
 def combined(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -227,9 +282,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(model)
-        for x in batches:
+        for x in _small(batches):
             out = [e.encode(s.as_py()) for s in x.column("text")]
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), pa.array(out, pa.list_(pa.int32()))], ["id", "th", "pieces"])
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), _lists(out)], ["id", "th", "pieces"])
 
     reach = 64  # read ahead beyond a chunk; no piece is longer
     full = F.concat(F.lit(" "), F.col("text"))
@@ -256,10 +311,10 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
 
     def traced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(model)
-        for x in batches:
+        for x in _small(batches):
             s, n, a, b = (x.column(c).to_pylist() for c in ("s", "size", "a", "b"))
             out = [e.trace(*r) for r in zip(s, n, a, b, strict=True)]
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), x.column("k"), pa.array(out, pa.list_(pa.int32()))], ["id", "th", "k", "pieces"])
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), x.column("k"), _lists(out)], ["id", "th", "k", "pieces"])
 
     parts = both.select("id", "th", "k", "s", "size", "a", "b").mapInArrow(traced, f"id {kind}, th long, k int, pieces array<int>")
     joined = parts.groupBy("id", "th").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "pieces"))), lambda x: x["pieces"])).alias("pieces"))
@@ -275,8 +330,10 @@ def decode(encoded: DataFrame, model: str, pieces_col: str = "pieces") -> DataFr
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = Vocabulary.of(model).raw
-        for x in batches:
-            out = [b"".join(map(raw.__getitem__, p or ())).decode()[1:] for p in x.column(at).to_pylist()]
+        for x in _small(batches):
+            lists = x.column(at)
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+            out = [b"".join(map(raw.__getitem__, values[a:b].tolist())).decode()[1:] if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
             kept = [(n, c) for n, c in zip(x.schema.names, x.columns, strict=True) if n != "decoded"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(out, pa.string())], [*(n for n, _ in kept), "decoded"])
 
