@@ -47,6 +47,9 @@ class Vocabulary:
         self.byte_score = min((s for s, _ in self.score.values() if s > -(1 << 32)), default=0) - 640
         if any(SPACE in t.strip(SPACE) or (t.endswith(SPACE) and t.strip(SPACE)) for t in self.score):
             raise ValueError("a piece goes over a word's start")
+        self.worth = np.full(len(self.text), self.byte_score, np.int64)
+        for w, i in self.score.values():
+            self.worth[i] = w
         # a character of no longer piece stands alone, as a literal space mark does
         alone = [c for c in "\n" if not any(c in t and len(t) > 1 for t in self.score)]
         stop = re.escape("".join(alone) + SPACE)
@@ -97,8 +100,8 @@ class Vocabulary:
                 hit = kids.get(s[q])
         return score, back
 
-    def whole(self, s: str) -> tuple[int, bytes]:
-        """Score and pieces (32-bit numbers) of the best path over all of ``s``: :meth:`best` for this most frequent case."""
+    def whole(self, s: str) -> bytes:
+        """Pieces (32-bit numbers) of the best path over all of ``s``: :meth:`best` for this most frequent case."""
         n, root = len(s), self.root
         score, back, piece = [NEVER] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
         score[0] = 0
@@ -133,7 +136,7 @@ class Vocabulary:
                 out.extend(self.byte[b] for b in reversed(s[p].encode()))
             q = p
         out.reverse()
-        return score[n], array("i", out).tobytes()
+        return array("i", out).tobytes()
 
     def path(self, s: str, size: int, a: int, b: int) -> tuple[int, list[int]]:
         """Score and pieces of the best path from place ``a`` to place ``b``."""
@@ -152,15 +155,13 @@ class Encoder:
     def __init__(self, name: str):
         self.v, self.known = Vocabulary.of(name), {}
 
-    def segment(self, s: str) -> tuple[int, bytes]:
-        """Score and pieces (32-bit numbers) of a whole segment."""
+    def segment(self, s: str) -> bytes:
+        """Pieces (32-bit numbers) of a whole segment."""
         hit = self.known.get(s)
         if hit is None:
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
-            mark = s.replace(" ", SPACE)
-            hit = (self.v.byte_score * 3, array("i", self.v.ids("\0" + SPACE)[1:]).tobytes()) if s == SPACE else self.v.whole(mark)
-            self.known[s] = hit
+            hit = self.known[s] = array("i", self.v.ids("\0" + SPACE)[1:]).tobytes() if s == SPACE else self.v.whole(s.replace(" ", SPACE))
         return hit
 
     def parts(self, chunk: str, size: int) -> tuple[list[str], str]:
@@ -168,7 +169,7 @@ class Encoder:
         return self.v.segments.findall(chunk[:size]), chunk[size:]
 
     def encode(self, text: str) -> bytes:
-        return b"".join([self.segment(s)[1] for s in self.v.segments.findall(" " + text)]) if text else b""
+        return b"".join(map(self.segment, self.v.segments.findall(" " + text))) if text else b""
 
     def _ahead(self, last: str, rest: str) -> str:
         """What may follow ``last`` inside a piece, as far as the next place that none goes over."""
@@ -196,7 +197,7 @@ class Encoder:
                 got = row(first, ahead, a, 1 + len(ahead))
                 out[a, :len(got)] = got
             return out
-        middle = sum(self.segment(s)[0] for s in parts[1:-1])
+        middle = int(self.v.worth[np.frombuffer(b"".join(map(self.segment, parts[1:-1])), np.int32)].sum())
         end = np.array(row(last, ahead, 0, 1 + len(ahead)), dtype=np.int64)
         for a in range(min(m, len(first) + 1)):
             head = row(first, "", a, 1)[0]
@@ -211,13 +212,13 @@ class Encoder:
 
         def walk(s: str, more: str, a: int, b: int) -> bytes:
             if s == SPACE:
-                return self.segment(s)[1] if a == 0 else b""
+                return self.segment(s) if a == 0 else b""
             t = (s + more).replace(" ", SPACE)
             return array("i", self.v.path(t, len(s), a, len(s) + b)[1]).tobytes()
 
         if len(parts) == 1:
             return walk(first, self._ahead(last, rest), a, b)
-        return b"".join([walk(first, "", a, 0), *[self.segment(s)[1] for s in parts[1:-1]], walk(last, self._ahead(last, rest), 0, b)])
+        return b"".join([walk(first, "", a, 0), *map(self.segment, parts[1:-1]), walk(last, self._ahead(last, rest), 0, b)])
 
 
 def _small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
