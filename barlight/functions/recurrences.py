@@ -33,7 +33,7 @@ class Rma:
     def step(self, x: float) -> float:
         if not isfinite(x):
             return nan
-        self.n += 1
+        self.n = min(self.n + 1, self.p + 1)  # bounded, so that two states can become equal
         if self.n <= self.p:
             self.q += x
             if self.n < self.p:

@@ -207,8 +207,14 @@ def candidate_catalogue(spark: SparkSession) -> DataFrame:
 
 
 def with_paths(rows: DataFrame, horizons: list[int], block_rows: int | None = None) -> DataFrame:
-    """Close ``h`` bars later and the path's extremes, for each horizon."""
-    wide = L.with_halo(rows, block_rows, 0, max(horizons)) if block_rows else rows
+    """Close ``h`` bars later and the path's extremes, for each horizon.
+
+    Rows that are cut into blocks (of any size) are read over the blocks' edges:
+    their row index says where a block of ``block_rows`` begins.
+    """
+    if block_rows is None and L.BLOCK in rows.columns:
+        block_rows = L.DEFAULT_BLOCK_ROWS
+    wide = L.with_halo(L.into_blocks(rows, block_rows), block_rows, 0, max(horizons)) if block_rows else rows
     w = L.series_window(wide)
     cols = {}
     for k in horizons:

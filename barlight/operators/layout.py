@@ -39,13 +39,18 @@ def series_keys(df: DataFrame) -> list[str]:
     return [*SERIES, *extra]
 
 
+def whole_keys(df: DataFrame) -> list[str]:
+    """Grouping columns of a series as a whole: all but the block."""
+    return [k for k in series_keys(df) if k != BLOCK]
+
+
 def series_window(df: DataFrame):
     return Window.partitionBy(*series_keys(df)).orderBy("t")
 
 
 def longest_series(bars: DataFrame) -> int:
     """Rows of the longest series; one map-side combined count."""
-    row = bars.groupBy(*SERIES).count().agg(F.max("count")).first()
+    row = bars.groupBy(*whole_keys(bars)).count().agg(F.max("count")).first()
     return int(row[0] or 0)
 
 
@@ -68,12 +73,13 @@ def with_index(bars: DataFrame, chunk_ms: int = 30 * 86_400_000) -> DataFrame:
     """
     chunk = F.floor(F.col("t") / F.lit(chunk_ms)).cast("long")
     rows = bars.withColumn("_chunk", chunk)
-    counts = rows.groupBy(*SERIES, "_chunk").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*SERIES).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(*SERIES, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    inner = Window.partitionBy(*SERIES, "_chunk").orderBy("t")
+    keys = whole_keys(bars)
+    counts = rows.groupBy(*keys, "_chunk").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*keys, "_chunk", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    inner = Window.partitionBy(*keys, "_chunk").orderBy("t")
     return (
-        rows.join(offsets, [*SERIES, "_chunk"])
+        rows.join(offsets, [*keys, "_chunk"])
         .withColumn(INDEX, (F.col("_off") + F.row_number().over(inner) - 1).cast("long"))
         .drop("_chunk", "_off")
     )

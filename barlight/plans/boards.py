@@ -211,7 +211,7 @@ def execution_watchlist(candidates: DataFrame, snapshot: DataFrame, depth_adviso
         "underlying", F.coalesce(top["contract"], F.col("first")).alias("contract"),
         F.coalesce(top["status"], F.lit("NO_MARKET_SNAPSHOT")).alias("status"),
         F.coalesce(top["reasons"], F.array().cast("array<string>")).alias("reasons"),
-        F.transform(F.slice("all", 2, 1_000), lambda x: F.concat_ws(":", x["contract"], x["status"])).alias("alternatives"))
+        F.transform(F.slice("all", 2, F.greatest(F.size("all"), F.lit(1))), lambda x: F.concat_ws(":", x["contract"], x["status"])).alias("alternatives"))
 
 
 # --- book levels --------------------------------------------------------------------

@@ -11,7 +11,7 @@ from barlight.operators import layout as L
 from barlight.plans.monitor import direction_name, timeframe_ms
 
 # Execution policy.
-GATE = {"version": "demo11-exec-v1", "max_spread": 25.0, "max_age": 5000, "depth_multiple": 2.5, "min_notional": 5.0,
+GATE = {"version": "exec-v1", "max_spread": 25.0, "max_age": 5000, "depth_multiple": 2.5, "min_notional": 5.0,
         "exit_divisor": 1.5, "exit_warning": 2.0, "min_volume": 500_000.0, "min_oi": 500_000.0}
 
 
@@ -185,7 +185,7 @@ def arbitrate(decisions: DataFrame, positions: DataFrame, ledger: DataFrame, req
         "symbol", "candle_close_t", "status", F.when(made, F.col("intent_id")).alias("intent_id"),
         F.when(made, F.col("side")).alias("side"), F.when(made, action).alias("action"), F.when(made, size).alias("notional"),
         F.size("signal_ids").alias("support"), F.element_at("signal_ids", 1).alias("lead_id"), "signal_ids",
-        F.when(made, F.concat(F.lit("d11-"), F.substring(F.sha2(F.col("intent_id"), 256), 1, 28))).alias("client_order_id"))
+        F.when(made, F.concat(F.lit("bl-"), F.substring(F.sha2(F.col("intent_id"), 256), 1, 28))).alias("client_order_id"))
 
 
 def simple_arbiter(signals: DataFrame, by: list[str]) -> DataFrame:

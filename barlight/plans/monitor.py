@@ -344,9 +344,11 @@ def proximity(bars: DataFrame, longest: int | None = None) -> DataFrame:
 
     cells = [F.struct(F.lit(k).alias("strategy_id"), *sides(*v)) for k, v in found.items()]
     cells.append(F.struct(F.lit("sr25_fvg_first_touch").alias("strategy_id"), *sides(*gap, long_on=gd == 1, short_on=gd == -1, off=(
-        "no active bullish FVG", "no active bearish FVG"))))
+        F.when(gd == -1, "active FVG is bearish").otherwise("no active bullish FVG"),
+        F.when(gd == 1, "active FVG is bullish").otherwise("no active bearish FVG")))))
     cells.append(F.struct(F.lit("sr25_impulse_ob_retest").alias("strategy_id"), *sides(*block, long_on=bd == 1, short_on=bd == -1, off=(
-        "no active impulse order block", "no active impulse order block"))))
+        F.when(bd == -1, "active order block is bearish").otherwise("no active impulse order block"),
+        F.when(bd == 1, "active order block is bullish").otherwise("no active impulse order block")))))
     cells.append(F.struct(F.lit("sr25_trendline_breakout").alias("strategy_id"), *sides(
         *line, long_on=F.col("up_now").isNotNull() & (a > 0), short_on=F.col("dn_now").isNotNull() & (a > 0),
         off=("need 3 confirmed pivots", "need 3 confirmed pivots"))))
@@ -383,7 +385,7 @@ class _BlockState:
 
     def step(self, *row):
         z = self.rule.zone
-        live = z.dir if z.dir and self.rule.n + 1 <= z.until else 0
+        live = z.dir if z.dir and self.rule.n <= z.until else 0
         before = (float(live), z.lo, z.hi)
         self.rule.step(*row)
         return before

@@ -176,6 +176,6 @@ def write_board(board: DataFrame, path: str, mode: str = "overwrite") -> None:
 def markdown_table(board: DataFrame, columns: list[str], order: list[Column], rows: int = 100) -> str:
     """The first rows of a board as a table for people."""
     lines = ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
-    for r in board.select(*columns).orderBy(*order).limit(min(rows, 100)).collect():
+    for r in board.select(*columns).orderBy(*order).limit(rows).collect():
         lines.append("| " + " | ".join(f"{x:.4f}" if isinstance(x, float) else str(x) for x in r) + " |")
     return "\n".join(lines) + "\n"

@@ -271,7 +271,7 @@ def _gate(spark, sf):
     return decided(spark, sf).select("event_id", "verdict", "reason", "warnings", "entry_depth", "exit_depth", "max_notional", "snapshot_t")
 
 
-@check("decision_ids", f"""{EV}, {ARMED}, {SNAPS}, {AS_OF}, {GATED} SELECT event_id, 'dec_' || sha256('{{"event_id":"' || event_id || '","policy_version":"demo11-exec-v1","reason":' || coalesce('"' || reason || '"', 'null') || ',"snapshot_t":'
+@check("decision_ids", f"""{EV}, {ARMED}, {SNAPS}, {AS_OF}, {GATED} SELECT event_id, 'dec_' || sha256('{{"event_id":"' || event_id || '","policy_version":"exec-v1","reason":' || coalesce('"' || reason || '"', 'null') || ',"snapshot_t":'
   || coalesce(CAST(snapshot_t AS VARCHAR), 'null') || ',"verdict":"' || verdict || '"}}')[1:32] AS decision_id FROM gd""")
 def _ids(spark, sf):
     return decided(spark, sf).select("event_id", "decision_id")

@@ -103,3 +103,32 @@ def test_base_timeframe():
     assert B.base_timeframe(["1m", "5m", "1h"], 14_400_000) == "1h"
     with pytest.raises(ValueError):
         B.base_timeframe(["4h"], 3_600_000)
+
+
+def test_study_events_over_blocks(bars):
+    costs = {"base": (0.0004, 0.0001)}
+    one = X.outcomes(G.study_events(X.features(bars, longest=10), [3, 12]), [3, 12], costs)
+    two = X.outcomes(G.study_events(X.features(bars, longest=10**9, block_rows=150), [3, 12]), [3, 12], costs)
+    cols = ["symbol", "t", "kind", "horizon", "gross", "mae", "mfe"]
+    assert one.count() > 0 and one.select(cols).exceptAll(two.select(cols)).isEmpty() and two.select(cols).exceptAll(one.select(cols)).isEmpty()
+
+
+def test_tuning_over_blocks(bars):
+    one, two = G.tune_thresholds(X.features(bars, longest=10)), G.tune_thresholds(X.features(bars, longest=10**9, block_rows=150))
+    assert one.count() > 0 and one.exceptAll(two.select(one.columns)).isEmpty()
+
+
+def test_parts_over_blocks(bars):
+    cut = bars.agg(F.percentile("t", 0.6)).first()[0]
+    parts = bars.withColumn("part", F.lit("a")).unionByName(bars.where(F.col("t") <= cut).withColumn("part", F.lit("b")))
+    ids = ["swp_range48_reclaim", "sr25_donchian_breakout", "sr25_fvg_first_touch"]
+    cols = ["symbol", "part", "t", "strategy_id", "sig"]
+    one, two = signals(parts, ids, 10).select(cols), signals(parts, ids, 10**9, block_rows=150).select(cols)
+    assert one.count() > 0 and one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
+
+
+def test_all_alternatives(spark):
+    from barlight.sources.files import markdown_table
+
+    df = spark.range(150).toDF("n")
+    assert markdown_table(df, ["n"], [F.col("n")], 150).count("\n") == 152
