@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_, or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -125,11 +128,27 @@ def features(bars: DataFrame, config: dict | None = None, longest: int | None =
 
 
 def feature_signature(rows: DataFrame) -> DataFrame:
-    """Order-free digest of each series' feature rows."""
-    text = F.concat_ws("|", "t", *[F.format_string("%.9f", F.col(x)) for x in FEATURES])
+    """Order-free digest of each series' feature rows, to six places: a sum over 32 bits of each row's MD5."""
+    six = lambda x: F.format_string("%.6f", F.round(F.col(x).cast("double"), 6) + F.lit(0.0))
+    text = F.concat_ws("|", F.col("t").cast("string"), *[F.when(F.col(x).isNotNull(), six(x)) for x in FEATURES])
     return rows.groupBy("symbol", "timeframe").agg(
         F.count("*").alias("rows"),
-        F.sum(F.pmod(F.xxhash64(text), F.lit(2**31 - 1))).alias("signature"))
+        F.sum(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("bigint")).alias("signature"))
+
+
+def concept_coverage(rows: DataFrame) -> DataFrame:
+    """For each trading concept: rows where every feature it reads is defined, and where one is not zero.
+
+    Only the feature columns are read, once; the concepts are a fixed list.
+    """
+    cells = []
+    for concept, disposition, names in CONCEPTS:
+        known = [F.col(x).isNotNull() for x in names] or [F.lit(False)]
+        active = [F.coalesce(F.col(x) != 0, F.lit(False)) for x in names] or [F.lit(False)]
+        cells.append(F.struct(F.lit(concept).alias("concept"), F.lit(disposition).alias("disposition"), F.lit(len(names)).alias("features"),
+                              reduce(and_, known).alias("known"), reduce(or_, active).alias("active")))
+    each = rows.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    return each.groupBy("concept", "disposition", "features").agg(F.count_if("known").alias("defined_rows"), F.count_if("active").alias("active_rows"))
 
 
 def with_previous(rows: DataFrame) -> DataFrame:

@@ -180,11 +180,25 @@ def _features(spark, sf):
     return X.features(bars(spark, sf), longest=bound(spark, sf)).select("symbol", "timeframe", "t", *X.FEATURES)
 
 
-@check("feature_signature")
+SIX = ", ".join(f"printf('%.6f', {r6(x)})" for x in X.FEATURES)
+
+
+@check("feature_signature", f"""WITH {walk()},\n{FEATURES_CTE}
+SELECT symbol, timeframe, count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', CAST(t AS VARCHAR), {SIX})), 1, 8) AS BIGINT)) AS BIGINT) AS signature FROM feat GROUP BY 1, 2""")
 def _signature(spark, sf):
     return X.feature_signature(X.features(bars(spark, sf), longest=bound(spark, sf)))
 
 
+CONCEPT_SQL = " UNION ALL ".join(
+    f"SELECT '{c}' AS concept, '{d}' AS disposition, {len(f)} AS features, count(*) FILTER (WHERE {' AND '.join(f'{x} IS NOT NULL' for x in f) or 'false'}) AS defined_rows, "
+    f"count(*) FILTER (WHERE {' OR '.join(f'{x} <> 0' for x in f) or 'false'}) AS active_rows FROM feat" for c, d, f in X.CONCEPTS)
+
+
+@check("concept_coverage", f"WITH {walk()},\n{FEATURES_CTE}\n{CONCEPT_SQL}")
+def _concepts(spark, sf):
+    return X.concept_coverage(X.features(bars(spark, sf), longest=bound(spark, sf)))
+
+
 SETUPS_CTE = """cand AS (SELECT *, lag(CompressionDepth) OVER w AS pdep, lag(CompressionDuration) OVER w AS pdur FROM feat WINDOW w AS (PARTITION BY symbol ORDER BY i)),
 ev AS MATERIALIZED (
   SELECT symbol, timeframe, t, i, c, 'breakout' AS kind, CASE WHEN BOSStrength >= 0 THEN 1 ELSE -1 END AS direction, abs(BOSStrength) AS strength, abs(BOSStrength) AS a, 0.0 AS b, 0.0 AS d FROM cand WHERE BOSStrength <> 0
