@@ -375,9 +375,9 @@ def common_configs(deltas: DataFrame, config: str) -> DataFrame:
 
 
 def metric_parity(a: DataFrame, b: DataFrame, keys: list[str], metrics: list[str], tol: float = 1e-9) -> DataFrame:
-    """Rows of two runs side by side; the row with most trades stands for a key."""
+    """Rows of two runs side by side; the row with most trades (then the greatest metrics) stands for a key."""
     def one(df: DataFrame, tag: str) -> DataFrame:
-        picked = df.groupBy(*keys).agg(F.max_by(F.struct(*metrics), "n").alias(tag))
+        picked = df.groupBy(*keys).agg(F.max_by(F.struct(*metrics), F.struct("n", *metrics)).alias(tag))
         return picked
 
     both = one(a, "x").join(one(b, "y"), keys, "full")

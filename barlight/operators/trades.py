@@ -239,7 +239,7 @@ def net_position(fills: DataFrame, adjustments: DataFrame) -> DataFrame:
 def implementation_shortfall(fills: DataFrame, intents: DataFrame) -> DataFrame:
     """Signed slippage in basis points; a repeated fill id counts once."""
     cols = [c for c in fills.columns if c not in ("fill_id", "event_time")]
-    once = fills.groupBy("fill_id").agg(F.min_by(F.struct("event_time", *cols), "event_time").alias("f")).select("fill_id", "f.*")
+    once = fills.groupBy("fill_id").agg(F.min(F.struct("event_time", *cols)).alias("f")).select("fill_id", "f.*")
     side = F.when(F.col("side") == "BUY", 1).otherwise(-1)
     joined = once.join(intents.select("intent_id", "expected_price"), "intent_id", "left")
     bps = F.when(F.col("expected_price") > 0, side * (F.col("fill_price") - F.col("expected_price")) / F.col("expected_price") * 1e4)

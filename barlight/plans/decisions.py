@@ -242,7 +242,7 @@ def evidence_totals(cycles: DataFrame, counters: list[str]) -> DataFrame:
 def recent_unique(events: DataFrame, keep: int = 500) -> DataFrame:
     """The newest distinct events; the first copy of an id stands for it."""
     cols = [c for c in events.columns if c not in ("event_id", "seen_t")]
-    once = events.groupBy("event_id").agg(F.min("seen_t").alias("seen_t"), F.min_by(F.struct(*cols), "seen_t").alias("r"))
+    once = events.groupBy("event_id").agg(F.min("seen_t").alias("seen_t"), F.min_by(F.struct(*cols), F.struct("seen_t", *cols)).alias("r"))
     return once.select("event_id", "seen_t", "r.*").orderBy(F.desc("seen_t"), F.desc("event_id")).limit(keep)
 
 
@@ -309,7 +309,7 @@ def row_action(rows: DataFrame) -> DataFrame:
 def pending_entries(log: DataFrame, now: int) -> DataFrame:
     """Latest pending entry of each underlying that has not expired."""
     cols = [c for c in log.columns if c != "underlying"]
-    return (log.groupBy("underlying").agg(F.max_by(F.struct(*cols), "entry_t").alias("r")).select("underlying", "r.*")
+    return (log.groupBy("underlying").agg(F.max_by(F.struct(*cols), F.struct("entry_t", *cols)).alias("r")).select("underlying", "r.*")
             .where(F.col("expires_t") > now))
 
 

@@ -96,7 +96,8 @@ def read_bars_feather(spark: SparkSession, path: str, timeframe: str) -> DataFra
         import pyarrow.feather as feather
 
         for batch in batches:
-            for row in batch.to_pylist():
+            for k in range(batch.num_rows):  # one file's bytes at a time
+                row = batch.slice(k, 1).to_pylist()[0]
                 table = feather.read_table(io.BytesIO(row["content"]))
                 names = {c.lower(): c for c in table.column_names}
                 time = table[next(names[a] for a in TIME_ALIASES if a in names)]
