@@ -69,7 +69,19 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0)
 
 
-@query("op9_fm_index_dedup")
+OP9_SQL = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+win AS (SELECT doc_id, i, array_to_string(list_slice(ws, i, i + 34), ' ') AS k FROM w, LATERAL (SELECT unnest(generate_series(1, len(ws) - 34)) AS i)),
+rep AS (SELECT doc_id, i AS p FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+pos AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM w),
+cut AS (SELECT doc_id, p, word, max(CASE WHEN rep.p IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY pos.p ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM pos LEFT JOIN rep USING (doc_id, p))
+SELECT w.doc_id, CAST(count(c.p) AS BIGINT) AS n_words, CAST(coalesce(sum(c.gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(string_agg(c.word, ' ' ORDER BY c.p) FILTER (WHERE c.gone = 0), '')) AS kept_sha256
+FROM w LEFT JOIN cut c USING (doc_id) GROUP BY w.doc_id"""
+
+
+@query("op9_fm_index_dedup", OP9_SQL)
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fm_dedup.remove_repeated(table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2(F.encode("kept", "utf-8"), 256).alias("kept_sha256"))
