@@ -10,8 +10,9 @@ series is cut into blocks of consecutive rows:
 * recurrences run block by block with a carried state.  All blocks run at once
   from a guessed state; the blocks whose incoming state turns out different run
   again, until nothing changes.  Block k is final after k rounds at the latest,
-  so the result equals the one-pass result, and smoothing recurrences settle
-  after two or three rounds.
+  so the result equals the one-pass result. Means, whose state is bounded, settle
+  once their memory of the guess is gone; rules that keep absolute bar numbers
+  may take a round a block.
 """
 
 from __future__ import annotations
