@@ -181,9 +181,9 @@ def _keyed(fps: DataFrame, keys: list) -> DataFrame:
     return reliable_checkpoint(keyed.join(sizes, "key"))
 
 
-def _small(at: DataFrame) -> DataFrame:
+def _small(at: DataFrame, most: int) -> DataFrame:
     parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return at.where(F.col("n") <= BUCKET).select("key", "fp", "rep").repartition(parts, "key").sortWithinPartitions("key")
+    return at.where(F.col("n") <= most).select("key", "fp", "rep").repartition(parts, "key").sortWithinPartitions("key")
 
 
 def linked(fps: DataFrame) -> DataFrame:
@@ -196,7 +196,7 @@ def linked(fps: DataFrame) -> DataFrame:
     bits, and the reverse. Nothing is left out.
     """
     at = _keyed(fps, STRICT.columns(F.col("fp")))
-    by_bucket = _small(at).mapInArrow(_check_buckets(STRICT, True), "u long, v long")
+    by_bucket = _small(at, BUCKET).mapInArrow(_check_buckets(STRICT, True), "u long, v long")
     points = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     hot = at.where(F.col("n") > BUCKET).select("fp", "rep").distinct()
     near = hot.select("rep", F.explode(F.transform(points, lambda p: F.col("fp").bitwiseXOR(p))).alias("point"))
@@ -224,6 +224,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 # Fingerprints of similar texts: so many of the distinct words, each under another seed, within three bits on six segments.
 TABLES, LOOSE = 6, Ring(6, 3)
+# Buckets up to this size are verified pair by pair; members of larger ones against so many leaders first.
+CLOSE, LEADERS = 8, 4
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -260,9 +262,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """``(id, th, component)`` per row with an id: documents linked by a similarity of ``similar`` or more of their sets of word shingles.
 
     Candidates come from pigeonring filtering of several SimHashes of the distinct
-    words; each is verified exactly. Buckets with over ``BUCKET`` members are
-    verified as stars round their first member; members that fail there are
-    compared with all of the bucket. Equal word sequences are one node. Ids must
+    words; each is verified exactly. Members of buckets with over
+    ``CLOSE`` members are verified against a few leaders first; those outside the
+    bucket's main group are then compared with all members of other groups than
+    their own, so no link that joins two groups is left out. Equal word sequences are one node. Ids must
     be whole numbers; null ids are left out, so such rows are in no group.
     """
     sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
@@ -270,10 +273,13 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     each = reps.select("rep", F.posexplode("fps").alias("t", "fp"))
     tagged = [(F.col("t").cast("long") * len(LOOSE.keys()) * (1 << 40)) + c for c in LOOSE.columns(F.col("fp"))]
     at = _keyed(each, tagged)
-    close = _small(at).mapInArrow(_check_buckets(LOOSE, False), "u long, v long")
-    hot = at.where(F.col("n") > BUCKET).select("key", "fp", "rep")
-    first = reliable_checkpoint(hot.groupBy("key").agg(F.min("rep").alias("lead")))
-    star = hot.join(first, "key").where(F.col("rep") != F.col("lead"))
+    close = _small(at, CLOSE).mapInArrow(_check_buckets(LOOSE, False), "u long, v long")
+    hot = at.where(F.col("n") > CLOSE).select("key", "fp", "rep")
+    leader = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("lead"), F.col("fp").alias("lead_fp"))).alias(f"l{k}") for k in range(LEADERS)]
+    leads = hot.groupBy("key").agg(*leader).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.lead", f"l{k}.lead_fp") for k in range(LEADERS)]))).alias("l"))
+    leads = reliable_checkpoint(leads.select("key", "l.lead", "l.lead_fp"))
+    star = hot.join(leads, "key").where((F.col("rep") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= LOOSE.radius))
+    star = star.select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("b"), F.xxhash64(text_bytes(text_col)).alias("th"))
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -284,10 +290,12 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         met = F.size(F.array_intersect("su", "sv"))
         return reliable_checkpoint(both.where(met >= similar * (F.size("su") + F.size("sv") - met)).select("u", "v"))
 
-    links = verified(close.unionAll(star.select(F.col("lead").alias("u"), F.col("rep").alias("v"))))
-    fits = links.toDF("lead", "rep").withColumn("fits", F.lit(True))
-    failed = reliable_checkpoint(star.join(fits, ["lead", "rep"], "left").where("fits is null").select("key", F.col("fp").alias("fp2"), F.col("rep").alias("rep2")))
-    again = hot.join(failed, "key").where((F.col("rep") != F.col("rep2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= LOOSE.radius))
+    links = verified(close.unionAll(star))
+    groups = reliable_checkpoint(components(links)).toDF("node", "group")
+    grouped = reliable_checkpoint(hot.join(groups, hot.rep == groups.node, "left").select("key", "fp", "rep", F.coalesce("group", "rep").alias("group")))
+    main = reliable_checkpoint(grouped.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("group").alias("g"))).alias("m")).select("key", F.col("m.g").alias("main")))
+    failed = reliable_checkpoint(grouped.join(main, "key").where(F.col("group") != F.col("main")).select("key", "fp", "rep", "group").toDF("key", "fp2", "rep2", "group2"))
+    again = grouped.join(failed, (grouped.key == failed.key) & (F.col("group") != F.col("group2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= LOOSE.radius))
     more = verified(again.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")))
     comp = reliable_checkpoint(components(links.unionAll(more)))
     of = reps.join(comp, reps.rep == comp.node, "left").select("same", F.coalesce("component", "rep").alias("component"))

@@ -83,9 +83,9 @@ def test_near_duplicates(spark, monkeypatch, bucket):
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 
-@pytest.mark.parametrize("bucket", [64, 3])
+@pytest.mark.parametrize("bucket", [8, 2])
 def test_similar_groups(spark, monkeypatch, bucket):
-    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash, "CLOSE", bucket)
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
     rows, base = [], [[word() for _ in range(150)] for _ in range(5)]
