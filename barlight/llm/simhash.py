@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.llm.anchors import mixed
@@ -136,6 +136,25 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
+def _by_key(names: list[str], links):
+    """``links`` over batches of rows sorted by key, each key whole in one call."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for x in batches:
+            t = pa.Table.from_batches([x]).select(names)
+            if rest is not None:
+                t = pa.concat_tables([rest, t]).combine_chunks()
+            key = t.column("key").to_numpy()
+            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
+            if cut:
+                yield links(t.slice(0, cut))
+            rest = t.slice(cut)
+        if rest is not None and rest.num_rows:
+            yield links(rest)
+
+    return run
+
+
 def _check_buckets(ring: Ring, span: bool):
     """Rows ``key, fp, rep`` sorted by key: links between representatives within the radius; with ``span`` only as many as join the same."""
     names = ["key", "fp", "rep"]
@@ -157,33 +176,19 @@ def _check_buckets(ring: Ring, span: bool):
         a, b = _forest(a, b) if span else np.unique(np.stack([a, b], 1), axis=0).T
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for x in batches:
-            t = pa.Table.from_batches([x]).select(names)
-            if rest is not None:
-                t = pa.concat_tables([rest, t]).combine_chunks()
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
-            if cut:
-                yield links(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield links(rest)
-
-    return run
+    return _by_key(names, links)
 
 
-def _keyed(fps: DataFrame, keys: list) -> DataFrame:
-    """Rows ``key, n, fp, rep`` of the keys that two or more fingerprints have."""
-    keyed = fps.select("fp", "rep", F.explode(F.array(*keys)).alias("key"))
+def _keyed(rows: DataFrame, keys: Column, name: str) -> DataFrame:
+    """Rows ``key, n, rep`` and the column ``name`` of the keys that two or more of ``rows`` have."""
+    keyed = rows.select(name, "rep", F.explode(keys).alias("key"))
     sizes = reliable_checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     return reliable_checkpoint(keyed.join(sizes, "key"))
 
 
-def _small(at: DataFrame, most: int) -> DataFrame:
+def _small(at: DataFrame, most: int, name: str) -> DataFrame:
     parts = int(at.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return at.where(F.col("n") <= most).select("key", "fp", "rep").repartition(parts, "key").sortWithinPartitions("key")
+    return at.where(F.col("n") <= most).select("key", name, "rep").repartition(parts, "key").sortWithinPartitions("key")
 
 
 def linked(fps: DataFrame) -> DataFrame:
@@ -195,8 +200,8 @@ def linked(fps: DataFrame) -> DataFrame:
     64 one-bit neighbours, and fingerprints that share such a point are within two
     bits, and the reverse. Nothing is left out.
     """
-    at = _keyed(fps, STRICT.columns(F.col("fp")))
-    by_bucket = _small(at, BUCKET).mapInArrow(_check_buckets(STRICT, True), "u long, v long")
+    at = _keyed(fps, F.array(*STRICT.columns(F.col("fp"))), "fp")
+    by_bucket = _small(at, BUCKET, "fp").mapInArrow(_check_buckets(STRICT, True), "u long, v long")
     points = F.array(F.lit(0).cast("long"), *[F.lit(1 << k if k < 63 else -(1 << 63)).cast("long") for k in range(64)])
     hot = at.where(F.col("n") > BUCKET).select("fp", "rep").distinct()
     near = hot.select("rep", F.explode(F.transform(points, lambda p: F.col("fp").bitwiseXOR(p))).alias("point"))
@@ -222,30 +227,69 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-# Fingerprints of similar texts: so many of the distinct words, each under another seed, within three bits on six segments.
-TABLES, LOOSE = 6, Ring(6, 3)
+# A ring of six segments for three bits.
+LOOSE = Ring(6, 3)
+# Band keys of similar texts: each is made of so many least hashes of the shingles. A pair of similarity s shares none
+# with probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8, however the shingles that differ lie in the texts.
+BANDS, ROWS = 32, 5
 # Buckets up to this size are verified pair by pair; members of larger ones against so many leaders first.
 CLOSE, LEADERS = 8, 4
+_TIMES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+
+
+def _bands(h: np.ndarray) -> np.ndarray:
+    """The ``BANDS`` keys of a set of hashes; none for an empty set."""
+    if not len(h):
+        return np.zeros(0, np.int64)
+    least = np.full(len(_TIMES), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for k in range(0, len(h), 4096):
+        least = np.minimum(least, (_TIMES[:, None] * h[None, k:k + 4096]).min(axis=1))
+    key = np.arange(1, BANDS + 1, dtype=np.uint64)
+    for row in least.reshape(ROWS, BANDS):
+        key = mixed(key ^ row)
+    return key.view(np.int64)
 
 
-def _sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``(id, th, same, fps)``: a digest of the lower-cased words in order, and SimHashes of the distinct words."""
-    from xxhash import xxh3_128_digest, xxh64_intdigest
+def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
+    """``(id, th, same, n, bands)``: a digest of the lower-cased words in order, the number of distinct word shingles and their band keys."""
+    from xxhash import xxh3_128_digest
 
     b = text_bytes(text_col)
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(b).alias("th"), b.alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            same, fps = [], []
+            same, n, bands = [], [], []
             for b in x.column("b"):
                 words = b.as_py().lower().split()
                 same.append(xxh3_128_digest(b" ".join(words)))
-                h = np.array([xxh64_intdigest(w) for w in set(words)], dtype=np.uint64)
-                fps.append([_majority(mixed(h + np.uint64(0x9E3779B97F4A7C15 * (k + 1) & 0xFFFFFFFFFFFFFFFF))) for k in range(TABLES)])
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), pa.array(same, pa.binary()), pa.array(fps, pa.list_(pa.int64()))], ["id", "th", "same", "fps"])
+                h = np.unique(_hashes(words, size))
+                n.append(len(h))
+                bands.append(_bands(h))
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "same", "n", "bands"])
+
+    return src.mapInArrow(run, "id long, th long, same binary, n long, bands array<long>")
+
+
+def _bucket_pairs(similar: float):
+    """Rows ``key, size, rep`` sorted by key: the pairs of a key whose sizes allow the similarity."""
+    names = ["key", "size", "rep"]
+
+    def pairs(t: pa.Table) -> pa.RecordBatch:
+        key, size, rep = (t.column(n).to_numpy() for n in names)
+        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for step in range(1, len(key)):
+            at = np.flatnonzero(key[:-step] == key[step:])
+            if not len(at):
+                break
+            a, b = size[at], size[at + step]
+            at = at[np.minimum(a, b) >= similar * np.maximum(a, b)]
+            out_a.append(np.minimum(rep[at], rep[at + step]))
+            out_b.append(np.maximum(rep[at], rep[at + step]))
+        a, b = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0).T
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
-    return src.mapInArrow(run, "id long, th long, same binary, fps array<long>")
+    return _by_key(names, pairs)
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -261,24 +305,23 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """``(id, th, component)`` per row with an id: documents linked by a similarity of ``similar`` or more of their sets of word shingles.
 
-    Candidates come from pigeonring filtering of several SimHashes of the distinct
-    words; each is verified exactly. Members of buckets with over
-    ``CLOSE`` members are verified against a few leaders first; those outside the
-    bucket's main group are then compared with all members of other groups than
-    their own, so no link that joins two groups is left out. Equal word sequences are one node. Ids must
-    be whole numbers; null ids are left out, so such rows are in no group.
+    Candidates share one of the ``BANDS`` keys of their shingles; each is verified
+    exactly. Members of buckets with over ``CLOSE`` members are verified against a
+    few leaders first; those outside the bucket's main group are then compared with
+    all members of other groups than their own, so no link that joins two groups is
+    left out. Equal word sequences are one node. Ids must be whole numbers; null ids
+    are left out, so such rows are in no group.
     """
-    sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col))
-    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("fps").alias("fps")))
-    each = reps.select("rep", F.posexplode("fps").alias("t", "fp"))
-    tagged = [(F.col("t").cast("long") * len(LOOSE.keys()) * (1 << 40)) + c for c in LOOSE.columns(F.col("fp"))]
-    at = _keyed(each, tagged)
-    close = _small(at, CLOSE).mapInArrow(_check_buckets(LOOSE, False), "u long, v long")
-    hot = at.where(F.col("n") > CLOSE).select("key", "fp", "rep")
-    leader = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("lead"), F.col("fp").alias("lead_fp"))).alias(f"l{k}") for k in range(LEADERS)]
-    leads = hot.groupBy("key").agg(*leader).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.lead", f"l{k}.lead_fp") for k in range(LEADERS)]))).alias("l"))
-    leads = reliable_checkpoint(leads.select("key", "l.lead", "l.lead_fp"))
-    star = hot.join(leads, "key").where((F.col("rep") != F.col("lead")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("lead_fp"))) <= LOOSE.radius))
+    sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
+    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("size"), F.first("bands").alias("bands")))
+    fits = lambda a, b: F.least(a, b) >= similar * F.greatest(a, b)
+    at = _keyed(reps, F.col("bands"), "size")
+    close = _small(at, CLOSE, "size").mapInArrow(_bucket_pairs(similar), "u long, v long")
+    hot = at.where(F.col("n") > CLOSE).select("key", "size", "rep")
+    leader = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("lead"), F.col("size").alias("lead_size"))).alias(f"l{k}") for k in range(LEADERS)]
+    leads = hot.groupBy("key").agg(*leader).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.lead", f"l{k}.lead_size") for k in range(LEADERS)]))).alias("l"))
+    leads = reliable_checkpoint(leads.select("key", "l.lead", "l.lead_size"))
+    star = hot.join(leads, "key").where((F.col("rep") != F.col("lead")) & fits("size", "lead_size"))
     star = star.select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v"))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("b"), F.xxhash64(text_bytes(text_col)).alias("th"))
 
@@ -292,10 +335,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     links = verified(close.unionAll(star))
     groups = reliable_checkpoint(components(links)).toDF("node", "group")
-    grouped = reliable_checkpoint(hot.join(groups, hot.rep == groups.node, "left").select("key", "fp", "rep", F.coalesce("group", "rep").alias("group")))
+    grouped = reliable_checkpoint(hot.join(groups, hot.rep == groups.node, "left").select("key", "size", "rep", F.coalesce("group", "rep").alias("group")))
     main = reliable_checkpoint(grouped.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("group").alias("g"))).alias("m")).select("key", F.col("m.g").alias("main")))
-    failed = reliable_checkpoint(grouped.join(main, "key").where(F.col("group") != F.col("main")).select("key", "fp", "rep", "group").toDF("key", "fp2", "rep2", "group2"))
-    again = grouped.join(failed, (grouped.key == failed.key) & (F.col("group") != F.col("group2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= LOOSE.radius))
+    failed = reliable_checkpoint(grouped.join(main, "key").where(F.col("group") != F.col("main")).select("key", "size", "rep", "group").toDF("key", "size2", "rep2", "group2"))
+    again = grouped.join(failed, (grouped.key == failed.key) & (F.col("group") != F.col("group2")) & fits("size", "size2"))
     more = verified(again.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")))
     comp = reliable_checkpoint(components(links.unionAll(more)))
     of = reps.join(comp, reps.rep == comp.node, "left").select("same", F.coalesce("component", "rep").alias("component"))

@@ -202,3 +202,31 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(df.limit(0), bench).count() == 0 and decontaminate.contaminated(df, bench.limit(0)).count() == 0
     with pytest.raises(ValueError):
         decontaminate.contaminated(df, spark.createDataFrame([(None, "a b")], "item_id long, text string"))
+
+
+EDITS = {
+    "scattered words": lambda w, new, share, rng: [new() if rng.random() < share / 8 else x for x in w],
+    "replaced block": lambda w, new, share, rng: [*w[:len(w) // 3], *[new() for _ in range(int(len(w) * share / 2))], *w[len(w) // 3 + int(len(w) * share / 2):]],
+    "appended text": lambda w, new, share, rng: [*w, *[new() for _ in range(int(len(w) * share))]],
+    "truncation": lambda w, new, share, rng: w[:len(w) - int(len(w) * share)],
+}
+
+
+@pytest.mark.parametrize("edit", EDITS)
+def test_similar_pairs_are_found(spark, edit):
+    """Recall of at least 0.99 against all pairs, whatever the edit; pairs of each base are alone, so no group helps."""
+    rng, drawn = random.Random(12), np.random.default_rng(12)
+    new = lambda: "w%d" % drawn.zipf(1.3)
+    sets = lambda w: {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
+    rows, want = [], set()
+    for k in range(400):
+        w = [new() for _ in range(rng.randint(200, 900))]
+        v = EDITS[edit](w, new, rng.uniform(0.1, 0.2), rng)
+        a, b = sets(w), sets(v)
+        if 5 * len(a & b) >= 4 * len(a | b):
+            want.add(2 * k + 1)
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(v))]
+    assert len(want) > 200
+    found = {r.id for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).where("id != component").collect()}
+    print(edit, len(found), len(want))
+    assert found <= want and len(found) >= 0.99 * len(want)
