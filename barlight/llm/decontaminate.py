@@ -61,6 +61,7 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     """``(id, th, item, start, n_words, similarity)``: for each document and item the best window of the item's size at ``SIMILAR`` or more.
 
     1. Windows lie where a document shares a shingle with an item, aligned on it; any other window has similarity 0.
+       Items below the shingle length have one shingle, all their words: each window of their size that equals it counts.
     2. Windows and items get a SimHash; equal blocks bring all pairs within ``RADIUS`` bits together, the distance is then checked.
     3. The exact similarity of their shingles decides; ties go to the smaller start.
 
@@ -72,26 +73,43 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     w = words_of(F.col(item_text_col))
     known = items.select(F.col(item_col).alias("item"), w.alias("iw")).where(F.size("iw") > 0).distinct()
     known = reliable_checkpoint(known.select("item", F.size("iw").alias("size"), shingles_of(F.col("iw")).alias("item_shingles")))
-    n, longest, nulls = known.agg(F.count(F.lit(1)), F.max("size"), F.count(F.when(F.col("item").isNull(), 1))).first()
+    n, longest, nulls, short = known.agg(F.count(F.lit(1)), F.max("size"), F.count(F.when(F.col("item").isNull(), 1)), F.collect_set(F.when(F.col("size") < SHINGLE, F.col("size")))).first()
     if nulls or (longest or 0) > ITEM_WORDS:
         raise ValueError(f"items need an id and at most {ITEM_WORDS} words")
     passes = -(-n // ITEMS_A_PASS)
     numbered = known.withColumn("pass", F.pmod(F.xxhash64("item"), F.lit(passes))) if passes > 1 else known.withColumn("pass", F.lit(0))
-    found = [_one_pass(docs, numbered.where(F.col("pass") == p), id_col, text_col) for p in range(max(passes, 1))]
+    found = [_one_pass(docs, numbered.where((F.col("pass") == p) & (F.col("size") >= SHINGLE)), id_col, text_col) for p in range(max(passes, 1))]
+    if short:
+        found += [_short_items(docs, numbered.where((F.col("pass") == p) & (F.col("size") < SHINGLE)), sorted(short), id_col, text_col) for p in range(passes)]
     every = reduce(DataFrame.unionAll, found)
     best = F.max(F.struct("similarity", (-F.col("start")).alias("s"), (-F.col("n_words")).alias("w"))).alias("m")
     out = every.groupBy("id", "th", "item").agg(best)
     return out.select("id", "th", "item", (-F.col("m.s")).alias("start"), (-F.col("m.w")).alias("n_words"), F.col("m.similarity").alias("similarity"))
 
 
+def _short_items(docs: DataFrame, known: DataFrame, sizes: list[int], id_col: str, text_col: str) -> DataFrame:
+    """Items below the shingle length: a window of their size has one shingle too, so it equals theirs or has similarity 0."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    src = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), words_of(text).alias("w"))
+
+    def windows(size: int) -> DataFrame:
+        every = F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))
+        return src.where(F.size("w") >= size).select("id", "th", F.lit(size).alias("n_words"), F.posexplode(every).alias("start", "s"))
+
+    texts = known.select("item", F.col("size").alias("n_words"), F.col("item_shingles")[0].alias("s"))
+    met = reduce(DataFrame.unionAll, [windows(size) for size in sizes]).join(F.broadcast(texts), ["n_words", "s"])
+    first = met.groupBy("id", "th", "item", "n_words").agg(F.min("start").alias("start"))
+    return first.select("id", "th", "item", "start", "n_words", F.lit(1.0).alias("similarity"))
+
+
 def _one_pass(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
-    # hashes of the words' shingles; a text below the shingle length has one hash of all its words
+    # hashes of the words' shingles
     w, n = F.col("w"), F.size("w")
     chain = lambda i: F.xxhash64(*[F.try_element_at(w, i + k) for k in range(SHINGLE)])
-    at = src.select("id", "th", words_of(F.col("text")).alias("w")).where(F.size("w") > 0)
-    marks = at.select("id", "th", F.posexplode(F.transform(F.sequence(F.lit(1), F.greatest(n - SHINGLE + 1, F.lit(1))), chain)).alias("p", "h"))
+    at = src.select("id", "th", words_of(F.col("text")).alias("w")).where(n >= SHINGLE)
+    marks = at.select("id", "th", F.posexplode(F.transform(F.sequence(F.lit(1), n - SHINGLE + 1), chain)).alias("p", "h"))
     iw = known.select("size", F.posexplode("item_shingles").alias("o", "s")).select("size", "o", F.split("s", " ").alias("w"))
     keys = iw.select("size", "o", chain(F.lit(1)).alias("h")).distinct()
     start = F.greatest(F.col("p") - F.col("o"), F.lit(0))

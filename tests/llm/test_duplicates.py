@@ -230,3 +230,12 @@ def test_similar_pairs_are_found(spark, edit):
     found = {r.id for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).where("id != component").collect()}
     print(edit, len(found), len(want))
     assert found <= want and len(found) >= 0.99 * len(want)
+
+
+def test_short_items_inside_documents(spark):
+    """Items of one to four words count wherever a window of their size equals them."""
+    items = [(1, "solo"), (2, "two words"), (3, "three small words"), (4, "these are Four words"), (5, "five words are one shingle")]
+    docs = [(1, "a text of many words that ends in SOLO"), (2, "one, two words"), (3, "here\tthree  small words stand"), (4, "x y z these are four words and more of them"), (5, "two small words, these were four words"),
+            (6, "so five words are one shingle."), (7, "so five words are one shingle here"), (8, "solo"), (9, "two"), (None, "solo two words solo"), (10, "solos")]
+    got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.id or -1, r.item, r.start, r.n_words, r.similarity) for r in got) == [(-1, 1, 0, 1, 1.0), (-1, 2, 1, 2, 1.0), (1, 1, 8, 1, 1.0), (2, 2, 1, 2, 1.0), (3, 3, 1, 3, 1.0), (4, 4, 3, 4, 1.0), (7, 5, 1, 5, 1.0), (8, 1, 0, 1, 1.0)]
