@@ -239,3 +239,32 @@ def test_short_items_inside_documents(spark):
             (6, "so five words are one shingle."), (7, "so five words are one shingle here"), (8, "solo"), (9, "two"), (None, "solo two words solo"), (10, "solos")]
     got = decontaminate.contaminated(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")).collect()
     assert sorted((r.id or -1, r.item, r.start, r.n_words, r.similarity) for r in got) == [(-1, 1, 0, 1, 1.0), (-1, 2, 1, 2, 1.0), (1, 1, 8, 1, 1.0), (2, 2, 1, 2, 1.0), (3, 3, 1, 3, 1.0), (4, 4, 3, 4, 1.0), (7, 5, 1, 5, 1.0), (8, 1, 0, 1, 1.0)]
+
+
+def test_items_of_any_length_and_without_id(spark, monkeypatch):
+    """Long items meet whole; each text with a null id is an item of its own; words bound a pass."""
+    monkeypatch.setattr(decontaminate, "WORDS_A_PASS", 1_500)
+    rng = random.Random(13)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(4)) for _ in range(n))
+    items = [(1, noise(2_500)), (2, noise(30)), (None, noise(40)), (None, noise(3)), (None, noise(3_000)), (3, noise(1_900)), (None, None)]
+    t = [x for _, x in items]
+    cut = t[0].split()
+    docs = [(1, noise(50) + " " + t[0] + " " + noise(50)), (2, " ".join(cut[:2_200])), (3, " ".join(cut[:1_800])), (4, f"{t[2]} {t[3]}"), (5, noise(9) + " " + t[4].upper()), (6, t[5]), (7, t[1]), (8, noise(60)), (9, None)]
+    df, bench = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.contaminated(df, bench).collect()
+    assert sorted((r.id, r.item or 0, r.start, r.n_words) for r in got) == [(1, 1, 50, 2_500), (2, 1, 0, 2_200), (4, 0, 0, 40), (4, 0, 40, 3), (5, 0, 9, 3_000), (6, 3, 0, 1_900), (7, 2, 0, 30)]
+    assert {r.similarity for r in got if r.id != 2} == {1.0}
+    assert sorted(r.doc_id for r in decontaminate.clean(df, bench).collect()) == [3, 8, 9]
+
+
+def test_similarity_of_bags(spark):
+    from collections import Counter
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    pairs = [([rng.choice(["a", "bb", "ccc", "é"]) for _ in range(rng.randint(0, 9))], [rng.choice(["a", "bb", "ccc", "é"]) for _ in range(rng.randint(0, 9))]) for _ in range(60)]
+    bag = lambda c: decontaminate.bag_of(F.col(c))
+    for r in spark.createDataFrame(pairs, "a array<string>, b array<string>").withColumn("s", decontaminate.similarity(bag("a"), bag("b"))).collect():
+        a, b = Counter(r.a), Counter(r.b)
+        assert r.s == sum(n * len(x) for x, n in (a & b).items()) / max(1, sum(n * len(x) for x, n in (a | b).items()))
