@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import chat, decontaminate, fm_dedup, pieces, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from barlight.llm import chat, decontaminate, fm_dedup, importance, pieces, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
 from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
@@ -147,3 +147,43 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     tools = spark.createDataFrame(TURN_TOOLS, "name string, parameter string, kind string, required boolean")
     out = chat.link_tool_calls(turns_as_calls(table(spark, sf_dir, "conversations")), tools).withColumnRenamed("conv", "conv_id")
     return out.fillna(-1, ["turn", "result_turn", "level"]).fillna("", ["name"])
+
+
+# CRC-32 in SQL: a table of 256 entries by rule, and a fold over the bytes in hexadecimal form.
+CRC_TABLE_SQL = """crc_table AS (SELECT list(CAST(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS BIGINT) ORDER BY i) AS t FROM range(256) r(i))"""
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text; the query reads ``crc_table`` too."""
+    byte = f"list_transform(range(1, len(hex(encode({text}))) // 2 + 1), lambda i: CAST('0x' || substr(hex(encode({text})), 2 * i - 1, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {byte}), lambda c, y: xor(c >> 8, t[(xor(c, y) & 255) + 1])), 4294967295)"
+
+
+def _features_sql(table_name: str, name: str, id_sql: str) -> str:
+    return rf"""{name}_w AS (SELECT {id_sql} AS k, list_filter(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS ws FROM {table_name}),
+{name} AS (SELECT k, unnest(list_concat(ws, list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]))) AS f FROM {name}_w)"""
+
+
+OP11_SQL = f"""
+WITH {CRC_TABLE_SQL},
+{_features_sql('documents', 'df', 'doc_id')},
+{_features_sql('benchmark', 'bf', 'item_id')},
+names AS (SELECT DISTINCT f FROM (SELECT f FROM df UNION ALL SELECT f FROM bf)),
+bucket AS (SELECT f, {crc_sql('f')} % 10000 AS b FROM names, crc_table),
+s AS (SELECT b, count(*) AS n FROM df JOIN bucket USING (f) GROUP BY b),
+t AS (SELECT b, count(*) AS n FROM bf JOIN bucket USING (f) GROUP BY b),
+total AS (SELECT (SELECT coalesce(sum(n), 0) FROM s) AS s, (SELECT coalesce(sum(n), 0) FROM t) AS t),
+gain AS (SELECT r.b, CAST(floor(1000 * ln(CAST((coalesce(t.n, 0) + 1) * (total.s + 10000) AS DOUBLE) / CAST((coalesce(s.n, 0) + 1) * (total.t + 10000) AS DOUBLE))) AS BIGINT) AS g
+  FROM range(10000) r(b) LEFT JOIN s USING (b) LEFT JOIN t USING (b), total),
+w AS (SELECT k, sum(g) AS g, count(*) AS n FROM df JOIN bucket USING (f) JOIN gain USING (b) GROUP BY k),
+h AS (SELECT k AS doc_id, len(ws) AS words, CAST(len(ws) + greatest(len(ws) - 1, 0) AS BIGINT) AS n_features, CAST(coalesce(floor(w.g / w.n), 0) AS BIGINT) AS weight,
+    CAST(CAST('0x' || substr(sha256('7:' || k), 1, 8) AS BIGINT) AS DOUBLE) AS h FROM df_w LEFT JOIN w USING (k)),
+x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM h),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM x WHERE words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FROM r) * 25 // 100 THEN rank END AS rank FROM x LEFT JOIN r USING (doc_id)"""
+
+
+@query("op11_importance_resampling", OP11_SQL)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
