@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barlight.llm import chat, decontaminate, fm_dedup, importance, pieces, sharding, simhash, suffix_dedup, topk, toxicity, url_filter
+from barlight.llm import chat, decontaminate, fm_dedup, importance, pieces, sharding, simhash, spelling, suffix_dedup, topk, toxicity, url_filter
 from barlight.llm.common import ORACLES, QUERIES, query, shared_folder, table  # noqa: F401
 
 
@@ -187,3 +187,24 @@ SELECT doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT count(*) FRO
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+OP13_SQL = f"""
+WITH RECURSIVE {CRC_TABLE_SQL},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\u00c0-\u00ff]+')) AS w FROM documents),
+each AS (SELECT doc_id || ':' || w AS k, w, count(*) AS n FROM runs GROUP BY doc_id, w),
+h AS (SELECT w, n, {crc_sql('k')} AS h FROM each, crc_table),
+cut AS (SELECT CASE WHEN h % 97 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM h),
+words AS MATERIALIZED (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+less AS MATERIALIZED (SELECT word, n, p, substr(word, 1, p - 1) || substr(word, p + 1) AS d FROM words, LATERAL (SELECT unnest(range(1, length(word) + 1)) AS p)),
+pairs AS (SELECT a.word AS w, b.word AS o, b.n AS m FROM less a JOIN less b ON a.p = b.p AND a.d = b.d AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.d = b.word UNION SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.d = b.word),
+best AS (SELECT w, o, m, count(*) OVER (PARTITION BY w) AS n_near, row_number() OVER (PARTITION BY w ORDER BY m DESC, o) AS k FROM pairs),
+forms AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN m >= 2 * n THEN o END AS form, CASE WHEN m >= 2 * n THEN m END AS form_n FROM words LEFT JOIN best ON w = word AND k = 1),
+steps AS (SELECT word, word AS root, 0 AS depth FROM words UNION ALL SELECT s.word, f.form, depth + 1 FROM steps s JOIN forms f ON f.word = s.root WHERE f.form IS NOT NULL)
+SELECT f.word, f.n, f.n_near, f.form, f.form_n, s.root FROM forms f JOIN (SELECT word, arg_max(root, depth) AS root FROM steps GROUP BY word) s USING (word)"""
+
+
+@query("op13_spelling_variants", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), drop_every=97))
