@@ -1,14 +1,33 @@
-"""Step objects for recurrences that no bounded frame can express.
+"""Recurrences that no bounded frame can express.
 
 Each object holds the little state that must survive from bar to bar and is
 picklable, so that a long series can be carried from block to block.  ``nan``
 stands for "not defined yet"; Spark stores it as NULL.
+
+``step`` takes one bar. Means, and what is made of them, are affine in their state
+and do more: ``values`` takes whole columns at once, ``summary`` boils a block
+down to its map of the state, and ``advance`` applies such a map, so that blocks
+are folded without being run. ``levels`` counts the folds that depend on each
+other: what a level needs from the ones before is known when it is folded.
 """
 
 from __future__ import annotations
 
 from math import isfinite, nan
 
+import numpy as np
+
+
+def _smoothed(x: np.ndarray, start: float, com: float) -> np.ndarray:
+    """``q = a * x + (1 - a) * q`` with ``a = 1 / (1 + com)``, from ``start``."""
+    import pandas as pd
+
+    return pd.Series(np.concatenate([[start], x])).ewm(com=com, adjust=False).mean().to_numpy()[1:]
+
+
+def _before(x: np.ndarray, first: float) -> np.ndarray:
+    return np.concatenate([[first], x[:-1]])
+
 
 class Ema:
     """Exponential mean; the first defined value is the seed, a gap restarts it."""
@@ -21,6 +40,33 @@ class Ema:
         self.q = self.a * x + (1 - self.a) * self.q if isfinite(self.q) else x
         return self.q
 
+    levels = 1
+
+    def _run(self, x: np.ndarray, q: float) -> np.ndarray:
+        return _smoothed(x, q, 1 / self.a - 1) if isfinite(q) else np.concatenate([x[:1], _smoothed(x[1:], x[0], 1 / self.a - 1)])
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        out, start = x.copy(), 0
+        for gap in [*np.flatnonzero(~np.isfinite(x)).tolist(), len(x)]:  # each gap stands for itself and restarts the mean
+            if gap > start:
+                out[start:gap] = self._run(x[start:gap], self.q if start == 0 else nan)
+            start = gap + 1
+        if len(x):
+            self.q = float(out[-1])
+        return out
+
+    def summary(self, level: int, x: np.ndarray):
+        """``(decay, value from zero, value from nothing)``; no decay once a gap has cut the past off."""
+        gaps = np.flatnonzero(~np.isfinite(x))
+        if len(gaps):
+            rest = x[gaps[-1] + 1:]
+            return None, nan, float(self._run(rest, nan)[-1]) if len(rest) else nan
+        return ((1 - self.a) ** len(x), float(self._run(x, 0.0)[-1]), float(self._run(x, nan)[-1])) if len(x) else (1.0, 0.0, nan)
+
+    def advance(self, level: int, summary) -> None:
+        decay, zero, fresh = summary
+        self.q = decay * self.q + zero if decay is not None and isfinite(self.q) else fresh
+
 
 class Rma:
     """Wilder mean; the seed is the mean of the first p defined values."""
@@ -43,6 +89,45 @@ class Rma:
             self.q = (self.q * (self.p - 1) + x) / self.p
         return self.q
 
+    levels = 1
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        known = np.isfinite(x)
+        v = x[known]
+        y, k = np.full(len(v), nan), 0
+        if self.n < self.p and len(v):
+            k = min(self.p - self.n, len(v))
+            self.q = float(np.cumsum(np.concatenate([[self.q], v[:k]]))[-1])
+            if self.n + k == self.p:
+                self.q /= self.p
+                y[k - 1] = self.q
+        if len(v) > k:
+            y[k:] = _smoothed(v[k:], self.q, self.p - 1)
+            self.q = float(y[-1])
+        self.n = min(self.n + len(v), self.p + 1)
+        out = np.full(len(x), nan)
+        out[known] = y
+        return out
+
+    def summary(self, level: int, x: np.ndarray):
+        """``(values, the first p of them, means from zero after each of those, mean from zero after all)``."""
+        v = x[np.isfinite(x)]
+        zero = _smoothed(v, 0.0, self.p - 1) if len(v) else v
+        return len(v), v[:self.p].tolist(), zero[:self.p].tolist(), float(zero[-1]) if len(v) else 0.0
+
+    def advance(self, level: int, summary) -> None:
+        m, head, early, zero = summary
+        keep, k = 1 - 1 / self.p, 0
+        if self.n < self.p:
+            k = min(self.p - self.n, m)
+            self.q += sum(head[:k])
+            if k and self.n + k == self.p:
+                self.q /= self.p
+        if m > k:
+            rest = keep ** (m - k)
+            self.q = rest * self.q + (zero - rest * early[k - 1] if k else zero)
+        self.n = min(self.n + m, self.p + 1)
+
 
 class Rsi:
     def __init__(self, p: int):
@@ -58,6 +143,32 @@ class Rsi:
             return 100.0
         return 0.0 if g == 0 else 100 - 100 / (1 + g / s)
 
+    levels = 1
+
+    @staticmethod
+    def _moves(x: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d = np.where(np.isfinite(before), x - before, 0.0)
+        return np.maximum(d, 0.0), np.maximum(-d, 0.0)
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        up, dn = self._moves(x, _before(x, self.prev))
+        g, s = self.up.values(up), self.dn.values(dn)
+        self.prev = float(x[-1]) if len(x) else self.prev
+        with np.errstate(divide="ignore", invalid="ignore"):
+            out = np.where(s == 0, 100.0, np.where(g == 0, 0.0, 100 - 100 / (1 + g / s)))
+        return np.where(np.isfinite(g), out, nan)
+
+    def summary(self, level: int, x: np.ndarray):
+        up, dn = self._moves(x[1:], x[:-1])
+        return float(x[0]), float(x[-1]), self.up.summary(0, up), self.dn.summary(0, dn)
+
+    def advance(self, level: int, summary) -> None:
+        first, last, up, dn = summary
+        self.step(first)
+        self.up.advance(0, up)
+        self.dn.advance(0, dn)
+        self.prev = last
+
 
 class Macd:
     """Difference of two exponential means and its signal line."""
@@ -69,6 +180,25 @@ class Macd:
         m = self.f.step(x) - self.s.step(x)
         return m, self.g.step(m)
 
+    levels = 2
+    parts = (("f", "s"), ("g",))
+
+    def values(self, x: np.ndarray):
+        m = self.f.values(x) - self.s.values(x)
+        return m, self.g.values(m)
+
+    def summary(self, level: int, x: np.ndarray):
+        if level == 0:
+            return self.f.summary(0, x), self.s.summary(0, x)
+        return self.g.summary(0, self.f.values(x) - self.s.values(x))
+
+    def advance(self, level: int, summary) -> None:
+        if level == 0:
+            self.f.advance(0, summary[0])
+            self.s.advance(0, summary[1])
+        else:
+            self.g.advance(0, summary)
+
 
 class Adx:
     """Directional movement; inputs are the bar's true range, high and low."""
@@ -90,6 +220,48 @@ class Adx:
         total = pdi + mdi
         return self.dx.step(100 * abs(pdi - mdi) / total if total else 0.0), pdi, mdi
 
+    levels = 2
+    parts = (("tr", "up", "dn", "h", "l"), ("dx",))
+
+    @staticmethod
+    def _moves(h, l, h0, l0) -> tuple[np.ndarray, np.ndarray]:
+        up, dn = np.where(np.isfinite(h0), h - h0, 0.0), np.where(np.isfinite(l0), l0 - l, 0.0)
+        return np.where((up > dn) & (up > 0), up, 0.0), np.where((dn > up) & (dn > 0), dn, 0.0)
+
+    def _lines(self, tr, h, l):
+        """Both lines and the index of their difference, with the bars where they are defined."""
+        up, dn = self._moves(h, l, _before(h, self.h), _before(l, self.l))
+        a, p, m = self.tr.values(tr), self.up.values(up), self.dn.values(dn)
+        self.h, self.l = (float(h[-1]), float(l[-1])) if len(h) else (self.h, self.l)
+        ok = np.isfinite(a) & (a > 0)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            pdi, mdi = np.where(ok, 100 * p / a, nan), np.where(ok, 100 * m / a, nan)
+            total = pdi + mdi
+            return ok, pdi, mdi, np.where(total == 0, 0.0, 100 * np.abs(pdi - mdi) / total)
+
+    def values(self, tr: np.ndarray, h: np.ndarray, l: np.ndarray):
+        ok, pdi, mdi, dx = self._lines(tr, h, l)
+        out = np.full(len(tr), nan)
+        out[ok] = self.dx.values(dx[ok])
+        return out, pdi, mdi
+
+    def summary(self, level: int, tr: np.ndarray, h: np.ndarray, l: np.ndarray):
+        if level == 0:
+            up, dn = self._moves(h[1:], l[1:], h[:-1], l[:-1])
+            return [float(x[k]) for k in (0, -1) for x in (tr, h, l)], self.tr.summary(0, tr[1:]), self.up.summary(0, up), self.dn.summary(0, dn)
+        ok, _, _, dx = self._lines(tr, h, l)
+        return self.dx.summary(0, dx[ok])
+
+    def advance(self, level: int, summary) -> None:
+        if level == 1:
+            self.dx.advance(0, summary)
+            return
+        (tr, h, l, _, last_h, last_l), rest, up, dn = summary
+        self._lines(np.array([tr]), np.array([h]), np.array([l]))
+        for own, of in ((self.tr, rest), (self.up, up), (self.dn, dn)):
+            own.advance(0, of)
+        self.h, self.l = last_h, last_l
+
 
 class Vidya:
     """Mean whose speed follows the absolute momentum of the last nine changes."""
@@ -223,3 +395,29 @@ class AnchoredVwap:
         self.pv += tp * v
         self.v += v
         return self.pv / self.v if self.v > 0 else nan
+
+    levels = 1
+
+    def values(self, reset: np.ndarray, tp: np.ndarray, v: np.ndarray) -> np.ndarray:
+        out, starts = np.full(len(v), nan), np.flatnonzero(reset == 1.0).tolist()
+        for a, b in zip([0, *starts], [*starts, len(v)]):
+            if a or starts[:1] == [0]:
+                self.on, self.pv, self.v = True, 0.0, 0.0
+            if self.on and b > a:
+                pv, total = (np.cumsum(np.concatenate([[s], x]))[1:] for s, x in ((self.pv, tp[a:b] * v[a:b]), (self.v, v[a:b])))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    out[a:b] = np.where(total > 0, pv / total, nan)
+                self.pv, self.v = float(pv[-1]), float(total[-1])
+        return out
+
+    def summary(self, level: int, reset: np.ndarray, tp: np.ndarray, v: np.ndarray):
+        starts = np.flatnonzero(reset == 1.0)
+        a = int(starts[-1]) if len(starts) else 0
+        return len(starts) > 0, float(np.cumsum(tp[a:] * v[a:])[-1]), float(np.cumsum(v[a:])[-1])
+
+    def advance(self, level: int, summary) -> None:
+        fresh, pv, v = summary
+        if fresh:
+            self.on, self.pv, self.v = True, pv, v
+        elif self.on:
+            self.pv, self.v = self.pv + pv, self.v + v

@@ -13,6 +13,7 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -427,6 +428,21 @@ class _Carry:
             self.x = x
         return self.x
 
+    levels = 1
+
+    def values(self, x: np.ndarray) -> np.ndarray:
+        held = np.concatenate([[self.x], x])
+        at = np.maximum.accumulate(np.where(np.isfinite(held), np.arange(len(held)), 0))
+        self.x = float(held[at[-1]])
+        return held[at][1:]
+
+    def summary(self, level: int, x: np.ndarray) -> float:
+        known = x[np.isfinite(x)]
+        return float(known[-1]) if len(known) else math.nan
+
+    def advance(self, level: int, summary: float) -> None:
+        self.step(summary)
+
 
 def utc_hour() -> Column:
     return F.floor(F.pmod(F.col("t"), F.lit(86_400_000)) / 3_600_000)

@@ -7,16 +7,20 @@ series is cut into blocks of consecutive rows:
 
 * bounded frames see a copy of the neighbouring rows (a halo), so every block
   is computed on its own and the result is exact;
-* recurrences run block by block with a carried state.  All blocks run at once
-  from a guessed state; the blocks whose incoming state turns out different run
-  again, until nothing changes.  Block k is final after k rounds at the latest,
-  so the result equals the one-pass result. Means, whose state is bounded, settle
-  once their memory of the guess is gone; rules that keep absolute bar numbers
-  may take a round a block.
+* recurrences that compose (means and what is made of them, anchored sums,
+  positions) are folded: each block becomes a small map of the state, the maps of
+  a series are applied in order, and every block then runs once from its true
+  state. The number of passes does not depend on the number of blocks;
+* other recurrences run block by block with a carried state.  All blocks run at
+  once from a guessed state; the blocks whose incoming state turns out different
+  run again, until nothing changes.  Block k is final after k rounds at the latest,
+  so the result equals the one-pass result. States hold ages and countdowns, no
+  bar numbers, so they settle once the memory of the guess is gone.
 """
 
 from __future__ import annotations
 
+import io
 import pickle
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
@@ -109,13 +113,24 @@ def with_halo(df: DataFrame, block_rows: int, back: int, ahead: int = 0) -> Data
 
 @dataclass(frozen=True)
 class Scan:
-    """One recurrence: ``make()`` gives an object whose ``step(*row)`` is called in time order."""
+    """One recurrence: ``make()`` gives an object whose ``step(*row)`` is called in time order, or that takes whole columns in ``values``.
+
+    One with ``levels``, ``summary`` and ``advance`` composes (``parts`` names what each of several levels holds); see :mod:`barlight.functions.recurrences`.
+    """
 
     make: Callable[[], object]
     inputs: tuple[str, ...]
     outputs: tuple[str, ...]
 
 
+def _array(table: pa.Table, name: str):
+    return table[name].cast(pa.float64()).to_numpy(zero_copy_only=False)
+
+
+def _arrays(table: pa.Table, scan: Scan) -> list:
+    return [_array(table, c) for c in scan.inputs]
+
+
 def _in_time_order(table: pa.Table) -> pa.Table:
     t = table["t"].to_numpy()
     return table if (t[1:] >= t[:-1]).all() else table.sort_by("t")
@@ -125,12 +140,16 @@ def _with_outputs(table: pa.Table, scans: Sequence[Scan], objs: list) -> pa.Tabl
     """Append each recurrence's outputs; the other columns stay Arrow buffers."""
     cols: dict[str, list[float]] = {}
     for scan, obj in zip(scans, objs):
-        step = obj.step
-        for c in scan.inputs:
-            if c not in cols:
-                cols[c] = table[c].cast(pa.float64()).to_numpy(zero_copy_only=False).tolist()
-        rows = [step(*row) for row in zip(*(cols[c] for c in scan.inputs))]
-        outs = [rows] if len(scan.outputs) == 1 else zip(*rows)
+        if hasattr(obj, "values"):
+            made = obj.values(*_arrays(table, scan))
+            outs = [made] if len(scan.outputs) == 1 else made
+        else:
+            for c in scan.inputs:
+                if c not in cols:
+                    cols[c] = _array(table, c).tolist()
+            step = obj.step
+            rows = [step(*row) for row in zip(*(cols[c] for c in scan.inputs))]
+            outs = [rows] if len(scan.outputs) == 1 else zip(*rows)
         for name, values in zip(scan.outputs, outs):
             # nan becomes NULL.
             table = table.append_column(name, pa.array(values, pa.float64(), from_pandas=True))
@@ -151,16 +170,91 @@ def scan_series(df: DataFrame, scans: Sequence[Scan]) -> DataFrame:
     return df.groupBy(*series_keys(df)).applyInArrow(run, schema)
 
 
+def _state(objs: list) -> bytes:
+    """Equal states give equal bytes, whichever of their parts are the same object."""
+    out = io.BytesIO()
+    pickler = pickle.Pickler(out)
+    pickler.fast = True
+    pickler.dump(objs)
+    return out.getvalue()
+
+
 def _scan_blocks(df: DataFrame, scans: list[Scan], schema: T.StructType) -> DataFrame:
-    keys = series_keys(df)
-    whole = [k for k in keys if k != BLOCK]
-    full = T.StructType([*schema.fields, T.StructField("_end", T.BinaryType())])
+    folding = [s for s in scans if hasattr(s.make(), "advance")]
+    others = [s for s in scans if s not in folding]
+    if folding:
+        df = _fold_blocks(df, folding)
+    if others:
+        df = _repeat_blocks(df, others)
+    return df.select(*schema.names)
+
+
+def _with_doubles(schema: T.StructType, scans: list[Scan], *more: T.StructField) -> T.StructType:
+    return T.StructType([*schema.fields, *[T.StructField(n, T.DoubleType()) for s in scans for n in s.outputs], *more])
+
+
+def _fold_blocks(df: DataFrame, scans: list[Scan]) -> DataFrame:
+    """Two passes a level over the blocks' inputs, one over their summaries, and one that makes the outputs."""
+    keys, whole = series_keys(df), whole_keys(df)
+    fields = [df.schema[k] for k in keys]
+    summed = T.StructType([*fields, T.StructField("_sum", T.BinaryType())])
+    begun = T.StructType([*fields, T.StructField("_start", T.BinaryType())])
+    inputs = df.select(*dict.fromkeys([*keys, "t", *[c for s in scans for c in s.inputs]]))
+
+    def objects(starts: pa.Table | None) -> list:
+        return pickle.loads(starts["_start"][0].as_py()) if starts is not None else [s.make() for s in scans]
+
+    def summarise(level: int):
+        def made(table: pa.Table, before: pa.Table | None) -> pa.Table:
+            table = _in_time_order(table)
+            sums = [o.summary(level, *_arrays(table, s)) if level < o.levels else None for s, o in zip(scans, objects(before))]
+            return table.select(keys).slice(0, 1).append_column("_sum", pa.array([pickle.dumps(sums)], pa.binary()))
+
+        return (lambda table: made(table, None)) if level == 0 else (lambda table, before: made(table, before))
+
+    def carry(level: int):
+        def run(table: pa.Table) -> pa.Table:
+            table = table.sort_by(BLOCK)
+            objs, out = [s.make() for s in scans], []
+            sums = [pickle.loads(b) for b in table["_sum"].to_pylist()]
+            known = [pickle.loads(b) for b in table["_start"].to_pylist()] if level else None
+            for k, made in enumerate(sums):
+                if known is not None:  # what is below this level is known at each block's start; this level is carried
+                    for o, n in zip(objs, known[k]):
+                        for part in n.parts[level] if level < n.levels else ():
+                            setattr(n, part, getattr(o, part))
+                    objs = known[k]
+                out.append(pickle.dumps(objs))
+                for o, m in zip(objs, made):
+                    if level < o.levels:
+                        o.advance(level, m)
+            return table.select(keys).append_column("_start", pa.array(out, pa.binary()))
+
+        return run
+
+    starts: DataFrame | None = None
+    for level in range(max(s.make().levels for s in scans)):
+        if starts is None:
+            sums = inputs.groupBy(*keys).applyInArrow(summarise(level), summed)
+        else:
+            sums = inputs.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(summarise(level), summed).join(starts, keys)
+        starts = reliable_checkpoint(sums.groupBy(*whole).applyInArrow(carry(level), begun))
+
+    def run(table: pa.Table, before: pa.Table) -> pa.Table:
+        return _with_outputs(_in_time_order(table), scans, objects(before))
+
+    return df.groupBy(*keys).cogroup(starts.groupBy(*keys)).applyInArrow(run, _with_doubles(df.schema, scans))
+
+
+def _repeat_blocks(df: DataFrame, scans: list[Scan]) -> DataFrame:
+    keys, whole = series_keys(df), whole_keys(df)
+    full = _with_doubles(df.schema, scans, T.StructField("_end", T.BinaryType()))
 
     def run(table: pa.Table) -> pa.Table:
         start = table["_start"][0].as_py()
         objs = pickle.loads(start) if start is not None else [s.make() for s in scans]
         out = _with_outputs(_in_time_order(table.drop_columns(["_start"])), scans, objs)
-        ends = [None] * (out.num_rows - 1) + [pickle.dumps(objs)]
+        ends = [None] * (out.num_rows - 1) + [_state(objs)]
         return out.append_column("_end", pa.array(ends, pa.binary()))
 
     def execute(blocks: DataFrame, starts: DataFrame) -> DataFrame:
@@ -169,13 +263,8 @@ def _scan_blocks(df: DataFrame, scans: list[Scan], schema: T.StructType) -> Data
 
     used = reliable_checkpoint(df.select(*keys).distinct().withColumn("_start", F.lit(None).cast("binary")))
     done = reliable_checkpoint(execute(df, used))
-    order = Window.partitionBy(*whole).orderBy(BLOCK)
     while True:
-        ends = done.where(F.col("_end").isNotNull()).select(*keys, "_end")
-        wanted = ends.select(*keys, F.lag("_end").over(order).alias("_want"))
-        both = wanted.join(used, keys)
-        stale = reliable_checkpoint(
-            both.where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*keys, F.col("_want").alias("_start")))
+        stale = _stale(done, used, keys, whole)
         if stale.isEmpty():
             return done.drop("_end")
         redo = execute(df.join(stale.select(*keys), keys, "left_semi"), stale)
@@ -184,6 +273,15 @@ def _scan_blocks(df: DataFrame, scans: list[Scan], schema: T.StructType) -> Data
         used = reliable_checkpoint(used.join(stale.select(*keys), keys, "left_anti").unionByName(stale))
 
 
+def _stale(done: DataFrame, used: DataFrame, keys: list[str], whole: list[str]) -> DataFrame:
+    """Blocks that ran from another state than the one before them ends with, and that state."""
+    order = Window.partitionBy(*whole).orderBy(BLOCK)
+    ends = done.where(F.col("_end").isNotNull()).select(*keys, "_end")
+    wanted = ends.select(*keys, F.lag("_end").over(order).alias("_want"))
+    both = wanted.join(used, keys)
+    return reliable_checkpoint(both.where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*keys, F.col("_want").alias("_start")))
+
+
 # --- lag and lead over sparse rows -------------------------------------------
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -213,11 +214,35 @@ class AverageCost:
         self.pos = total
         return gain, self.pos, self.avg
 
+    # A position is a sum; once it is known at a block's start, each fill maps the average cost affinely.
+    levels = 2
+    parts = (("pos",), ("avg",))
+
+    def summary(self, level: int, qty, price):
+        if level == 0:
+            return float(np.cumsum(qty)[-1])
+        after = np.cumsum(np.concatenate([[self.pos], qty]))
+        before, total, added = after[:-1], after[1:], np.abs(qty)
+        held, flat = np.abs(before), np.abs(total) < 1e-12
+        adds = (held < 1e-12) | ((before > 0) == (qty > 0))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            keep = np.where(flat, 0.0, np.where(adds, held / (held + added), np.where((total > 0) != (before > 0), 0.0, 1.0)))
+            put = np.where(flat, 0.0, np.where(adds, price * added / (held + added), np.where((total > 0) != (before > 0), price, 0.0)))
+        later = np.concatenate([np.cumprod(keep[::-1])[::-1][1:], [1.0]])  # what later fills keep of a fill's part
+        return float(keep[0] * later[0]), float(np.sum(put * later))
+
+    def advance(self, level: int, summary) -> None:
+        if level == 0:
+            self.pos += summary
+        else:
+            self.avg = summary[0] * self.avg + summary[1]
+
 
 def position_ledger(fills: DataFrame, block_rows: int | None = None, longest: int | None = None) -> DataFrame:
     """Realised profit, position and average cost after each fill, per symbol.
 
-    A symbol with more fills than one task should hold is cut into blocks.
+    A symbol with more fills than one task should hold is cut into blocks; their
+    positions and average costs are folded, so the passes do not grow with the blocks.
     """
     rows = fills.withColumn("timeframe", F.lit("fills")) if "timeframe" not in fills.columns else fills
     if block_rows is None and (L.longest_series(rows) if longest is None else longest) > L.DEFAULT_BLOCK_ROWS:

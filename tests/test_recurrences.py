@@ -1,9 +1,13 @@
+import copy
 import math
 
 import brute
+import numpy as np
 import pytest
 
 from barlight.functions import recurrences as R
+from barlight.functions.study import _Carry
+from barlight.operators.trades import AverageCost
 from barlight.strategies.registry import catalogue, packs, signals, wide_signals
 
 
@@ -32,6 +36,37 @@ def test_ema_restarts_after_a_gap():
     assert math.isnan(e.step(math.nan)) and e.step(10.0) == 10.0
 
 
+@pytest.mark.parametrize("make,width", [(lambda: R.Ema(7), 1), (lambda: R.Rma(5), 1), (lambda: R.Rma(1), 1), (lambda: R.Rsi(4), 1), (R.Macd, 1), (lambda: R.Adx(5), 3), (R.AnchoredVwap, 3), (_Carry, 1), (AverageCost, 2)])
+@pytest.mark.parametrize("gaps", [0.0, 0.3])
+def test_columns_at_once_and_folded_blocks(make, width, gaps):
+    """``values`` gives what ``step`` gives, and ``advance`` by summaries leads to the states that stepping leads to."""
+    rng = np.random.default_rng(width)
+    for n in (1, 2, 5, 40, 300):
+        cols = [rng.integers(-5, 6, n).astype(float) + (k > 0) * 20 for k in range(width)]
+        if make is R.AnchoredVwap:
+            cols[0] = (rng.random(n) < 0.1).astype(float)
+        if make is not AverageCost:
+            cols[-1] = np.where(rng.random(n) < gaps, math.nan, cols[-1])
+        one, rows = make(), list(zip(*[c.tolist() for c in cols]))
+        want = [one.step(*r) for r in rows]
+        cuts = sorted({0, n, *rng.integers(0, n + 1, 4).tolist()})
+        blocks = list(zip(cuts[:-1], cuts[1:]))
+        if hasattr(one, "values"):
+            got = make().values(*cols)
+            assert np.allclose(np.array(want, float).T, np.array(got), rtol=1e-12, atol=1e-9, equal_nan=True)
+        starts = [make() for _ in blocks]
+        for level in range(one.levels):
+            carried = make()
+            for k, (a, b) in enumerate(blocks):
+                for part in starts[k].parts[level] if one.levels > 1 else vars(starts[k]):
+                    setattr(starts[k], part, copy.deepcopy(getattr(carried, part)))
+                carried = copy.deepcopy(starts[k])
+                carried.advance(level, copy.deepcopy(starts[k]).summary(level, *[c[a:b] for c in cols]))
+        for start, (a, b) in zip(starts, blocks):
+            again = [start.step(*r) for r in rows[a:b]]
+            assert np.allclose(np.array(want[a:b], float), np.array(again, float), rtol=1e-12, atol=1e-9, equal_nan=True), (n, a, b)
+
+
 def test_flat_market_rsi():
     r = R.Rsi(3)
     assert [r.step(5.0) for _ in range(4)][-1] == 100.0
