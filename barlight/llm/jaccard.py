@@ -25,7 +25,7 @@ BLOCK = 1_024
 CELLS = 16
 
 _PACKED_ROWS = "kind int, slot long, stretch long, local int, id long, th long, same long, n long, keys binary, own binary"
-_COUNTED = "kind int, stretch long, local int, id long, th long, same long, n long"
+_COUNTED = "kind int, stretch long, local int, id long, th long, same long, n long, at binary, met binary"
 
 
 def _digest(words: list[bytes]) -> int:
@@ -107,10 +107,12 @@ def _pack(shingle: int, ranges: int):
 
 
 def _count(t: pa.Table) -> pa.Table:
-    """One range: per text of each stretch how many of its hashes another text has too. Documents and texts pass."""
+    """One range: a row a stretch with its texts whose hashes other texts have too, and how many. Documents and texts pass."""
     kind = t.column("kind").to_numpy()
     names = [f.split()[0] for f in _COUNTED.split(", ")]
-    passed = t.filter(pa.array(kind != 1)).select(names)
+    passed = t.filter(pa.array(kind != 1)).select(names[:-2])
+    for name in names[-2:]:
+        passed = passed.append_column(name, pa.nulls(passed.num_rows, pa.binary()))
     packed = t.filter(pa.array(kind == 1))
     keys = [np.cumsum(_numbers(b.as_py(), 6, np.uint64), dtype=np.uint64) for b in packed.column("keys")]
     if not keys:
@@ -124,10 +126,20 @@ def _count(t: pa.Table) -> pa.Table:
     runs = np.diff(np.concatenate([starts, [len(key)]]))
     shared = np.repeat((runs > 1) | (np.minimum.reduceat(own, starts) < 0), runs) & (own >= 0)
     at, n = np.unique((row[shared] << 32) | own[shared].astype(np.int64), return_counts=True)
-    empty = pa.nulls(len(at), pa.int64())
-    stretch = packed.column("stretch").to_numpy()[at >> 32]
-    out = [pa.array(np.full(len(at), 1), pa.int32()), pa.array(stretch, pa.int64()), pa.array(at & 0xFFFFFFFF, pa.int32()), empty, empty, empty, pa.array(n, pa.int64())]
-    return pa.concat_tables([passed, pa.Table.from_arrays(out, names)])
+    bounds = np.searchsorted(at >> 32, np.arange(len(keys) + 1))
+    part = lambda x: pa.array([x[a:b].astype(np.int32).tobytes() for a, b in zip(bounds[:-1], bounds[1:])], pa.binary())
+    made = packed.select(["kind", "stretch", "local", "id", "th", "same", "n"]).append_column("at", part(at & 0xFFFFFFFF)).append_column("met", part(n))
+    return pa.concat_tables([passed, made])
+
+
+def _total(t: pa.Table) -> pa.Table:
+    """One stretch: each text's digest and how many of its hashes other texts have."""
+    kind = t.column("kind").to_numpy()
+    texts, packed = t.filter(pa.array(kind == 2)).sort_by("local"), t.filter(pa.array(kind == 1))
+    met = texts.column("n").to_numpy().copy()
+    for at, n in zip(packed.column("at").to_pylist(), packed.column("met").to_pylist()):
+        met[np.frombuffer(at, np.int32)] += np.frombuffer(n, np.int32)
+    return pa.table({"same": texts.column("same"), "met": pa.array(met, pa.int64())})
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
@@ -292,7 +304,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     counted = reliable_checkpoint(src.mapInArrow(_pack(shingle, ranges), _PACKED_ROWS).repartition(parts, "slot").groupBy("slot").applyInArrow(_count, _COUNTED))
     every = counted.where("kind = 0").select("id", "th", "same", "n")
     rep = every.where("id is not null and n > 0").groupBy("same").agg(F.min(F.struct("id", "th")).alias("r"), F.first("n").alias("n"))
-    known = counted.where("kind > 0").groupBy("stretch", "local").agg(F.max("same").alias("same"), F.sum("n").alias("met")).groupBy("same").agg(F.max("met").alias("met"))
+    known = counted.where("kind > 0").groupBy("stretch").applyInArrow(_total, "same long, met long").groupBy("same").agg(F.max("met").alias("met"))
     going = reliable_checkpoint(rep.join(known, "same").where(F.col("met") * den >= F.col("n") * num).select(F.col("r.id").alias("i"), F.col("r.th").alias("t")).distinct())
     texts = src.join(going, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t")), "left_semi")
     sets = reliable_checkpoint(_sets(texts, shingle).dropDuplicates(["node"]))
