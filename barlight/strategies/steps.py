@@ -1,4 +1,9 @@
-"""Step objects of the strategies whose state cannot be a bounded frame."""
+"""Step objects of the strategies whose state cannot be a bounded frame.
+
+States can be moved: they hold ages and countdowns in bars, never bar numbers, and what
+no longer matters is cleared. So a block's end state does not depend on where the
+block lies, and two runs agree once their memory of the start is gone.
+"""
 
 from __future__ import annotations
 
@@ -123,16 +128,24 @@ class Zone:
     """A price zone waiting for its retest; shared by the order-block family."""
 
     def __init__(self):
-        self.dir, self.lo, self.hi, self.until = 0, nan, nan, -1
+        self.clear()
+
+    def clear(self) -> None:
+        self.dir, self.lo, self.hi, self.left = 0, nan, nan, 0
+
+    def arm(self, side: int, lo: float, hi: float, bars: int) -> None:
+        self.dir, self.lo, self.hi, self.left = side, lo, hi, bars
 
-    def arm(self, side: int, lo: float, hi: float, until: int) -> None:
-        self.dir, self.lo, self.hi, self.until = side, lo, hi, until
+    def pass_bar(self) -> None:
+        if self.dir:
+            self.left = max(self.left - 1, -1)
 
     def retest(self, h: float, l: float, c: float) -> float:
         hit = (self.dir > 0 and l <= self.hi and c > self.hi) or (self.dir < 0 and h >= self.lo and c < self.lo)
         if not hit:
             return 0.0
-        side, self.dir = self.dir, 0
+        side = self.dir
+        self.clear()
         return float(side)
 
 
@@ -140,34 +153,39 @@ class SweepOrderBlock:
     """Sweep, then displacement within four bars, then a retest of its order block."""
 
     def __init__(self):
-        self.n, self.sweep, self.at, self.zone = -1, 0, -1, Zone()
+        self.sweep, self.age, self.zone = 0, 0, Zone()
         self.past: list[tuple] = []
 
+    def _reset(self) -> None:
+        self.sweep = self.age = 0
+        self.zone.clear()
+
     def step(self, ph, pl, atr, o, h, l, c) -> float:
-        self.n += 1
         before = self.past
         self.past = [*before, (o, h, l, c)][-10:]
+        self.zone.pass_bar()
+        if self.sweep:
+            self.age = min(self.age + 1, 5)
         if not (isfinite(ph) and isfinite(atr) and atr > 0):
             return 0.0
         if self.sweep == 0:
             if l < pl - 0.05 * atr and c > pl:
-                self.sweep, self.at = 1, self.n
+                self.sweep = 1
             elif h > ph + 0.05 * atr and c < ph:
-                self.sweep, self.at = -1, self.n
+                self.sweep = -1
             return 0.0
-        age = self.n - self.at
         if self.zone.dir == 0:
-            if age > 4:
-                self.sweep = 0
+            if self.age > 4:
+                self._reset()
                 return 0.0
             if max(1e-12, h - l) >= 1.2 * atr and (c - o) * self.sweep > 0:
-                self._arm(before, age)
-        elif self.n > self.zone.until:
-            self.sweep = self.zone.dir = 0
+                self._arm(before, self.age)
+        elif self.zone.left < 0:
+            self._reset()
             return 0.0
         sig = self.zone.retest(h, l, c)
         if sig:
-            self.sweep = 0
+            self._reset()
         return sig
 
     def _arm(self, before, age) -> None:
@@ -177,33 +195,34 @@ class SweepOrderBlock:
             back += 1
         o, h, l, c = before[-min(back, len(before))]
         if self.sweep > 0:
-            self.zone.arm(1, l, max(o, c), self.n + 20)
+            self.zone.arm(1, l, max(o, c), 20)
         else:
-            self.zone.arm(-1, min(o, c), h, self.n + 20)
+            self.zone.arm(-1, min(o, c), h, 20)
 
 
 class ImpulseBlock:
     """Retest of the bar before a wide, heavy bar of the other colour."""
 
     def __init__(self):
-        self.n, self.zone, self.o, self.h, self.l, self.c = -1, Zone(), nan, nan, nan, nan
+        self.seen, self.zone, self.o, self.h, self.l, self.c = 0, Zone(), nan, nan, nan, nan
 
     def step(self, atr, mean_v, o, h, l, c, v) -> float:
-        self.n += 1
+        self.seen = min(self.seen + 1, 21)
         po, ph, pl, pc = self.o, self.h, self.l, self.c
         self.o, self.h, self.l, self.c = o, h, l, c
-        if self.n < 20 or not (isfinite(atr) and atr > 0 and isfinite(mean_v) and mean_v > 0):
-            return 0.0
         z = self.zone
+        z.pass_bar()
+        if self.seen < 21 or not (isfinite(atr) and atr > 0 and isfinite(mean_v) and mean_v > 0):
+            return 0.0
         if z.dir == 0:
             if max(1e-12, h - l) >= 1.5 * atr and v >= 1.3 * mean_v:
                 if c > o and pc < po:
-                    z.arm(1, pl, max(po, pc), self.n + 24)
+                    z.arm(1, pl, max(po, pc), 24)
                 elif c < o and pc > po:
-                    z.arm(-1, min(po, pc), ph, self.n + 24)
+                    z.arm(-1, min(po, pc), ph, 24)
             return 0.0
-        if self.n > z.until:
-            z.dir = 0
+        if z.left < 0:
+            z.clear()
             return 0.0
         return z.retest(h, l, c)
 
@@ -220,8 +239,9 @@ class GapTouch:
         elif h < l2:
             self.dir, self.lo, self.hi = -1, h, l2
         elif self.dir and l <= self.hi and h >= self.lo:
-            side, self.dir = self.dir, 0
-            return float(side) if (c > self.lo if side > 0 else c < self.hi) else 0.0
+            side, lo, hi = self.dir, self.lo, self.hi
+            self.dir, self.lo, self.hi = 0, nan, nan
+            return float(side) if (c > lo if side > 0 else c < hi) else 0.0
         return 0.0
 
 
@@ -229,24 +249,28 @@ class GapInverse:
     """A violated gap changes sides and waits sixteen bars for its retest."""
 
     def __init__(self):
-        self.n, self.gap, self.zone, self.lo, self.hi = -1, 0, Zone(), nan, nan
+        self.gap, self.zone, self.lo, self.hi = 0, Zone(), nan, nan
+
+    def _reset(self) -> None:
+        self.gap, self.lo, self.hi = 0, nan, nan
+        self.zone.clear()
 
     def step(self, h2, l2, h, l, c) -> float:
-        self.n += 1
+        z = self.zone
+        z.pass_bar()
         new = 1 if l > h2 else -1 if h < l2 else 0
         if new:
-            self.gap, self.zone.dir = new, 0
-            self.lo, self.hi = (h2, l) if new > 0 else (h, l2)
-        z = self.zone
+            z.clear()
+            self.gap, (self.lo, self.hi) = new, (h2, l) if new > 0 else (h, l2)
         if self.gap and not z.dir and (c < self.lo if self.gap > 0 else c > self.hi):
-            z.arm(-self.gap, self.lo, self.hi, self.n + 16)
+            z.arm(-self.gap, self.lo, self.hi, 16)
             return 0.0
-        if z.dir and self.n > z.until:
-            self.gap = z.dir = 0
+        if z.dir and z.left < 0:
+            self._reset()
             return 0.0
         sig = z.retest(h, l, c) if z.dir else 0.0
         if sig:
-            self.gap = 0
+            self._reset()
         return sig
 
 
@@ -254,22 +278,23 @@ class BaseRetest:
     """Retest of a tight three-bar base left by an impulse; armed only when idle."""
 
     def __init__(self):
-        self.n, self.zone = -1, Zone()
+        self.seen, self.zone = 0, Zone()
 
     def step(self, atr, base_h, base_l, h, l, c) -> float:
-        self.n += 1
-        if self.n < 16 or not (isfinite(atr) and atr > 0):
-            return 0.0
+        self.seen = min(self.seen + 1, 17)
         z = self.zone
+        z.pass_bar()
+        if self.seen < 17 or not (isfinite(atr) and atr > 0):
+            return 0.0
         if z.dir == 0:
             if base_h - base_l <= 1.1 * atr and max(1e-12, h - l) >= 1.5 * atr:
                 if c > base_h:
-                    z.arm(1, base_l, base_h, self.n + 30)
+                    z.arm(1, base_l, base_h, 30)
                 elif c < base_l:
-                    z.arm(-1, base_l, base_h, self.n + 30)
+                    z.arm(-1, base_l, base_h, 30)
             return 0.0
-        if self.n > z.until:
-            z.dir = 0
+        if z.left < 0:
+            z.clear()
             return 0.0
         return z.retest(h, l, c)
 
@@ -278,24 +303,24 @@ class ScoredZones:
     """Pivots with enough volume and reaction become zones; the newest touched one fires."""
 
     def __init__(self, keep: int = 40):
-        self.n, self.keep = -1, keep
-        self.zones: list[tuple[int, float, int]] = []
+        self.keep = keep
+        self.zones: list[tuple[int, float, int]] = []  # side, price, age up to the two bars that matter
 
     def step(self, ph, pl, atr, mean_v, pivot_v, pivot_c, h, l, c) -> float:
-        self.n += 1
+        self.zones = [(side, price, min(age + 1, 2)) for side, price, age in self.zones]
         ok = isfinite(atr) and atr > 0
         for side, price in ((-1, ph), (1, pl)):
             if isfinite(price):
                 score = pivot_v / mean_v if isfinite(mean_v) and mean_v > 0 else 1.0
                 score += abs(c - pivot_c) / atr if ok else 0.0
                 if score >= 1.8:
-                    self.zones.append((side, price, self.n))
+                    self.zones.append((side, price, 0))
         self.zones = self.zones[-self.keep:]
         if not ok:
             return 0.0
         for at in range(len(self.zones) - 1, -1, -1):
-            side, price, born = self.zones[at]
-            if self.n - born < 2:
+            side, price, age = self.zones[at]
+            if age < 2:
                 continue
             edge = l if side > 0 else h
             if abs(edge - price) <= 0.25 * atr and (c - price) * side > 0:
@@ -308,18 +333,16 @@ class TrendLines:
     """Close through the line of two pivots that a third one confirms."""
 
     def __init__(self):
-        self.n, self.c = -1, nan
-        self.highs: list[tuple[int, float]] = []
+        self.seen, self.c = 0, nan
+        self.highs: list[tuple[int, float]] = []  # age and price
         self.lows: list[tuple[int, float]] = []
 
     def step(self, ph, pl, atr, c) -> float:
-        self.n += 1
+        self.seen = min(self.seen + 1, 3)
         prev, self.c = self.c, c
-        if isfinite(ph):
-            self.highs = [*self.highs, (self.n - 3, ph)][-3:]
-        if isfinite(pl):
-            self.lows = [*self.lows, (self.n - 3, pl)][-3:]
-        if not (isfinite(atr) and atr > 0) or self.n < 2:
+        self.highs = [*[(age + 1, y) for age, y in self.highs], *([(3, ph)] if isfinite(ph) else [])][-3:]
+        self.lows = [*[(age + 1, y) for age, y in self.lows], *([(3, pl)] if isfinite(pl) else [])][-3:]
+        if not (isfinite(atr) and atr > 0) or self.seen < 3:
             return 0.0
         for side, points in ((1, self.highs), (-1, self.lows)):
             if len(points) == 3 and self._through(points, side, atr, prev, c):
@@ -327,11 +350,11 @@ class TrendLines:
         return 0.0
 
     def _through(self, points, side, atr, prev, c) -> bool:
-        (x1, y1), (x2, y2), (x3, y3) = points
-        slope = (y2 - y1) / (x2 - x1)
-        if abs(y3 - (y1 + slope * (x3 - x1))) > 0.35 * atr:
+        (a1, y1), (a2, y2), (a3, y3) = points
+        slope = (y2 - y1) / (a1 - a2)
+        if abs(y3 - (y1 + slope * (a1 - a3))) > 0.35 * atr:
             return False
-        before, now = y1 + slope * ((self.n - 1) - x1), y1 + slope * (self.n - x1)
+        before, now = y1 + slope * (a1 - 1), y1 + slope * a1
         if side > 0:
             return prev <= before and c > now + 0.08 * atr
         return prev >= before and c < now - 0.08 * atr
@@ -341,13 +364,15 @@ class Hold:
     """Position taken by an entry and held for a number of bars."""
 
     def __init__(self, bars: int):
-        self.bars, self.pos, self.until = bars, 0, -1
+        self.bars, self.pos, self.left = bars, 0, 0
 
-    def step(self, n: int, entry: int) -> float:
+    def step(self, entry: int) -> float:
+        if self.pos:
+            self.left -= 1
         if entry and entry != self.pos:
-            self.pos, self.until = entry, n + self.bars
-        if self.pos and n >= self.until:
-            self.pos = 0
+            self.pos, self.left = entry, self.bars
+        if self.pos and self.left <= 0:
+            self.pos = self.left = 0
         return float(self.pos)
 
 
@@ -373,36 +398,34 @@ def _in(x: float, band) -> bool:
 class SwingPatterns:
     """All retracement, wave and harmonic targets from one list of alternating swings.
 
-    Prices are mirrored for the short side, so each rule is written once.  A
-    swing key can only move forward, so the last fired key per rule is enough.
+    Prices are mirrored for the short side, so each rule is written once.  A rule
+    fires once for the swings at hand, so the rules fired since the last new swing are enough.
     """
 
     def __init__(self, hold: int = 12, right: int = 3):
-        self.n, self.right = -1, right
-        self.swings: list[tuple[str, float, int]] = []
-        self.fired: dict[str, tuple] = {}
+        self.right = right
+        self.swings: list[tuple[str, float, int]] = []  # kind, price, age
+        self.fired: list[str] = []
         self.holds = [Hold(hold) for _ in SWING_IDS]
 
     def _take(self, ph: float, pl: float) -> None:
-        at = self.n - self.right
-        found = [(k, p, at) for k, p in (("H", ph), ("L", pl)) if isfinite(p)]
+        found = [(k, p, self.right) for k, p in (("H", ph), ("L", pl)) if isfinite(p)]
         if not found:
             return
         last = self.swings[-1] if self.swings else None
         new = found[0]
         if last and len(found) > 1 and new[0] == last[0]:
             new = found[1]
-        if last is None:
+        if last is None or (new[0] != last[0] and new[2] < last[2]):
             self.swings.append(new)
-        elif new[0] != last[0]:
-            if new[2] > last[2]:
-                self.swings.append(new)
-        elif (new[1] > last[1]) if new[0] == "H" else (new[1] < last[1]):
+        elif new[0] == last[0] and (new[1] > last[1] if new[0] == "H" else new[1] < last[1]):
             self.swings[-1] = new
-        self.swings = self.swings[-8:]
+        else:
+            return
+        self.swings, self.fired = self.swings[-8:], []
 
     def step(self, ph, pl, atr, hi3, lo3, o, h, l, c):
-        self.n += 1
+        self.swings = [(kind, price, age + 1) for kind, price, age in self.swings]
         self._take(ph, pl)
         entries: dict[str, int] = {}
         if isfinite(atr) and atr > 0 and len(self.swings) >= 2:
@@ -412,12 +435,11 @@ class SwingPatterns:
             broke = c > hi3 if side > 0 else c < lo3
             if broke:
                 self._waves(entries, side, 2.5 * atr)
-        return tuple(hold.step(self.n, entries.get(i, 0)) for i, hold in zip(SWING_IDS, self.holds))
+        return tuple(hold.step(entries.get(i, 0)) for i, hold in zip(SWING_IDS, self.holds))
 
-    def _fire(self, entries, rule, side, count) -> None:
-        key = tuple(s[2] for s in self.swings[-count:])
-        if self.fired.get(rule) != key:
-            self.fired[rule] = key
+    def _fire(self, entries, rule, side) -> None:
+        if rule not in self.fired:
+            self.fired = sorted([*self.fired, rule])
             entries[rule] = side
 
     def _retrace(self, entries, d, least, o, h, l, c) -> None:
@@ -430,24 +452,24 @@ class SwingPatterns:
             return
         near, far = top - 0.618 * span, top - 0.67 * span
         if lo <= near and hi >= far and c > near:
-            self._fire(entries, "fib_golden_pocket", d, 2)
+            self._fire(entries, "fib_golden_pocket", d)
         for ratio, rule in zip(RETRACE, SWING_IDS[1:5]):
             level = top - ratio * span
             if lo <= level and c > level:
-                self._fire(entries, rule, d, 2)
+                self._fire(entries, rule, d)
 
     def _waves(self, entries, d, least) -> None:
         q = [d * s[1] for s in self.swings]
         if len(q) >= 3:
             a, b, e = q[-3:]
             if b - a >= least and e > a and _in((b - e) / (b - a), (0.382, 0.786)):
-                self._fire(entries, "elliott_w2_w3", d, 3)
+                self._fire(entries, "elliott_w2_w3", d)
         if len(q) >= 4:
             a, b, e, f = q[-4:]
             leg = a - b
             if (leg >= least and e < a and f < b and _in((e - b) / leg, (0.382, 0.786))
                     and _in((e - f) / leg, (0.618, 1.618))):
-                self._fire(entries, "elliott_abc", d, 4)
+                self._fire(entries, "elliott_abc", d)
         if len(q) >= 5:
             x, a, b, e, f = q[-5:]
             w1, w3 = a - x, e - b
@@ -455,7 +477,7 @@ class SwingPatterns:
                 return
             if (b > x and e > a and f > a and _in((a - b) / w1, (0.382, 0.786))
                     and _in((e - f) / w3, (0.236, 0.5))):
-                self._fire(entries, "elliott_w4_w5", d, 5)
+                self._fire(entries, "elliott_w4_w5", d)
             ratios = ((a - b) / w1, (e - b) / (a - b), (a - f) / w1, (e - f) / (e - b))
             if any(all(_in(r, band) for r, band in zip(ratios, bands)) for bands in HARMONICS):
-                self._fire(entries, "harmonic_prz", d, 5)
+                self._fire(entries, "harmonic_prz", d)
