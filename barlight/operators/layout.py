@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from barlight.session import reliable_checkpoint
+from barlight.session import reliable_checkpoint, written
 
 SERIES = ("symbol", "timeframe")
 BLOCK = "block"
@@ -279,7 +279,7 @@ def _stale(done: DataFrame, used: DataFrame, keys: list[str], whole: list[str])
     ends = done.where(F.col("_end").isNotNull()).select(*keys, "_end")
     wanted = ends.select(*keys, F.lag("_end").over(order).alias("_want"))
     both = wanted.join(used, keys)
-    return reliable_checkpoint(both.where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*keys, F.col("_want").alias("_start")))
+    return written(both.where(~F.col("_want").eqNullSafe(F.col("_start"))).select(*keys, F.col("_want").alias("_start")))
 
 
 # --- lag and lead over sparse rows -------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -69,6 +70,17 @@ def reliable_checkpoint(df):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """``df`` as a table in the checkpoint folder, for what rounds pass on to the next round.
+
+    A checkpoint keeps the planner's guess of its size. Guesses multiply in joins, so after some
+    rounds of joins they are numbers of millions of digits and planning takes minutes; a table has its real size.
+    """
+    at = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def prepare(spark: SparkSession) -> SparkSession:
     """Settle what results depend on: UTC calendar fields, and our code on the workers."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
