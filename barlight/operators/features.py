@@ -198,9 +198,19 @@ def _fires(cfg) -> Column:
         .otherwise((a >= get("compressionDepth")) & (b >= get("compressionDuration")) & (d >= get("expansionVelocity"))))
 
 
-def detect_setups(rows: DataFrame, config: dict | None = None) -> DataFrame:
-    """Setup events, up to three per bar."""
-    return candidates(rows).where(_fires({**THRESHOLDS, **(config or {})}))
+def detect_setups(rows: DataFrame, config: dict | None = None, thresholds: DataFrame | None = None) -> DataFrame:
+    """Setup events, up to three per bar.
+
+    ``thresholds`` holds the six numbers of each series as columns named as in
+    ``THRESHOLDS``; a series without a row, or a null, takes the fixed number.
+    ``config`` stands above both.
+    """
+    found = candidates(rows)
+    if thresholds is None:
+        return found.where(_fires({**THRESHOLDS, **(config or {})}))
+    own = thresholds.select(*L.SERIES, *[F.col(k).alias(f"th_{k}") for k in THRESHOLDS])
+    number = lambda k: F.lit(config[k]) if k in (config or {}) else F.coalesce(F.col(f"th_{k}"), F.lit(THRESHOLDS[k]))
+    return found.join(own, list(L.SERIES), "left").where(_fires(number)).drop(*[f"th_{k}" for k in THRESHOLDS])
 
 
 # Outside concepts, whether they are used, and the features that stand for them.

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from barlight.operators import features as X
 from barlight.operators import trades as T
 from barlight.operators.bars import month_of, walk_forward_labels
-from barlight.session import TIMEFRAME_MS
+from barlight.session import TIMEFRAME_MS, reliable_checkpoint
 
 SERIES = ["symbol", "timeframe"]
 HORIZONS = [3, 6, 12, 24]
 # Fixed values: (fee, slippage) of the base and the stress scenario.
 COSTS = {"base": (0.0004, 0.0001), "stress": (0.0005, 0.0003)}
 MIN_SAMPLES = 30
+# Horizon at which thresholds are tuned, in bars.
+TUNED_HORIZON = 12
+# Columns of feature rows that events and their outcomes read.
+STUDIED = [*SERIES, "t", "i", "o", "c", "BOSStrength", "SweepDepth", "ReclaimQuality", "ExpansionVelocity", "p_depth", "p_dur", "wf", "wf_end"]
 
 
 def _setups(spark: SparkSession) -> DataFrame:
@@ -41,27 +45,43 @@ def decide_promotion(stats: DataFrame, by: list[str], min_n: int = MIN_SAMPLES,
     return pairs.withColumns({"status": status, "reasons": why})
 
 
+def placed_rows(rows: DataFrame, horizons: list[int]) -> DataFrame:
+    """Feature rows with the bar before, paths and walk-forward windows: all that events are made of."""
+    return walk_forward_labels(X.with_previous(X.with_paths(rows, horizons)))
+
+
 def study_events(rows: DataFrame, horizons: list[int], config: dict | None = None) -> DataFrame:
     """Setup events with paths and walk-forward windows."""
-    placed = walk_forward_labels(X.with_previous(X.with_paths(rows, horizons)))
-    return X.detect_setups(placed, config)
+    return X.detect_setups(placed_rows(rows, horizons), config)
 
 
-def walk_forward_study(events: DataFrame, horizons: list[int], costs: dict = COSTS) -> DataFrame:
-    """Outcome summaries per window, horizon and cost, all setups present."""
+def walk_forward_study(events: DataFrame, horizons: list[int], costs: dict = COSTS, rows: DataFrame | None = None) -> DataFrame:
+    """Outcome summaries per window, horizon and cost, all setups present for each series of ``rows`` (by default: with an event)."""
     spark = events.sparkSession
     grid = spark.createDataFrame([(k, c) for k in horizons for c in costs], "horizon int, cost_name string")
     windows = spark.createDataFrame([("train",), ("validation",), ("holdout",)], "wf string")
     # Series times a fixed grid of 3 setups, 3 windows and the given horizons and costs.
-    every = (events.select(*SERIES).distinct().crossJoin(F.broadcast(_setups(spark)))
+    every = ((events if rows is None else rows).select(*SERIES).distinct().crossJoin(F.broadcast(_setups(spark)))
              .crossJoin(F.broadcast(windows)).crossJoin(F.broadcast(grid)))
     return X.summarize(X.outcomes(events, horizons, costs), [*SERIES, "kind", "wf", "horizon", "cost_name"], every)
 
 
 def robustness_matrix(rows: DataFrame, horizons: list[int] = HORIZONS, costs: dict = COSTS,
-                      config: dict | None = None, min_n: int = MIN_SAMPLES, min_exp: float = 0.0) -> DataFrame:
-    """A setup passes only if every horizon and cost run passes."""
-    stats = walk_forward_study(study_events(rows, horizons, config), horizons, costs)
+                      config: dict | None = None, min_n: int = MIN_SAMPLES, min_exp: float = 0.0, tune: bool = True) -> DataFrame:
+    """A setup passes only if every horizon and cost run passes.
+
+    Each series' thresholds are first tuned on its own train window; ``config`` stands
+    above what was tuned, and ``tune=False`` keeps the fixed thresholds. The feature
+    rows are written once: tuning, events and the grid of groups all read that.
+    """
+    if tune:
+        paths = sorted({*horizons, TUNED_HORIZON})
+        placed = reliable_checkpoint(placed_rows(rows, paths).select(*STUDIED, *[f"{x}{k}" for k in paths for x in ("x", "hi", "lo")]))
+        tuned = tuned_on(placed, TUNED_HORIZON, *COSTS["base"], min_n)
+        events = X.detect_setups(placed, config, thresholds_of(tuned))
+    else:
+        placed, events = None, study_events(rows, horizons, config)
+    stats = walk_forward_study(events, horizons, costs, placed)
     runs = decide_promotion(stats, [*SERIES, "horizon", "cost_name"], min_n, min_exp)
     status = F.when(F.bool_or(F.col("status") == "INSUFFICIENT_DATA"), "INSUFFICIENT_DATA").when(
         F.bool_or(F.col("status") != "PASS"), "REJECT").otherwise("PASS")
@@ -110,9 +130,20 @@ def tune_thresholds(rows: DataFrame, horizon: int = 12, fee: float = 0.0004, sli
 
     Enough samples beat too few, then expectancy, then count, then the earliest point.
     """
-    spark = rows.sparkSession
-    placed = walk_forward_labels(X.with_previous(X.with_paths(rows, [horizon]))).where(F.col("wf") == "train")
-    cand = X.outcomes(X.candidates(placed), [horizon], {"base": (fee, slip)})
+    return tuned_on(placed_rows(rows, [horizon]), horizon, fee, slip, min_n)
+
+
+def thresholds_of(tuned: DataFrame) -> DataFrame:
+    """A row a series with its tuned numbers by name."""
+    of = {"breakoutStrength": ("breakout", "ga"), "sweepStrength": ("liquidity_sweep_reclaim", "ga"), "reclaimStrength": ("liquidity_sweep_reclaim", "gb"),
+          "compressionDepth": ("compression_release", "ga"), "compressionDuration": ("compression_release", "gb"), "expansionVelocity": ("compression_release", "gd")}
+    return tuned.groupBy(*SERIES).agg(*[F.max(F.when(F.col("kind") == kind, F.col(g))).alias(name) for name, (kind, g) in of.items()])
+
+
+def tuned_on(placed: DataFrame, horizon: int, fee: float, slip: float, min_n: int) -> DataFrame:
+    """:func:`tune_thresholds` of :func:`placed_rows`."""
+    spark = placed.sparkSession
+    cand = X.outcomes(X.candidates(placed.where(F.col("wf") == "train")), [horizon], {"base": (fee, slip)})
     # Events first fold into the cells between thresholds; only cells meet the grid.
     steps = {"breakout": (GRID_BREAKOUT,), "liquidity_sweep_reclaim": (GRID_SWEEP, GRID_RECLAIM),
              "compression_release": (GRID_DEPTH, GRID_DURATION, GRID_EXPANSION)}
@@ -132,7 +163,7 @@ def tune_thresholds(rows: DataFrame, horizon: int = 12, fee: float = 0.0004, sli
         F.col("id").isNull() | (F.col("cd") > F.col("id")))
     scored = cells.join(grid, "kind").where(ok).groupBy(*SERIES, "kind", "point").agg(
         F.sum("n").alias("n"), (F.sum("s") / F.sum("n")).alias("net_exp"))
-    every = rows.select(*SERIES).distinct().crossJoin(grid)
+    every = placed.select(*SERIES).distinct().crossJoin(grid)
     full = every.join(scored, [*SERIES, "kind", "point"], "left").na.fill(0, ["n"]).na.fill(0.0, ["net_exp"])
     # Sums of the same events in another order may differ in the last bits; they tie.
     best = Window.partitionBy(*SERIES, "kind").orderBy(

@@ -238,12 +238,42 @@ def _promotion(spark, sf):
     return G.decide_promotion(stats, ["symbol", "timeframe", "horizon", "cost_name"], 10).drop("reasons")
 
 
-@check("robustness_matrix", f"{STUDY},\n{STATS_CTE},\n{DECIDE} SELECT symbol, timeframe, kind, status, passed_runs, total_runs FROM mx")
+def _grid() -> str:
+    rows = [("breakout", i, a, None, None) for i, a in enumerate(G.GRID_BREAKOUT)]
+    rows += [("liquidity_sweep_reclaim", i, a, b, None) for i, (a, b) in enumerate((a, b) for a in G.GRID_SWEEP for b in G.GRID_RECLAIM)]
+    rows += [("compression_release", i, a, b, d) for i, (a, b, d) in enumerate((a, b, d) for a in G.GRID_DEPTH for b in G.GRID_DURATION for d in G.GRID_EXPANSION)]
+    lit = lambda x: "NULL" if x is None else f"{x}"
+    return ", ".join(f"('{k}', {i}, {lit(a)}, {lit(b)}, {lit(d)})" for k, i, a, b, d in rows)
+
+
+def tuned_cte(least: int, oc: str = "oc") -> str:
+    """``tuned``: the best grid point of each series and setup over the train rows of ``oc``."""
+    return f"""grid AS (SELECT kind, point, CAST(ga AS DOUBLE) AS ga, CAST(gb AS DOUBLE) AS gb, CAST(gd AS DOUBLE) AS gd FROM (VALUES {_grid()}) g(kind, point, ga, gb, gd)),
+s AS (SELECT b.symbol, b.timeframe, g.kind, g.point, ga, gb, gd, count(net) AS n, coalesce(avg(net), 0) AS net_exp FROM (SELECT DISTINCT symbol, timeframe FROM bars) b CROSS JOIN grid g
+  LEFT JOIN {oc} oc ON oc.symbol = b.symbol AND oc.kind = g.kind AND oc.wf = 'train' AND oc.a >= ga AND (gb IS NULL OR oc.b >= gb) AND (gd IS NULL OR oc.d >= gd) GROUP BY ALL),
+tuned AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY n >= {least} DESC, round(net_exp, 12) DESC, n DESC, point) AS k FROM s) WHERE k = 1)"""
+
+
+# Outcomes of every candidate at the tuned horizon (names t_...), the thresholds from them, then the study of what fires.
+TUNED_FIRES = "EXISTS (SELECT 1 FROM tuned u WHERE u.symbol = e.symbol AND u.kind = e.kind AND e.a >= u.ga AND (u.gb IS NULL OR e.b >= u.gb) AND (u.gd IS NULL OR e.d >= u.gd))"
+_FIRST = study_cte((12,), (("base", 0.001),), "true").replace("paths", "t_paths").replace("wf AS (", "t_wf AS (").replace("JOIN wf ON wf.symbol = e.symbol AND wf.i", "JOIN t_wf ON t_wf.symbol = e.symbol AND t_wf.i").replace("oc0", "t_oc0").replace("oc AS MAT", "t_oc AS MAT")
+TUNED_STUDY = f"WITH {walk()},\n{FEATURES_CTE},\n{SETUPS_CTE},\n{_FIRST},\n{tuned_cte(10, 't_oc')},\n{study_cte(fires=TUNED_FIRES)}"
+ALL_STATS = STATS_CTE.replace("(SELECT DISTINCT symbol, timeframe FROM ev)", "(SELECT DISTINCT symbol, timeframe FROM bars)").replace(
+    "(SELECT DISTINCT horizon, cost_name FROM oc)", "(VALUES (3), (6), (12), (24)) hz(horizon), (VALUES ('base'), ('stress')) cs(cost_name)")
+MATRIX_OUT = "SELECT symbol, timeframe, kind, status, passed_runs, total_runs FROM mx"
+
+
+@check("robustness_matrix", f"{TUNED_STUDY},\n{ALL_STATS},\n{DECIDE} {MATRIX_OUT}")
 def _matrix(spark, sf):
     return G.robustness_matrix(_rows(spark, sf), min_n=10).drop("reason")
 
 
-@check("acceptance_report", f"""{STUDY},\n{STATS_CTE},\n{DECIDE}, gd AS (SELECT symbol, timeframe, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS d FROM bars),
+@check("robustness_fixed_thresholds", f"{STUDY},\n{STATS_CTE},\n{DECIDE} {MATRIX_OUT}")
+def _fixed_matrix(spark, sf):
+    return G.robustness_matrix(_rows(spark, sf), min_n=10, tune=False).drop("reason")
+
+
+@check("acceptance_report", f"""{TUNED_STUDY},\n{ALL_STATS},\n{DECIDE}, gd AS (SELECT symbol, timeframe, t - lag(t) OVER (PARTITION BY symbol ORDER BY t) AS d FROM bars),
 gm AS (SELECT symbol, d AS m FROM (SELECT symbol, d, row_number() OVER (PARTITION BY symbol ORDER BY count(*) DESC, d) AS k FROM gd WHERE d > 0 GROUP BY 1, 2) WHERE k = 1),
 gq AS (SELECT gd.symbol, timeframe, NOT bool_or(coalesce(d / m > 1.5, false)) AS ok FROM gd JOIN gm ON gm.symbol = gd.symbol GROUP BY 1, 2),
 pr AS (SELECT symbol, string_agg(kind, ',' ORDER BY kind) FILTER (status = 'PASS') AS kinds FROM mx GROUP BY 1)
@@ -255,20 +285,9 @@ def _acceptance(spark, sf):
     return G.acceptance_report(quality, G.robustness_matrix(_rows(spark, sf), min_n=10))
 
 
-def _grid() -> str:
-    rows = [("breakout", i, a, None, None) for i, a in enumerate(G.GRID_BREAKOUT)]
-    rows += [("liquidity_sweep_reclaim", i, a, b, None) for i, (a, b) in enumerate((a, b) for a in G.GRID_SWEEP for b in G.GRID_RECLAIM)]
-    rows += [("compression_release", i, a, b, d) for i, (a, b, d) in enumerate((a, b, d) for a in G.GRID_DEPTH for b in G.GRID_DURATION for d in G.GRID_EXPANSION)]
-    lit = lambda x: "NULL" if x is None else f"{x}"
-    return ", ".join(f"('{k}', {i}, {lit(a)}, {lit(b)}, {lit(d)})" for k, i, a, b, d in rows)
-
-
 @check("tuned_thresholds", f"""WITH {walk()},\n{FEATURES_CTE},\n{SETUPS_CTE},\n{study_cte((12,), (('base', 0.001),), 'true')},
-grid AS (SELECT kind, point, CAST(ga AS DOUBLE) AS ga, CAST(gb AS DOUBLE) AS gb, CAST(gd AS DOUBLE) AS gd FROM (VALUES {_grid()}) g(kind, point, ga, gb, gd)),
-s AS (SELECT b.symbol, b.timeframe, g.kind, g.point, ga, gb, gd, count(net) AS n, coalesce(avg(net), 0) AS net_exp FROM (SELECT DISTINCT symbol, timeframe FROM bars) b CROSS JOIN grid g
-  LEFT JOIN oc ON oc.symbol = b.symbol AND oc.kind = g.kind AND oc.wf = 'train' AND oc.a >= ga AND (gb IS NULL OR oc.b >= gb) AND (gd IS NULL OR oc.d >= gd) GROUP BY ALL)
-SELECT symbol, timeframe, kind, {r6('ga')} AS ga, {r6('gb')} AS gb, {r6('gd')} AS gd, n, {r6('net_exp')} AS net_exp FROM (
-  SELECT *, row_number() OVER (PARTITION BY symbol, kind ORDER BY n >= 30 DESC, round(net_exp, 12) DESC, n DESC, point) AS k FROM s) WHERE k = 1""")
+{tuned_cte(30)}
+SELECT symbol, timeframe, kind, {r6('ga')} AS ga, {r6('gb')} AS gb, {r6('gd')} AS gd, n, {r6('net_exp')} AS net_exp FROM tuned""")
 def _tuned(spark, sf):
     return G.tune_thresholds(_rows(spark, sf)).drop("point")
 

@@ -132,3 +132,27 @@ def test_all_alternatives(spark):
 
     df = spark.range(150).toDF("n")
     assert markdown_table(df, ["n"], [F.col("n")], 150).count("\n") == 152
+
+
+def test_thresholds_are_tuned_before_the_matrix(spark, bars):
+    """Each series gets the thresholds of its own train window; the caller's numbers stand above them, and fixed ones stay an option."""
+    from pyspark.sql import functions as F
+
+    rows = X.features(bars, longest=10)
+    tuned = G.tune_thresholds(rows, min_n=5)
+    names = G.thresholds_of(tuned)
+    placed = G.placed_rows(rows, [3])
+    fired = X.detect_setups(placed, None, names).select("symbol", "timeframe", "t", "kind", "a", "b", "d")
+    by = fired.join(tuned, ["symbol", "timeframe", "kind"])
+    assert fired.count() > 10 and by.where("a < ga OR b < gb OR d < gd").isEmpty()
+    above = X.detect_setups(placed, {"breakoutStrength": 1e9}, names)
+    assert above.where("kind = 'breakout'").isEmpty() and above.count() == fired.where("kind <> 'breakout'").count()
+    only = names.where("symbol = 'AAAUSDT'")
+    other = X.detect_setups(placed, None, only).where("symbol <> 'AAAUSDT'").count()
+    assert other == X.detect_setups(placed).where("symbol <> 'AAAUSDT'").count()
+    matrix = {(r.symbol, r.kind): (r.status, r.passed_runs) for r in G.robustness_matrix(rows, [3, 12], min_n=5).collect()}
+    stats = G.walk_forward_study(X.detect_setups(G.placed_rows(rows, [3, 12]), None, names), [3, 12], G.COSTS, rows)
+    runs = G.decide_promotion(stats, [*G.SERIES, "horizon", "cost_name"], 5)
+    want = {(r.symbol, r.kind): r.n for r in runs.groupBy("symbol", "kind").agg(F.count_if(F.col("status") == "PASS").alias("n")).collect()}
+    assert {k: n for k, (_, n) in matrix.items()} == want and len(matrix) == 6
+    assert G.robustness_matrix(rows, [3], min_n=5, tune=False).count() == 6
