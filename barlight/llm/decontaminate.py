@@ -170,7 +170,8 @@ def _one_pass(docs: DataFrame, known: DataFrame, id_col: str, text_col: str) ->
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item, as they are."""
-    found = contaminated(docs, items, id_col, text_col, item_col, item_text_col).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    text = F.coalesce(docs[text_col], F.lit(""))
-    return docs.join(found, docs[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_th")), "left_anti")
+    """The rows of ``docs`` that hold no item, as they are; null and empty texts stay, repeated rows go or stay together."""
+    found = contaminated(docs, items, id_col, text_col, item_col, item_text_col).select(F.struct("id", "th").alias("key")).distinct()
+    key = F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("th"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("own"))
+    return rows.join(found, F.col("own").eqNullSafe(F.col("key")), "left_anti").select("row.*")

@@ -7,22 +7,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barlight.llm.buckets import links_in_buckets, signature
 from barlight.llm.common import text_bytes
 from barlight.llm.components import components
-from barlight.llm.simhash import _by_key, _hashes
+from barlight.llm.simhash import _hashes
 from barlight.session import reliable_checkpoint
 
 # Shingles that a task packs at once, and about so many bytes of text to a range of hashes.
 PACKED, RANGE_BYTES = 1 << 20, 24 << 20
-# Buckets up to this size are compared pair by pair at once; members of larger ones meet so many leaders in each of so many rounds first.
-CLOSE, LEADERS, ROUNDS = 8, 4, 2
-# Members of one bucket that meet in one task; larger buckets are dealt out in blocks.
-BLOCK = 1_024
-# Words of 64 bits in a suffix signature.
-CELLS = 16
 
 _PACKED_ROWS = "kind int, slot long, stretch long, local int, id long, th long, same long, n long, keys binary, own binary"
 _COUNTED = "kind int, stretch long, local int, id long, th long, same long, n long, at binary, met binary"
@@ -156,16 +151,14 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 def _prefix_entries(num: int, den: int):
     """Rows ``key, node, n, u, pos, sig`` of the prefixes of rows ``node, n, hs``.
 
-    ``hs`` are the shared shingles from rare to frequent; the ``u`` others precede them and meet nothing. ``sig`` has
-    bit c set if an odd number of ``hs`` fall into cell c: two sets differ in as many shingles at least as signatures in bits.
+    ``hs`` are the shared shingles from rare to frequent; the ``u`` others precede them and meet nothing.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             key, of, pos, sigs = [], [], [], []
             for k, (n, hs) in enumerate(zip(x.column("n").to_pylist(), x.column("hs"))):
                 h = hs.values.to_numpy()
-                cells = np.bincount((h.view(np.uint64) % np.uint64(64 * CELLS)).astype(np.int64), minlength=64 * CELLS) & 1
-                sigs.append(np.packbits(cells.astype(np.uint8)).tobytes())
+                sigs.append(signature(h))
                 u = n - len(h)
                 size = n + (-num * n // den) + 1 - u
                 key.append(h[:max(0, size)])
@@ -179,56 +172,12 @@ def _prefix_entries(num: int, den: int):
     return run
 
 
-def _bucket_pairs(num: int, den: int):
-    """Rows sorted by key, each key whole: the pairs of different components that length, positions and signatures allow."""
-    names = ["key", "node", "n", "u", "pos", "sig", "comp", "blk", "mixed"]
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key, node, n, u, pos, comp, blk, mixed = (t.column(c).to_numpy() for c in names if c != "sig")
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint64).reshape(-1, CELLS)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        at, step = np.arange(len(key)), 1
-        while True:
-            at = at[at + step < len(key)]
-            at = at[key[at] == key[at + step]]
-            if not len(at):
-                break
-            a, b = at, at + step
-            fits = (comp[a] != comp[b]) & ((mixed[a] == 0) | (blk[a] != blk[b])) & (den * np.minimum(n[a], n[b]) >= num * np.maximum(n[a], n[b]))
-            a, b = a[fits], b[fits]
-            least = -(-num * (n[a] + n[b]) // (num + den))
-            fits = 1 + np.minimum(n[a] - pos[a], n[b] - pos[b]) - 1 >= least
-            a, b, least = a[fits], b[fits], least[fits]
-            for k in range(0, len(a), 1 << 16):
-                i, j = a[k:k + (1 << 16)], b[k:k + (1 << 16)]
-                apart = np.bitwise_count(sig[i] ^ sig[j]).sum(axis=1, dtype=np.int64)
-                close = apart <= n[i] + n[j] - 2 * least[k:k + (1 << 16)] - u[i] - u[j]
-                out_a.append(np.minimum(node[i[close]], node[j[close]]))
-                out_b.append(np.maximum(node[i[close]], node[j[close]]))
-            step += 1
-        a, b = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0).T
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
-
-    return names, _by_key(names, pairs)
-
-
-def _least_overlap(n: Column, m: Column, num: int, den: int) -> Column:
-    """The smallest overlap of sets of these sizes at the similarity."""
-    return F.ceil(F.lit(num) * (n + m) / F.lit(num + den)).cast("long")
-
-
 def linked_texts(sets: DataFrame, num: int, den: int) -> DataFrame:
     """``(u, v)``: links that span all pairs of ``(node, n, s)`` with a Jaccard similarity of ``num / den`` or more.
 
     Shingles are ordered from rare to frequent; two such sets share one of their first
-    ``n - ceil(n * num / den) + 1``. Those make buckets. A pair of a bucket is looked at if
-    its lengths, the places of the shared shingle and the signatures of the rest allow the
-    similarity, and then verified by all shingles, once. Large buckets go in rounds: members
-    meet a few leaders, what links is contracted, and only members of different components
-    are compared further, in blocks. No pair that could join two components is left out.
+    ``n - ceil(n * num / den) + 1``. Those make the buckets of :func:`links_in_buckets`.
     """
-    spark = sets.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     one = sets.select("node", "n", F.explode("s").alias("h"))
     df = reliable_checkpoint(one.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     shared = one.join(df, "h").groupBy("node").agg(F.first("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("hs"))
@@ -236,50 +185,7 @@ def linked_texts(sets: DataFrame, num: int, den: int) -> DataFrame:
     entries = rows.mapInArrow(_prefix_entries(num, den), "key long, node long, n long, u long, pos long, sig binary")
     sizes = reliable_checkpoint(entries.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     entries = reliable_checkpoint(entries.join(sizes, "key"))
-    names, in_buckets = _bucket_pairs(num, den)
-
-    def compared(members: DataFrame) -> DataFrame:
-        return members.repartition(parts, "key").sortWithinPartitions("key").select(*names).mapInArrow(in_buckets, "u long, v long")
-
-    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """The pairs that were not tried before, and those of them that link."""
-        nonlocal tried
-        fresh = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["u", "v"], "left_anti")
-        fresh = reliable_checkpoint(fresh)
-        tried = fresh if tried is None else tried.unionAll(fresh)
-        side = lambda c: rows.select(F.col("node").alias(c), F.col("n").alias(f"n{c}"), F.col("hs").alias(f"h{c}"))
-        both = fresh.join(side("u"), "u").join(side("v"), "v")
-        return reliable_checkpoint(both.where(F.size(F.array_intersect("hu", "hv")) * (num + den) >= num * (F.col("nu") + F.col("nv"))).select("u", "v"))
-
-    tried: DataFrame | None = None
-    alone = entries.withColumns({"comp": F.col("node"), "blk": F.lit(0).cast("long"), "mixed": F.lit(0).cast("long")})
-    links = verified(compared(alone.where(F.col("members") <= CLOSE)))
-    hot = entries.where(F.col("members") > CLOSE)
-    if hot.isEmpty():
-        return links
-
-    def grouped() -> DataFrame:
-        """Members of large buckets that still hold more than one component."""
-        comp = components(links).toDF("node", "comp")
-        now = hot.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
-        return reliable_checkpoint(now.join(several, "key", "left_semi"))
-
-    now = reliable_checkpoint(hot.withColumn("comp", F.col("node")))
-    for turn in range(ROUNDS):
-        member = F.struct("node", "n", "pos", "comp")
-        drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("h"), member.alias("m"))).alias(f"l{k}") for k in range(LEADERS)]
-        leads = now.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*[f"l{k}.m" for k in range(LEADERS)]))).alias("lead"))
-        least = _least_overlap(F.col("n"), F.col("lead.n"), num, den)
-        fits = (F.col("comp") != F.col("lead.comp")) & (F.least("n", "lead.n") * den >= F.greatest("n", "lead.n") * num) & (F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")) >= least)
-        met = now.withColumnRenamed("key", "k").join(reliable_checkpoint(leads), (F.col("k") == F.col("key")) & fits)
-        links = links.unionAll(verified(met.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v"))))
-        now = grouped()
-    blocks = F.ceil(F.col("members") / BLOCK).cast("long")
-    dealt = now.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    low, high = F.least("own", "other"), F.greatest("own", "other")
-    dealt = dealt.withColumns({"key": F.when(blocks == 1, F.col("key")).otherwise(F.xxhash64("key", low, high)), "blk": F.col("own"), "mixed": (low != high).cast("long")})
-    return links.unionAll(verified(compared(dealt)))
+    return links_in_buckets(rows, entries, num, den)
 
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, num: int = 90, den: int = 100) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barlight.llm.anchors import mixed
+from barlight.llm.buckets import by_key, links_in_buckets, signature
 from barlight.llm.common import text_bytes
 from barlight.llm.components import components
 from barlight.session import reliable_checkpoint
@@ -136,25 +138,6 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
     return left, right
 
 
-def _by_key(names: list[str], links):
-    """``links`` over batches of rows sorted by key, each key whole in one call."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for x in batches:
-            t = pa.Table.from_batches([x]).select(names)
-            if rest is not None:
-                t = pa.concat_tables([rest, t]).combine_chunks()
-            key = t.column("key").to_numpy()
-            cut = int(np.searchsorted(key, key[-1], "left")) if len(key) else 0  # the last key may go on
-            if cut:
-                yield links(t.slice(0, cut))
-            rest = t.slice(cut)
-        if rest is not None and rest.num_rows:
-            yield links(rest)
-
-    return run
-
-
 def _check_buckets(ring: Ring, span: bool):
     """Rows ``key, fp, rep`` sorted by key: links between representatives within the radius; with ``span`` only as many as join the same."""
     names = ["key", "fp", "rep"]
@@ -176,7 +159,7 @@ def _check_buckets(ring: Ring, span: bool):
         a, b = _forest(a, b) if span else np.unique(np.stack([a, b], 1), axis=0).T
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
 
-    return _by_key(names, links)
+    return by_key(names, links)
 
 
 def _keyed(rows: DataFrame, keys: Column, name: str) -> DataFrame:
@@ -215,25 +198,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Equal fingerprints stand for one another, so copies never meet as pairs. Rows
     with a null id get their fingerprint and a null component, and link nothing;
-    repeated ids are one node if their fingerprints link, and each row keeps its
-    own fingerprint's component. No rows give no rows. Other columns are ignored.
+    nodes are fingerprints, so a repeated id with another text is a document of its
+    own. No rows give no rows. Other columns are ignored.
     """
     fp = reliable_checkpoint(fingerprints(docs, id_col, text_col, shingle))
-    reps = fp.where("id is not null").groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("rep"))
-    reps = reliable_checkpoint(reps)
-    comp = components(linked(reps))
-    of = reps.join(comp, reps.rep == comp.node, "left").select(F.col("fp"), F.coalesce("component", "rep").alias("component"))
-    out = fp.join(of, "fp", "left")
+    distinct = reliable_checkpoint(fp.where("id is not null").groupBy("fp").agg(F.min(F.col("id").cast("long")).alias("least")))
+    comp = components(linked(distinct.select("fp", F.col("fp").alias("rep")))).toDF("fp", "label")
+    of = distinct.join(comp, "fp", "left").withColumn("label", F.coalesce("label", "fp"))
+    least = of.groupBy("label").agg(F.min("least").alias("component"))
+    out = fp.join(of.join(least, "label").select("fp", "component"), "fp", "left")
     return out.select("id", "fp", F.when(F.col("id").isNotNull(), F.col("component")).alias("component"))
 
 
-# A ring of six segments for three bits.
-LOOSE = Ring(6, 3)
 # Band keys of similar texts: each is made of so many least hashes of the shingles. A pair of similarity s shares none
 # with probability (1 - s ** ROWS) ** BANDS, 3e-6 at 0.8, however the shingles that differ lie in the texts.
 BANDS, ROWS = 32, 5
-# Buckets up to this size are verified pair by pair; members of larger ones against so many leaders first.
-CLOSE, LEADERS = 8, 4
 _TIMES = mixed(np.arange(1, BANDS * ROWS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
@@ -271,81 +250,48 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
     return src.mapInArrow(run, "id long, th long, same binary, n long, bands array<long>")
 
 
-def _bucket_pairs(similar: float):
-    """Rows ``key, size, rep`` sorted by key: the pairs of a key whose sizes allow the similarity."""
-    names = ["key", "size", "rep"]
-
-    def pairs(t: pa.Table) -> pa.RecordBatch:
-        key, size, rep = (t.column(n).to_numpy() for n in names)
-        out_a, out_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-        for step in range(1, len(key)):
-            at = np.flatnonzero(key[:-step] == key[step:])
-            if not len(at):
-                break
-            a, b = size[at], size[at + step]
-            at = at[np.minimum(a, b) >= similar * np.maximum(a, b)]
-            out_a.append(np.minimum(rep[at], rep[at + step]))
-            out_b.append(np.maximum(rep[at], rep[at + step]))
-        a, b = np.unique(np.stack([np.concatenate(out_a), np.concatenate(out_b)], 1), axis=0).T
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["u", "v"])
-
-    return _by_key(names, pairs)
-
-
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``(id, s)``: distinct hashes of the word shingles of rows ``(id, b)``."""
+    """``(node, n, hs, sig)`` of rows ``(node, b)``: number, hashes and signature of the distinct word shingles."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            out = [np.unique(_hashes(b.as_py().lower().split(), size)).view(np.int64) for b in x.column("b")]
-            yield pa.RecordBatch.from_arrays([x.column("id"), pa.array(out, pa.list_(pa.int64()))], ["id", "s"])
+            sets = [np.unique(_hashes(b.as_py().lower().split(), size)).view(np.int64) for b in x.column("b")]
+            yield pa.RecordBatch.from_arrays([x.column("node"), pa.array(list(map(len, sets)), pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(list(map(signature, sets)), pa.binary())], ["node", "n", "hs", "sig"])
 
-    return docs.mapInArrow(run, "id long, s array<long>")
+    return docs.mapInArrow(run, "node long, n long, hs array<long>, sig binary")
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """``(id, th, component)`` per row with an id: documents linked by a similarity of ``similar`` or more of their sets of word shingles.
 
-    Candidates share one of the ``BANDS`` keys of their shingles; each is verified
-    exactly. Members of buckets with over ``CLOSE`` members are verified against a
-    few leaders first; those outside the bucket's main group are then compared with
-    all members of other groups than their own, so no link that joins two groups is
-    left out. Equal word sequences are one node. Ids must be whole numbers; null ids
-    are left out, so such rows are in no group.
+    This is not SimHash, whose radius cannot reach that similarity: candidates share one
+    of the ``BANDS`` keys of their shingles (least hashes); :func:`links_in_buckets` compares them
+    and each link is verified exactly. Equal word sequences are one node, whatever their
+    ids, and a repeated id with another text is a node of its own; nodes are known by a
+    64-bit digest, and a group by its smallest id. Ids must be whole numbers; null ids are
+    left out, so such rows are in no group. Texts without words are copies of each other.
     """
-    sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle))
-    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min("id").alias("rep"), F.first("n").alias("size"), F.first("bands").alias("bands")))
-    fits = lambda a, b: F.least(a, b) >= similar * F.greatest(a, b)
-    at = _keyed(reps, F.col("bands"), "size")
-    close = _small(at, CLOSE, "size").mapInArrow(_bucket_pairs(similar), "u long, v long")
-    hot = at.where(F.col("n") > CLOSE).select("key", "size", "rep")
-    leader = [F.min(F.struct(F.xxhash64("rep", F.lit(k)).alias("h"), F.col("rep").alias("lead"), F.col("size").alias("lead_size"))).alias(f"l{k}") for k in range(LEADERS)]
-    leads = hot.groupBy("key").agg(*leader).select("key", F.explode(F.array_distinct(F.array(*[F.struct(f"l{k}.lead", f"l{k}.lead_size") for k in range(LEADERS)]))).alias("l"))
-    leads = reliable_checkpoint(leads.select("key", "l.lead", "l.lead_size"))
-    star = hot.join(leads, "key").where((F.col("rep") != F.col("lead")) & fits("size", "lead_size"))
-    star = star.select(F.least("rep", "lead").alias("u"), F.greatest("rep", "lead").alias("v"))
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("b"), F.xxhash64(text_bytes(text_col)).alias("th"))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = reliable_checkpoint(pairs.distinct())
-        wanted = pairs.select(F.col("u").alias("n")).unionAll(pairs.select("v")).distinct()
-        sets = reliable_checkpoint(_shingle_sets(texts.join(wanted, F.col("id") == F.col("n"), "left_semi").select("id", "b"), shingle).dropDuplicates(["id"]))
-        both = pairs.join(sets.toDF("u", "su"), "u").join(sets.toDF("v", "sv"), "v")
-        met = F.size(F.array_intersect("su", "sv"))
-        return reliable_checkpoint(both.where(met >= similar * (F.size("su") + F.size("sv") - met)).select("u", "v"))
-
-    links = verified(close.unionAll(star))
-    groups = reliable_checkpoint(components(links)).toDF("node", "group")
-    grouped = reliable_checkpoint(hot.join(groups, hot.rep == groups.node, "left").select("key", "size", "rep", F.coalesce("group", "rep").alias("group")))
-    main = reliable_checkpoint(grouped.groupBy("key").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), F.col("group").alias("g"))).alias("m")).select("key", F.col("m.g").alias("main")))
-    failed = reliable_checkpoint(grouped.join(main, "key").where(F.col("group") != F.col("main")).select("key", "size", "rep", "group").toDF("key", "size2", "rep2", "group2"))
-    again = grouped.join(failed, (grouped.key == failed.key) & (F.col("group") != F.col("group2")) & fits("size", "size2"))
-    more = verified(again.select(F.least("rep", "rep2").alias("u"), F.greatest("rep", "rep2").alias("v")))
-    comp = reliable_checkpoint(components(links.unionAll(more)))
-    of = reps.join(comp, reps.rep == comp.node, "left").select("same", F.coalesce("component", "rep").alias("component"))
-    return sk.select("id", "th", "same").join(reliable_checkpoint(of), "same").select("id", "th", "component")
+    ratio = Fraction(similar).limit_denominator(1_000)
+    sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle).withColumn("same", F.xxhash64("same")))
+    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min(F.struct("id", "th")).alias("r"), F.first("bands").alias("bands")))
+    keyed = reps.select(F.col("same").alias("node"), F.explode("bands").alias("key"))
+    sizes = reliable_checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
+    entries = reliable_checkpoint(keyed.join(sizes, "key"))
+    wanted = reliable_checkpoint(reps.join(entries.select(F.col("node").alias("same")).distinct(), "same").select(F.col("same").alias("node"), F.col("r.id").alias("i"), F.col("r.th").alias("t")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("b")).withColumn("th", F.xxhash64("b"))
+    found = texts.join(wanted, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("node", "b")
+    rows = reliable_checkpoint(_shingle_sets(found, shingle).dropDuplicates(["node"]))
+    nothing = F.lit(0).cast("long")
+    members = entries.join(rows.select("node", "n", "sig"), "node").withColumns({"u": nothing, "pos": nothing})
+    links = links_in_buckets(rows, reliable_checkpoint(members), ratio.numerator, ratio.denominator)
+    comp = reliable_checkpoint(components(links)).toDF("same", "label")
+    labelled = sk.select("id", "th", "same").join(comp, "same", "left").withColumn("label", F.coalesce("label", "same"))
+    least = labelled.groupBy("label").agg(F.min("id").alias("component"))
+    return labelled.join(least, "label").select("id", "th", "component")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without those whose group has a smaller id; rows with a null id stay."""
-    gone = similar_groups(docs, id_col, text_col).where(F.col("id") != F.col("component")).select(F.col("id").alias("_id"), F.col("th").alias("_th"))
-    return docs.join(gone, (docs[id_col].cast("long") == F.col("_id")) & (F.xxhash64(text_bytes(docs[text_col])) == F.col("_th")), "left_anti")
+    """The rows of ``docs`` without those whose group has a smaller id; rows with a null id stay, and so do repeated rows of the smallest id."""
+    gone = similar_groups(docs, id_col, text_col).where(F.col("id") != F.col("component")).select(F.struct("id", "th").alias("key")).distinct()
+    key = F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(text_bytes(text_col)).alias("th"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), key.alias("own"))
+    return rows.join(gone, F.col("own") == F.col("key"), "left_anti").select("row.*")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barlight.llm.common import text_bytes
-from barlight.llm.simhash import _by_key
+from barlight.llm.buckets import by_key
 from barlight.session import reliable_checkpoint
 
 LETTERS = "A-Za-zÀ-ÿ"
@@ -227,7 +227,7 @@ def near_words(words: DataFrame) -> DataFrame:
         dealt = dealt.withColumn("other", F.explode(F.when(F.col("n0").isNull(), F.array(F.lit(-1))).otherwise(other)))
         place = F.when(F.col("side") == 0, F.struct(own.alias("x"), F.col("other").cast("long").alias("y"))).otherwise(F.struct(F.col("other").cast("long").alias("x"), own.alias("y")))
         rows = dealt.withColumn("key", F.when(F.col("other") < 0, F.col("key")).otherwise(F.xxhash64("key", place))).select(*rows.columns)
-    met = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_by_key(rows.columns, _met), "a string, na long, b string, nb long")
+    met = rows.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(by_key(rows.columns, _met), "a string, na long, b string, nb long")
     return met.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb")).select("a", "na", "b", "nb")
 
 

@@ -5,7 +5,7 @@ import random
 import numpy as np
 import pytest
 
-from barlight.llm import jaccard
+from barlight.llm import buckets, jaccard
 
 DOCS = "doc_id long, text string"
 
@@ -36,8 +36,8 @@ def _brute(rows, size, num, den):
 
 @pytest.mark.parametrize("close,block,packed,how", [(8, 1_024, 1 << 20, (3, 90, 100)), (2, 20, 50, (2, 7, 10))])
 def test_similar_documents(spark, monkeypatch, close, block, packed, how):
-    monkeypatch.setattr(jaccard, "CLOSE", close)
-    monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(buckets, "CLOSE", close)
+    monkeypatch.setattr(buckets, "BLOCK", block)
     monkeypatch.setattr(jaccard, "PACKED", packed)
     rng = random.Random(1)
     base = [[rng.choice("abcdefgh") + str(rng.randint(0, 30)) for _ in range(n)] for n in (40, 41, 80, 6, 150)]

@@ -26,7 +26,7 @@ def test_top_k(spark):
     assert sorted(map(tuple, got)) == want
 
 
-@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 28])
+@pytest.mark.parametrize("scale", [1, 1 << 20, 1 << 25])
 def test_bounds_hold(scale):
     rng = np.random.default_rng(2)
     x, q = rng.integers(-30, 30, (500, 8)) * scale, rng.integers(-30, 30, (20, 8)) * scale
