@@ -431,12 +431,8 @@ def exit_month_grade(runs: DataFrame, monthly: DataFrame, by: list[str]) -> Data
     return out
 
 
-def causality_audit(bars: DataFrame, cuts: list[int], ids: list[str], longest: int | None = None) -> DataFrame:
-    """Signals on prefixes that the full run does not have, and the other way round.
-
-    The prefix is one more part of the series key, so all prefixes run at once.
-    An empty result means no strategy looks ahead.
-    """
+def _prefix_signals(bars: DataFrame, cuts: list[int], ids: list[str] | None, longest: int | None) -> tuple[DataFrame, DataFrame]:
+    """Signals on each prefix, and those of the full run up to each cut. The prefix is one more part of the series key, so all run at once."""
     from barlight.strategies.registry import signals
 
     cut = F.explode(F.array(*[F.lit(c).cast("long") for c in cuts]))
@@ -445,7 +441,23 @@ def causality_audit(bars: DataFrame, cuts: list[int], ids: list[str], longest: i
     cols = ["symbol", "timeframe", "strategy_id", "cut", "t", "sig"]
     part = signals(prefixes, ids, longest).withColumn("cut", F.col("part").cast("long")).select(*cols)
     full = signals(bars, ids, longest).withColumn("cut", cut).where(F.col("t") <= F.col("cut")).select(*cols)
-    # Keep only series that exist in the prefix at all.
+    return part, full
+
+
+def causality_audit(bars: DataFrame, cuts: list[int], ids: list[str] | None, longest: int | None = None) -> DataFrame:
+    """Signals on prefixes that the full run does not have, and the other way round.
+
+    An empty result means no strategy looks ahead.
+    """
+    part, full = _prefix_signals(bars, cuts, ids, longest)
     lost = full.exceptAll(part).withColumn("kind", F.lit("LOST"))
     extra = part.exceptAll(full).withColumn("kind", F.lit("EXTRA"))
     return lost.unionByName(extra)
+
+
+def causality_counts(bars: DataFrame, cuts: list[int], ids: list[str] | None = None, longest: int | None = None) -> DataFrame:
+    """Per strategy and cut: signals on the prefix, and how many of either run the other does not have."""
+    part, full = _prefix_signals(bars, cuts, ids, longest)
+    tagged = part.withColumns({"p": F.lit(1), "f": F.lit(0)}).unionByName(full.withColumns({"p": F.lit(0), "f": F.lit(1)}))
+    met = tagged.groupBy("symbol", "timeframe", "strategy_id", "cut", "t", "sig").agg(F.sum("p").alias("p"), F.sum("f").alias("f"))
+    return met.groupBy("strategy_id", "cut").agg(F.sum("p").alias("n"), F.sum(F.greatest(F.col("f") - F.col("p"), F.lit(0))).alias("lost"), F.sum(F.greatest(F.col("p") - F.col("f"), F.lit(0))).alias("extra"))

@@ -547,3 +547,18 @@ CUTS = [1_704_672_000_000, 1_705_276_800_000, 1_705_881_600_000, 1_706_227_200_0
 def _audit(spark, sf):
     ids = ["sr_break_retest", "sr25_lsob", "sr25_trendline_breakout", "swp_mss_confirm", "vis_hull_suite", "vis_macd_rsi", "ott", "fib_retrace_500"]
     return G.causality_audit(bars(spark, sf, "1h"), CUTS, ids, bound(spark, sf, "1h"))
+
+
+def causality_sql() -> str:
+    """What each of the 101 strategies signals up to each cut; a prefix that sees nothing ahead has just these."""
+    from checks.strategies import GROUPS
+
+    groups = " UNION ALL ".join(f"SELECT symbol, timeframe, strategy_id, t, sig FROM ({sql})" for _, sql in GROUPS.values())
+    cuts = ", ".join(f"({c})" for c in CUTS)
+    return f"""WITH {walk()}, sa AS MATERIALIZED ({groups}) SELECT strategy_id, CAST(cut AS BIGINT) AS cut, count(*) AS n, CAST(0 AS BIGINT) AS lost, CAST(0 AS BIGINT) AS extra
+FROM sa JOIN (VALUES {cuts}) c(cut) ON t <= cut GROUP BY 1, 2"""
+
+
+@check("causality_counts", causality_sql())
+def _audit_counts(spark, sf):
+    return G.causality_counts(bars(spark, sf), CUTS, None, bound(spark, sf))
