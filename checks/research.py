@@ -170,7 +170,21 @@ def _min_trades(spark, sf):
     return many.groupBy("timeframe").agg(F.count("*").alias("bars")).withColumn("min_trades", T.min_trades(F.col("timeframe")))
 
 
-@check("strategy_registry")
+def registry_sql() -> str:
+    """Identity and convergence of each strategy, and how often its own SQL fires on hourly bars."""
+    from barlight.strategies.registry import CONVERGENCE, DEFAULT_CONVERGENCE, catalogue
+    from checks.strategies import GROUPS
+
+    text = lambda x: "NULL" if x is None else str(x) if isinstance(x, int) else "'" + str(x).replace("'", "''") + "'"
+    known = ", ".join(f"({', '.join(map(text, (k.id, k.name, k.family, k.version, k.mode, *CONVERGENCE.get(k.id, DEFAULT_CONVERGENCE))))})" for k in catalogue().values())
+    hourly = [sql.replace(walk(), walk("1h")) for _, sql in GROUPS.values()]
+    groups = " UNION ALL ".join(f"SELECT symbol, timeframe, strategy_id, t, sig FROM ({sql})" for sql in hourly)
+    return f"""WITH sa AS ({groups}), known(strategy_id, name, family, version, mode, warmup_bars, convergence, anchor) AS (VALUES {known}),
+fired AS (SELECT strategy_id, count(*) AS signals FROM sa GROUP BY 1)
+SELECT known.* REPLACE (CAST(warmup_bars AS BIGINT) AS warmup_bars), coalesce(signals, 0) AS signals FROM known LEFT JOIN fired USING (strategy_id)"""
+
+
+@check("strategy_registry", registry_sql())
 def _registry(spark, sf):
     # The catalogue next to how often each strategy fires on the given ticks.
     fired = signals(bars(spark, sf, "1h"), None, bound(spark, sf, "1h")).groupBy("strategy_id").agg(F.count("*").alias("signals"))
