@@ -192,13 +192,27 @@ def passing_series(bars: DataFrame, gated: DataFrame) -> DataFrame:
 
 def month_windows(spark: SparkSession, start: int, end: int) -> DataFrame:
     """Calendar months clipped to [start, end)."""
-    one = spark.range(1).select(F.timestamp_millis(F.lit(start)).alias("a"), F.timestamp_millis(F.lit(end - 1)).alias("b"))
-    first = F.explode(F.sequence(F.trunc("a", "MM"), F.col("b").cast("date"), F.expr("INTERVAL 1 MONTH")))
-    months = one.select(first.alias("d"))
+    return _months(spark.range(1).select(F.lit(start).cast("long").alias("_a")), [], end)
+
+
+def series_months(bars: DataFrame, start: int, end: int) -> DataFrame:
+    """Calendar months of each series in [start, end), the first one from the series' own first bar on.
+
+    So a series that is listed late keeps its first month, measured by what it could have had.
+    A series without a bar in the range has none. One minimum a series; months are made row by row.
+    """
+    inside = bars.where((F.col("t") >= start) & (F.col("t") < end))
+    return _months(inside.groupBy(*L.SERIES).agg(F.min("t").alias("_a")), list(L.SERIES), end)
+
+
+def _months(begun: DataFrame, keys: list[str], end: int) -> DataFrame:
+    last = F.timestamp_millis(F.lit(end - 1)).cast("date")
+    first = F.explode(F.sequence(F.trunc(F.timestamp_millis("_a").cast("date"), "MM"), last, F.expr("INTERVAL 1 MONTH")))
+    months = begun.select(*keys, "_a", first.alias("d"))
     begin = F.unix_millis(F.col("d").cast("timestamp"))
     stop = F.unix_millis(F.add_months("d", 1).cast("timestamp"))
-    return months.select(F.date_format("d", "yyyy-MM").alias("month"),
-                         F.greatest(begin, F.lit(start)).alias("start"), F.least(stop, F.lit(end)).alias("end"))
+    return months.select(*keys, F.date_format("d", "yyyy-MM").alias("month"),
+                         F.greatest(begin, F.col("_a")).alias("start"), F.least(stop, F.lit(end)).alias("end"))
 
 
 def month_of(t: Column) -> Column:

@@ -176,10 +176,14 @@ def tuned_on(placed: DataFrame, horizon: int, fee: float, slip: float, min_n: in
 
 
 def month_coverage(bars: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows and coverage of each series in each window, missing months included."""
+    """Rows and coverage of each series in each window, missing months included.
+
+    ``windows`` are calendar months for all series, or each series' own (``series_months``).
+    """
     sizes = F.create_map(*[F.lit(x) for kv in TIMEFRAME_MS.items() for x in kv])
     counts = bars.groupBy(*SERIES, month_of(F.col("t")).alias("month")).agg(F.count("*").alias("rows"))
-    grid = bars.select(*SERIES).distinct().crossJoin(F.broadcast(windows))
+    own = set(SERIES) <= set(windows.columns)
+    grid = windows if own else bars.select(*SERIES).distinct().crossJoin(F.broadcast(windows))
     full = grid.join(counts, [*SERIES, "month"], "left").na.fill(0, ["rows"])
     expected = F.greatest(F.lit(1), F.floor((F.col("end") - F.col("start")) / sizes[F.col("timeframe")]))
     return full.withColumn("coverage", F.least(F.lit(1.0), F.col("rows") / expected))
@@ -201,8 +205,8 @@ def monthly_eval_sliced(bars: DataFrame, windows: DataFrame, ids: list[str], lea
 
     covered = month_coverage(bars, windows)
     part = with_month_part(bars, covered, min_coverage)
-    spans = windows.select(F.col("month").alias("part"), "start", "end")
-    made = T.trades(signals(part, ids, longest), T.last_bars(part)).join(F.broadcast(spans), "part").where(
+    spans = covered.select(*SERIES, F.col("month").alias("part"), "start", "end")
+    made = T.trades(signals(part, ids, longest), T.last_bars(part)).join(spans, [*SERIES, "part"]).where(
         F.col("entry_t") >= F.col("start"))
     by = [*SERIES, "strategy_id", "part"]
     rows = T.evaluate(made, F.col("start"), F.col("end"), [*by, "start", "end"], least=F.lit(least)).drop("start", "end")

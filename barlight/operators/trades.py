@@ -176,13 +176,18 @@ def currency_metrics(trades: DataFrame, by: list[str], capital: float, start: in
 
 
 def monthly_roll_forward(trades: DataFrame, windows: DataFrame, by: list[str], capital: float, least: int) -> DataFrame:
-    """Return of each exit month on the equity realised before it; empty months count as zero."""
+    """Return of each exit month on the equity realised before it; empty months count as zero.
+
+    ``windows`` are calendar months for all groups, or hold some of ``by``: then each has its own.
+    """
+    own = [c for c in by if c in windows.columns]
     month = F.date_format(F.timestamp_millis("exit_t"), "yyyy-MM")
-    placed = trades.withColumn("month", month).join(windows, "month").where(
+    placed = trades.withColumn("month", month).join(windows, [*own, "month"]).where(
         (F.col("exit_t") >= F.col("start")) & (F.col("exit_t") < F.col("end")))
     sums = _currency(placed, [*by, "month", "start", "end"], F.col("start"), F.col("end")).drop("start", "end")
     # Groups times calendar months: the month table is bounded by the range.
-    grid = trades.select(*by).distinct().crossJoin(F.broadcast(windows.select("month")))
+    groups = trades.select(*by).distinct()
+    grid = groups.join(windows.select(*own, "month"), own) if own else groups.crossJoin(F.broadcast(windows.select("month")))
     full = grid.join(sums, [*by, "month"], "left").na.fill(0)
     before = Window.partitionBy(*by).orderBy("month").rowsBetween(Window.unboundedPreceding, -1)
     opened = F.lit(capital) + F.coalesce(F.sum("net_profit").over(before), F.lit(0.0))

@@ -554,6 +554,36 @@ def _recovery(spark, sf):
     return G.annotate_recovery(rows, names, 3).select("symbol", "timeframe", "variantId", "eligible_months", "pass_months", "delta_pass_months", "preserves", "recovery_status")
 
 
+# Seven years of daily bars from line items; one symbol is listed late, in the middle of a month.
+DAY_START, DAY_END, LATE = 694_224_000_000, 915_148_800_000, "1995-03-17"
+DAILY = f"""bars AS MATERIALIZED (SELECT symbol, '1d' AS timeframe, t, o, h, l, c, v, row_number() OVER (PARTITION BY symbol ORDER BY t) - 1 AS i FROM (
+  SELECT 'S' || l_suppkey % 5 AS symbol, epoch_ms(l_shipdate) AS t, first(CAST(l_extendedprice AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS o, CAST(max(l_extendedprice) AS DOUBLE) AS h,
+    CAST(min(l_extendedprice) AS DOUBLE) AS l, last(CAST(l_extendedprice AS DOUBLE) ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS c, CAST(count(*) AS DOUBLE) AS v
+  FROM lineitem WHERE l_shipdate IS NOT NULL AND NOT (l_suppkey % 5 = 4 AND l_shipdate < DATE '{LATE}') GROUP BY 1, 2))"""
+
+
+def daily_bars(spark, sf):
+    price, order = F.col("l_extendedprice").cast("double"), F.struct("l_orderkey", "l_linenumber", "l_extendedprice")
+    rows = table(spark, sf, "lineitem").where(f"l_shipdate IS NOT NULL AND NOT (l_suppkey % 5 = 4 AND l_shipdate < DATE '{LATE}')")
+    return rows.groupBy(F.concat(F.lit("S"), (F.col("l_suppkey") % 5).cast("string")).alias("symbol"), F.lit("1d").alias("timeframe"), F.unix_millis(F.col("l_shipdate").cast("timestamp")).alias("t")).agg(
+        F.min_by(price, order).alias("o"), F.max(price).alias("h"), F.min(price).alias("l"), F.max_by(price, order).alias("c"), F.count("*").cast("double").alias("v"))
+
+
+@check("prior_month_sweeps_daily", f"SELECT * FROM ({S.CALENDAR_SQL.replace(walk(), DAILY)}) WHERE strategy_id = 'swp_prior_month'")
+def _prior_month(spark, sf):
+    return signals(daily_bars(spark, sf), ["swp_prior_month"], (DAY_END - DAY_START) // 86_400_000).select("symbol", "timeframe", "strategy_id", "t", "sig")
+
+
+@check("series_month_coverage", f"""WITH {DAILY}, r AS (SELECT * FROM bars WHERE t >= {DAY_START} AND t < {DAY_END}), a AS (SELECT symbol, min(t) AS a FROM r GROUP BY 1),
+m AS (SELECT symbol, a, unnest(generate_series(date_trunc('month', make_timestamp(a * 1000)), make_timestamp({DAY_END - 1} * 1000), INTERVAL 1 MONTH)) AS d FROM a),
+w AS (SELECT symbol, strftime(d, '%Y-%m') AS month, greatest(epoch_ms(d), a) AS start, least(epoch_ms(d + INTERVAL 1 MONTH), {DAY_END}) AS "end" FROM m),
+n AS (SELECT symbol, strftime(make_timestamp(t * 1000), '%Y-%m') AS month, count(*) AS n FROM r GROUP BY 1, 2)
+SELECT symbol, month, start, "end", coalesce(n, 0) AS rows, {r6('least(1, coalesce(n, 0) / greatest(1, floor(("end" - start) / 86400000)))')} AS coverage FROM w LEFT JOIN n USING (symbol, month)""")
+def _series_months(spark, sf):
+    b = daily_bars(spark, sf).where((F.col("t") >= DAY_START) & (F.col("t") < DAY_END))
+    return G.month_coverage(b, B.series_months(b, DAY_START, DAY_END)).select("symbol", "month", "start", "end", "rows", "coverage")
+
+
 CUTS = [1_704_672_000_000, 1_705_276_800_000, 1_705_881_600_000, 1_706_227_200_000, 1_706_486_400_000]
 
 

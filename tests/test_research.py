@@ -156,3 +156,25 @@ def test_thresholds_are_tuned_before_the_matrix(spark, bars):
     want = {(r.symbol, r.kind): r.n for r in runs.groupBy("symbol", "kind").agg(F.count_if(F.col("status") == "PASS").alias("n")).collect()}
     assert {k: n for k, (_, n) in matrix.items()} == want and len(matrix) == 6
     assert G.robustness_matrix(rows, [3], min_n=5, tune=False).count() == 6
+
+
+def test_months_of_each_series(spark):
+    """A late-listed series keeps its first month, measured from its first bar; calendar windows for all stay an option."""
+    day = 86_400_000
+    start, end = 1_609_459_200_000, 1_609_459_200_000 + 120 * day  # 2021-01-01 on
+    bar = lambda s, k: (s, "1d", start + k * day, 1.0, 2.0, 1.0, 1.5, 1.0)
+    rows = [bar("A", k) for k in range(120)] + [bar("B", k) for k in range(45, 120)] + [bar("C", k) for k in (-40, 130)]
+    bars = spark.createDataFrame(rows, BAR)
+    own = B.series_months(bars, start, end)
+    got = {(r.symbol, r.month): ((r.start - start) // day, (r.end - start) // day) for r in own.collect()}
+    assert got == {("A", "2021-01"): (0, 31), ("A", "2021-02"): (31, 59), ("A", "2021-03"): (59, 90), ("A", "2021-04"): (90, 120),
+                   ("B", "2021-02"): (45, 59), ("B", "2021-03"): (59, 90), ("B", "2021-04"): (90, 120)}
+    known = bars.where("symbol <> 'C'")
+    assert {r.coverage for r in G.month_coverage(known, own).collect()} == {1.0}
+    every = {(r.symbol, r.month): r.coverage for r in G.month_coverage(known, B.month_windows(spark, start, end)).collect()}
+    assert every[("B", "2021-01")] == 0.0 and every[("B", "2021-02")] == 0.5 and len(every) == 8
+    sliced = {(r.symbol, r.month) for r in G.monthly_eval_sliced(known, own, ["vis_candlestick_reversal"], 1, 0.98, 200).collect()}
+    assert sliced == set(got)
+    trades = spark.createDataFrame([("A", start + 40 * day, 5.0), ("B", start + 50 * day, 3.0), ("B", start + 10 * day, 9.0)], "symbol string, exit_t bigint, profit double")
+    rolled = T.monthly_roll_forward(trades, own.drop("timeframe"), ["symbol"], 100.0, 1)
+    assert {(r.symbol, r.month): r.net_profit for r in rolled.collect()} == {k: {("A", "2021-02"): 5.0, ("B", "2021-02"): 3.0}.get(k, 0.0) for k in got}
