@@ -9,7 +9,7 @@ from barlight.functions.study import Study, _Make
 from barlight.strategies import steps as P
 from barlight.strategies.registry import TARGET, cross_over, cross_under, crosses, sided, strategy
 
-CORE, OPEN = "kivanc-core-v1", "tv-open-v1"
+CORE, OPEN = "core-v1", "tv-open-v1"
 
 
 @strategy("pmax", "PMax Explorer", "trend_atr", CORE)

@@ -519,7 +519,7 @@ sg AS MATERIALIZED (SELECT symbol, timeframe, strategy_id, i, t, nt, no, sig FRO
 
 
 def variant_signals(spark, sf):
-    return range_reclaim(bars(spark, sf), F.broadcast(variant_table(spark)), [12, 24], longest=bound(spark, sf))
+    return range_reclaim(bars(spark, sf), variant_table(spark), [12, 24], longest=bound(spark, sf))
 
 
 @check("range_reclaim_variants", f"WITH RECURSIVE {walk()}, {VARIANT_SIGNALS} SELECT symbol, strategy_id, t, sig FROM sg")
@@ -532,7 +532,7 @@ SELECT symbol, strategy_id AS "variantId", base AS baseline, n, {r6('net')} AS n
 def _variant_months(spark, sf):
     t = T.trades(variant_signals(spark, sf), T.last_bars(bars(spark, sf)))
     rows = T.evaluate(t, F.lit(START), F.lit(END), least=F.lit(5), clamp_low=True).withColumnRenamed("strategy_id", "variantId")
-    return rows.join(F.broadcast(variant_table(spark).select("variantId", "baseline")), "variantId").select("symbol", "variantId", "baseline", "n", "net", "dd", "pass")
+    return rows.join(variant_table(spark).select("variantId", "baseline"), "variantId").select("symbol", "variantId", "baseline", "n", "net", "dd", "pass")
 
 
 RECOVERY = f"""{MONTHS}, vm AS (SELECT symbol, timeframe, strategy_id AS vid, month, eligible, pass OR (symbol IN ('C1', 'C4') AND strategy_id <> 's0') OR (month <> '1995-03' AND symbol IN ('C1', 'C3', 'C4', 'C6')) AS pass FROM mo WHERE month < '1996-01'),
