@@ -385,7 +385,7 @@ class _BlockState:
 
     def step(self, *row):
         z = self.rule.zone
-        live = z.dir if z.dir and self.rule.n <= z.until else 0
+        live = z.dir if z.left >= 0 else 0
         before = (float(live), z.lo, z.hi)
         self.rule.step(*row)
         return before

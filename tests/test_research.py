@@ -1,11 +1,13 @@
 import brute
 import pytest
+from conftest import make_rows
 from pyspark.sql import functions as F
 
 from barlight.operators import bars as B
 from barlight.operators import features as X
 from barlight.operators import gates as G
 from barlight.operators import trades as T
+from barlight.plans import monitor as M
 from barlight.strategies.registry import signals
 from barlight.strategies.sweeps import range_reclaim
 
@@ -178,3 +180,49 @@ def test_months_of_each_series(spark):
     trades = spark.createDataFrame([("A", start + 40 * day, 5.0), ("B", start + 50 * day, 3.0), ("B", start + 10 * day, 9.0)], "symbol string, exit_t bigint, profit double")
     rolled = T.monthly_roll_forward(trades, own.drop("timeframe"), ["symbol"], 100.0, 1)
     assert {(r.symbol, r.month): r.net_profit for r in rolled.collect()} == {k: {("A", "2021-02"): 5.0, ("B", "2021-02"): 3.0}.get(k, 0.0) for k in got}
+
+
+def test_impulse_block_is_live_for_24_bars():
+    """Armed by a wide, heavy bar; the newest bar sees it up to 24 bars after (and once more, as a level that then ends)."""
+    state = M._BlockState()
+    rows = [(2.0, 10.0, 100.0, 101.0, 99.0, 100.0, 10.0)] * 20 + [(2.0, 10.0, 100.0, 101.0, 98.0, 99.0, 10.0), (2.0, 10.0, 99.0, 106.0, 99.0, 105.0, 20.0)]
+    seen = [state.step(*r) for r in rows + [(2.0, 10.0, 105.0, 106.0, 104.0, 105.0, 10.0)] * 40]
+    live = [k for k, (side, _, _) in enumerate(seen) if side]
+    assert live == list(range(22, 47)) and seen[22] == (1.0, 98.0, 100.0)
+
+
+def live_block(closed):
+    """Side and edges of the impulse block that bars up to here leave armed."""
+    atr, side, ends, edges = brute.rma(brute.true_range(closed), 14), 0, -1, None
+    for i in range(20, len(closed)):
+        b, p, mean = closed[i], closed[i - 1], sum(x["v"] for x in closed[i - 19:i + 1]) / 20
+        if side == 0:
+            if b["h"] - b["l"] >= 1.5 * atr[i] and b["v"] >= 1.3 * mean:
+                if b["c"] > b["o"] and p["c"] < p["o"]:
+                    side, ends, edges = 1, i + 24, (p["l"], max(p["o"], p["c"]))
+                elif b["c"] < b["o"] and p["c"] > p["o"]:
+                    side, ends, edges = -1, i + 24, (min(p["o"], p["c"]), p["h"])
+        elif i > ends or (b["l"] <= edges[1] < b["c"] if side > 0 else b["h"] >= edges[0] > b["c"]):
+            side = 0
+    return (side, edges) if side and len(closed) - 1 <= ends else (0, None)
+
+
+def test_proximity(spark):
+    """Seven rules a series; the block's levels are those of a plain pass over the closed bars."""
+    rows, cuts = make_rows("A", 700), range(200, 700, 5)
+    for i in range(41, 700, 41):  # a wide, heavy bar after one of the other colour
+        side = 1 if i % 2 else -1
+        for k, move, v in ((i - 1, -50.0, 50.0), (i, 4000.0, 500.0)):
+            o = rows[k][3]
+            c = o + side * move
+            rows[k] = (*rows[k][:3], o, max(o, c) + 9, min(o, c) - 9, c, v)
+    got = M.proximity(spark.createDataFrame([(f"A{k}", *r[1:]) for k in cuts for r in rows[k - 160:k]], BAR)).collect()
+    assert len(got) == 7 * len(cuts)
+    assert all(0 <= r.long_score <= 100 and 0 <= r.short_score <= 100 and r.score == max(r.long_score, r.short_score) for r in got)
+    levels = {r.symbol: (r.long_level, r.short_level) for r in got if r.strategy_id == "sr25_impulse_ob_retest"}
+    sides = set()
+    for k in cuts:
+        side, edges = live_block([dict(zip("ohlcv", r[3:])) for r in rows[k - 160:k - 1]])
+        sides.add(side)
+        assert levels[f"A{k}"] == ((edges[1], None) if side > 0 else (None, edges[0]) if side < 0 else (None, None))
+    assert len(sides) == 3
