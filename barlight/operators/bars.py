@@ -74,8 +74,9 @@ def closed_only(bars: DataFrame, as_of: int, interval_ms: int) -> DataFrame:
 
 def epoch_ms(raw: Column, first: Column) -> Column:
     """Milliseconds from a time whose unit is told by the magnitude of ``first``."""
-    return (F.when(first < 1e10, raw * 1000).when(first > 1e16, F.floor(raw / 1_000_000))
-            .when(first > 1e13, F.floor(raw / 1000)).otherwise(raw)).cast("long")
+    # Whole-number division: a double holds no nanoseconds.
+    per = lambda n: F.call_function("div", raw, F.lit(n))
+    return F.when(first < 1e10, raw * 1000).when(first > 1e16, per(1_000_000)).when(first > 1e13, per(1000)).otherwise(raw).cast("long")
 
 
 # --- quality -----------------------------------------------------------------

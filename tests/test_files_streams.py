@@ -42,6 +42,13 @@ def test_columnar_units(spark, tmp_path, unit, raw):
     assert (r.symbol, r.t, r.v) == ("AAA", 1_704_067_200_000, 3.0)
 
 
+def test_the_last_nanosecond_stays_in_its_millisecond(spark):
+    first, last = 1_704_067_200_000_000_000, 1_704_067_200_000_999_999
+    raw = spark.createDataFrame([(s, k // n, 1.0, 1.0, 1.0, 1.0, 1.0) for s, n in (("ns", 1), ("us", 1000)) for k in (first, last)],
+                                "symbol string, time bigint, o double, h double, l double, c double, v double")
+    assert [r.t for r in S.normalize_columns(raw, "1m").collect()] == [1_704_067_200_000] * 4
+
+
 def test_feather_and_archives(spark, tmp_path):
     pd.DataFrame({"date": pd.to_datetime([1_704_067_200_000, 1_704_067_260_000], unit="ms", utc=True), "open": [1.0, 2.0], "high": [2.0, 3.0], "low": [1.0, 1.0],
                   "close": [2.0, 2.0], "volume": [3.0, 4.0]}).to_feather(tmp_path / "AAA_x.feather")
