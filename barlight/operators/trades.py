@@ -243,17 +243,21 @@ class AverageCost:
             self.avg = summary[0] * self.avg + summary[1]
 
 
-def position_ledger(fills: DataFrame, block_rows: int | None = None, longest: int | None = None) -> DataFrame:
+def position_ledger(fills: DataFrame, block_rows: int | None = None, longest: int | None = None, tie: str | None = None) -> DataFrame:
     """Realised profit, position and average cost after each fill, per symbol.
 
-    A symbol with more fills than one task should hold is cut into blocks; their
+    Fills of one time follow the column ``tie``; without it times must be distinct. A symbol with more fills than one task should hold is cut into blocks; their
     positions and average costs are folded, so the passes do not grow with the blocks.
     """
     rows = fills.withColumn("timeframe", F.lit("fills")) if "timeframe" not in fills.columns else fills
     if block_rows is None and (L.longest_series(rows) if longest is None else longest) > L.DEFAULT_BLOCK_ROWS:
         block_rows = L.DEFAULT_BLOCK_ROWS
+    if tie:  # the step order is the fill's number
+        rows = L.with_index(rows, tie=tie).withColumns({"_time": F.col("t"), "t": F.col(L.INDEX)})
     laid = L.into_blocks(rows, block_rows) if block_rows else L.spread(rows)
     out = L.scan_series(laid, [L.Scan(AverageCost, ("qty", "price"), ("realised", "position", "avg_cost"))])
+    if tie:
+        out = out.withColumn("t", F.col("_time")).drop("_time", L.INDEX)
     return out.drop("timeframe", *([L.BLOCK, L.INDEX] if block_rows else []))
 
 

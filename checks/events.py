@@ -428,10 +428,11 @@ lr AS (SELECT symbol, i, q AS pos, price AS av, CAST(0 AS DOUBLE) AS gain FROM s
 @check("position_ledger", f"WITH RECURSIVE {LEDGER} SELECT fill_id, s.symbol, {r6('gain')} AS realised, {r6('pos')} AS position, {r6('av')} AS avg_cost FROM lr JOIN sq s ON s.symbol = lr.symbol AND s.i = lr.i")
 def _ledger(spark, sf):
     f = fills(spark, sf)
-    # Fills of one day follow their id; the step order is one number.
-    rows = f.select("fill_id", "symbol", (F.col("event_time") / 86_400_000 * 1_000_000 + F.col("fill_id")).cast("long").alias("t"),
+    rows = f.select("fill_id", "symbol", F.col("event_time").alias("t"),
                     F.when(F.col("side") == "BUY", F.col("quantity")).otherwise(-F.col("quantity")).alias("qty"), F.col("fill_price").alias("price"))
-    return T.position_ledger(rows).select("fill_id", "symbol", "realised", "position", "avg_cost")
+    # Halves at the sixth place are rounded in doubles, as the SQL's round does, not by their decimal form.
+    six = [(F.round(F.col(c) * 1e6) / 1e6).alias(c) for c in ("realised", "position", "avg_cost")]
+    return T.position_ledger(rows, tie="fill_id").select("fill_id", "symbol", *six)
 
 
 @check("net_positions", f"""WITH {FILLS}, a AS (SELECT symbol, sum(CASE side WHEN 'BUY' THEN qty ELSE -qty END) AS x FROM fl GROUP BY 1), b AS (SELECT 'S' || s_suppkey AS symbol, sum(floor(s_acctbal)) AS y FROM supplier WHERE s_suppkey % 2 = 0 GROUP BY 1)
