@@ -231,33 +231,33 @@ def _frequent(rows: DataFrame, law: Law) -> DataFrame:
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            own, offs, dig = [], [], []
+            own, off, end, dig = [], [], [], []
             for i, (b, n) in enumerate(zip(x.column("seg").to_pylist(), x.column("size").to_pylist(), strict=True)):
                 t, at = Tokens(law, b), {}
                 for k in range(n):
-                    at.setdefault(xxh3_128_digest(t.stretch(k, k + law.width)), []).append(k)
+                    d = xxh3_128_digest(t.stretch(k, k + law.width))
+                    at[d] = (at[d][0] if d in at else k, k)
                 own.extend([i] * len(at))
                 dig.extend(at)
-                offs.extend(at.values())
+                off.extend(k for k, _ in at.values())
+                end.extend(k for _, k in at.values())
             at = pa.array(own, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(x.column(c).take(at) for c in ("key", "sid", "first", "last")), pa.array(offs, pa.list_(pa.int32())), pa.array(dig, pa.binary())], ["key", "sid", "first", "last", "offs", "digest"])
+            yield pa.RecordBatch.from_arrays([*(x.column(c).take(at) for c in ("key", "sid", "first", "last")), pa.array(off, pa.int32()), pa.array(end, pa.int32()), pa.array(dig, pa.binary())], ["key", "sid", "first", "last", "off", "end", "digest"])
 
     kind = distinct.schema["first"].dataType.simpleString()
-    windows = distinct.select("key", "sid", "first", "last", "seg", "size").mapInArrow(digests, f"key long, sid binary, first {kind}, last {kind}, offs array<int>, digest binary")
-    moved = F.struct(F.col("first.id").alias("id"), F.col("first.th").alias("th"), (F.col("first.start") + F.col("offs")[0]).alias("start"))
-    moved_last = F.struct(F.col("last.id").alias("id"), F.col("last.th").alias("th"), (F.col("last.start") + F.element_at("offs", -1)).alias("start"))
-    windows = windows.select("key", "sid", "offs", "digest", moved.alias("here"), moved_last.alias("there"))
-    ends = windows.groupBy("digest").agg(F.min("here").alias("lo"), F.max("there").alias("hi"))
-    if law.keep_first:  # the first place of a window that no other stretch has earlier stays
-        repeated = F.when(F.col("lo") < F.col("here"), F.col("offs")).otherwise(F.slice("offs", 2, F.greatest(F.size("offs") - 1, F.lit(0))))
-    else:
-        repeated = F.when(F.col("lo") < F.col("hi"), F.col("offs")).otherwise(F.array().cast("array<int>"))
-    hits = windows.join(ends, "digest").select("key", "sid", repeated.alias("offs")).where(F.size("offs") > 0).groupBy("key", "sid").agg(F.flatten(F.collect_list("offs")).alias("offs"))
-    known = distinct.select("key", "sid", "first", "last").join(hits, ["key", "sid"], "left")
+    windows = distinct.select("key", "sid", "first", "last", "seg", "size").mapInArrow(digests, f"key long, sid binary, first {kind}, last {kind}, off int, end int, digest binary")
+    moved = lambda place, k: F.struct(F.col(f"{place}.id").alias("id"), F.col(f"{place}.th").alias("th"), (F.col(f"{place}.start") + F.col(k)).alias("start"))
+    ends = windows.groupBy("digest").agg(F.min(F.struct(moved("first", "off").alias("here"), "key", "sid", "off")).alias("own"), F.max(moved("last", "end")).alias("hi"))
+    # Each digest keeps one window at most: its first place, or its only one. All other windows of a stretch are repeats, so
+    # the kept ones go to their stretches and windows meet nothing.
+    kept = ends if law.keep_first else ends.where(~(F.col("own.here") < F.col("hi")))
+    kept = kept.select("own.*").groupBy("key", "sid").agg(F.array_sort(F.collect_list("off")).alias("kept"))
+    known = distinct.select("key", "sid", "first", "last").join(kept, ["key", "sid"], "left").withColumn("kept", F.coalesce("kept", F.array().cast("array<int>")))
     met = rows.select("key", "sid", "id", "th", "start", "size").join(known, ["key", "sid"])
     whole = F.col("first") < F.struct("id", "th", "start") if law.keep_first else F.col("first") < F.col("last")
-    ranges = F.when(whole, F.array(F.struct(F.col("start").cast("long").alias("a"), (F.col("start") + F.col("size") + law.width - 1).cast("long").alias("b")))).otherwise(
-        F.transform(F.coalesce("offs", F.array().cast("array<int>")), lambda o: F.struct((F.col("start") + o).cast("long").alias("a"), (F.col("start") + o + law.width).cast("long").alias("b"))))
+    span = lambda a, b: F.struct(a.cast("long").alias("a"), b.cast("long").alias("b"))
+    between = F.zip_with(F.concat(F.array(F.lit(-1)), "kept"), F.concat("kept", F.array("size")), lambda p, q: span(F.col("start") + p + 1, F.col("start") + q - 1 + law.width))
+    ranges = F.when(whole, F.array(span(F.col("start"), F.col("start") + F.col("size") + law.width - 1))).otherwise(F.filter(between, lambda r: r["b"] - r["a"] >= law.width))
     return met.select("id", "th", F.explode(ranges).alias("r")).select("id", "th", "r.a", "r.b")
 
 

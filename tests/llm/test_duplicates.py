@@ -280,3 +280,30 @@ def test_similarity_of_bags(spark):
     for r in spark.createDataFrame(pairs, "a array<string>, b array<string>").withColumn("s", decontaminate.similarity(bag("a"), bag("b"))).collect():
         a, b = Counter(r.a), Counter(r.b)
         assert r.s == sum(n * len(x) for x, n in (a & b).items()) / max(1, sum(n * len(x) for x, n in (a | b).items()))
+
+
+@pytest.mark.parametrize("keep_first", [True, False])
+def test_windows_of_frequent_anchors_meet_nothing(spark, keep_first):
+    """A passage in many distinct stretches: ranges are those of brute force, few a row, and no join knows the digest of a window."""
+    rng = random.Random(21)
+    noise = lambda n: bytes(rng.choice(b"abcdefgh") for _ in range(n))
+    law, passage = repeats.Law(20, 8, False, keep_first), noise(60)
+    segs = [noise(25) + passage[rng.randint(0, 9):] + noise(25) for _ in range(40)]
+    segs += [segs[3], segs[3], segs[5] + segs[5], noise(30)]
+    rows = [(7, None if k == 20 else 100 - k, k, 11 * (k % 3), len(s) - 19, s) for k, s in enumerate(segs)]
+    df = spark.createDataFrame(rows, "key long, id long, th long, start int, size int, seg binary").repartition(3)
+    places = {}
+    for _, i, th, start, size, s in rows:
+        for k in range(size):
+            places.setdefault(s[k:k + 20], []).append((i is not None, i or 0, th, start + k))
+    want = set()
+    for _, i, th, start, size, s in rows:
+        for k in range(size):
+            at = places[s[k:k + 20]]
+            if len(at) > 1 and (not keep_first or (i is not None, i or 0, th, start + k) > min(at)):
+                want |= {(th, start + k + j) for j in range(20)}
+    out = repeats._frequent(df, law)
+    got = out.collect()
+    assert {(r.th, x) for r in got for x in range(r.a, r.b)} == want and len(got) < 4 * len(rows)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Join" in x and "digest" in x]
