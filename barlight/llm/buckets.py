@@ -97,7 +97,7 @@ def _least_overlap(n: Column, m: Column, num: int, den: int) -> Column:
     return F.ceil(F.lit(num) * (n + m) / F.lit(num + den)).cast("long")
 
 
-def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int) -> DataFrame:
+def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int, pairs: DataFrame | None = None) -> DataFrame:
     """``(u, v)``: links that span all pairs of one bucket with a Jaccard similarity of ``num / den`` or more.
 
     ``rows`` are ``(node, n, hs)``: a set's size and those of its hashes that other sets may have. ``entries`` are
@@ -106,6 +106,8 @@ def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int) ->
     :func:`signature` of ``hs``. A pair is looked at if lengths, places and signatures allow the similarity, and then
     verified by its hashes, once. Large buckets go in rounds: members meet a few leaders, what links is contracted, and
     only members of different components are compared further, in blocks. No pair that could join two components is left out.
+    ``pairs`` ``(u, v)`` are candidates from elsewhere: they are verified and contracted before large buckets are looked at,
+    and then each set meets leaders of its largest bucket only, before all of its buckets go in rounds.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names, in_buckets = _bucket_pairs(num, den)
@@ -125,7 +127,8 @@ def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int) ->
 
     tried: DataFrame | None = None
     alone = entries.withColumns({"comp": F.col("node"), "blk": F.lit(0).cast("long"), "mixed": F.lit(0).cast("long")})
-    links = verified(compared(alone.where(F.col("members") <= CLOSE)))
+    near = compared(alone.where(F.col("members") <= CLOSE))
+    links = verified(near if pairs is None else near.unionAll(pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))))
     hot = entries.where(F.col("members") > CLOSE)
     if hot.isEmpty():
         return links
@@ -137,8 +140,8 @@ def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int) ->
         several = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
         return reliable_checkpoint(now.join(several, "key", "left_semi"))
 
-    now = reliable_checkpoint(hot.withColumn("comp", F.col("node")))
-    for turn in range(ROUNDS):
+    def with_leaders(now: DataFrame, turn: int) -> DataFrame:
+        """The links of members to the leaders of their buckets."""
         member = F.struct("node", "n", "pos", "comp", "u", "sig")
         drawn = [F.min(F.struct(F.xxhash64("node", F.lit(turn * LEADERS + k)).alias("h"), member.alias("m"))).alias(f"l{k}") for k in range(LEADERS)]
         leads = now.groupBy("key").agg(*drawn).select("key", F.explode(F.array_distinct(F.array(*[f"l{k}.m" for k in range(LEADERS)]))).alias("lead"))
@@ -146,7 +149,18 @@ def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int) ->
         fits = (F.col("comp") != F.col("lead.comp")) & (F.least("n", "lead.n") * den >= F.greatest("n", "lead.n") * num) & (F.least(F.col("n") - F.col("pos"), F.col("lead.n") - F.col("lead.pos")) >= least)
         met = now.withColumnRenamed("key", "k").join(reliable_checkpoint(leads), (F.col("k") == F.col("key")) & fits)
         both = met.select("node", F.col("lead.node"), "n", F.col("lead.n"), F.col("u") + F.col("lead.u"), "sig", F.col("lead.sig")).toDF("a", "b", "n", "m", "lone", "one", "two")
-        links = links.unionAll(verified(both.mapInArrow(_signed_pairs(num, den), "u long, v long")))
+        return verified(both.mapInArrow(_signed_pairs(num, den), "u long, v long"))
+
+    if pairs is None:
+        now = reliable_checkpoint(hot.withColumn("comp", F.col("node")))
+    else:
+        now = grouped()
+        for turn in range(ROUNDS):
+            largest = now.groupBy("node").agg(F.max(F.struct("members", "key"))["key"].alias("key"))
+            links = links.unionAll(with_leaders(now.join(largest, ["node", "key"]), -1 - turn))
+            now = grouped()
+    for turn in range(ROUNDS):
+        links = links.unionAll(with_leaders(now, turn))
         now = grouped()
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     dealt = now.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))

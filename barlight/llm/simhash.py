@@ -230,7 +230,7 @@ def _bands(h: np.ndarray) -> np.ndarray:
 
 
 def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """``(id, th, same, n, bands)``: a digest of the lower-cased words in order, the number of distinct word shingles and their band keys."""
+    """``(id, th, same, fp, bands)``: a digest of the lower-cased words in order, the SimHash of the word shingles and the band keys of the distinct ones."""
     from xxhash import xxh3_128_digest
 
     b = text_bytes(text_col)
@@ -238,16 +238,16 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
-            same, n, bands = [], [], []
+            same, fp, bands = [], [], []
             for b in x.column("b"):
                 words = b.as_py().lower().split()
                 same.append(xxh3_128_digest(b" ".join(words)))
-                h = np.unique(_hashes(words, size))
-                n.append(len(h))
-                bands.append(_bands(h))
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), pa.array(same, pa.binary()), pa.array(n, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "same", "n", "bands"])
+                h = _hashes(words, size)
+                fp.append(_majority(h))
+                bands.append(_bands(np.unique(h)))
+            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), pa.array(same, pa.binary()), pa.array(fp, pa.int64()), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "same", "fp", "bands"])
 
-    return src.mapInArrow(run, "id long, th long, same binary, n long, bands array<long>")
+    return src.mapInArrow(run, "id long, th long, same binary, fp long, bands array<long>")
 
 
 def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -263,26 +263,31 @@ def _shingle_sets(docs: DataFrame, size: int) -> DataFrame:
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similar: float = 0.8) -> DataFrame:
     """``(id, th, component)`` per row with an id: documents linked by a similarity of ``similar`` or more of their sets of word shingles.
 
-    This is not SimHash, whose radius cannot reach that similarity: candidates share one
-    of the ``BANDS`` keys of their shingles (least hashes); :func:`links_in_buckets` compares them
-    and each link is verified exactly. Equal word sequences are one node, whatever their
+    SimHash comes first: fingerprints of the shingles within two bits (:func:`linked`) are candidates, verified exactly,
+    and what they join is not compared again. Its radius cannot reach that similarity, so texts that share one
+    of the ``BANDS`` keys of their shingles (least hashes) are compared by :func:`links_in_buckets` for the rest, and
+    verified too. Equal word sequences are one node, whatever their
     ids, and a repeated id with another text is a node of its own; nodes are known by a
     64-bit digest, and a group by its smallest id. Ids must be whole numbers; null ids are
     left out, so such rows are in no group. Texts without words are copies of each other.
     """
     ratio = Fraction(similar).limit_denominator(1_000)
     sk = reliable_checkpoint(_sketches(docs.where(F.col(id_col).isNotNull()), id_col, text_col, shingle).withColumn("same", F.xxhash64("same")))
-    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min(F.struct("id", "th")).alias("r"), F.first("bands").alias("bands")))
+    reps = reliable_checkpoint(sk.groupBy("same").agg(F.min(F.struct("id", "th")).alias("r"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
     keyed = reps.select(F.col("same").alias("node"), F.explode("bands").alias("key"))
     sizes = reliable_checkpoint(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1"))
     entries = reliable_checkpoint(keyed.join(sizes, "key"))
-    wanted = reliable_checkpoint(reps.join(entries.select(F.col("node").alias("same")).distinct(), "same").select(F.col("same").alias("node"), F.col("r.id").alias("i"), F.col("r.th").alias("t")))
+    prints = reliable_checkpoint(reps.groupBy("fp").agg(F.min("same").alias("rep")))
+    equal = reps.join(prints, "fp").where(F.col("same") != F.col("rep")).select(F.col("same").alias("u"), F.col("rep").alias("v"))
+    pairs = reliable_checkpoint(equal.unionAll(linked(prints)))
+    met = entries.select("node").unionAll(pairs.select("u")).unionAll(pairs.select("v")).toDF("same").distinct()
+    wanted = reliable_checkpoint(reps.join(met, "same").select(F.col("same").alias("node"), F.col("r.id").alias("i"), F.col("r.th").alias("t")))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_bytes(text_col).alias("b")).withColumn("th", F.xxhash64("b"))
     found = texts.join(wanted, (F.col("id") == F.col("i")) & (F.col("th") == F.col("t"))).select("node", "b")
     rows = reliable_checkpoint(_shingle_sets(found, shingle).dropDuplicates(["node"]))
     nothing = F.lit(0).cast("long")
     members = entries.join(rows.select("node", "n", "sig"), "node").withColumns({"u": nothing, "pos": nothing})
-    links = links_in_buckets(rows, reliable_checkpoint(members), ratio.numerator, ratio.denominator)
+    links = links_in_buckets(rows, reliable_checkpoint(members), ratio.numerator, ratio.denominator, pairs)
     comp = reliable_checkpoint(components(links)).toDF("same", "label")
     labelled = sk.select("id", "th", "same").join(comp, "same", "left").withColumn("label", F.coalesce("label", "same"))
     least = labelled.groupBy("label").agg(F.min("id").alias("component"))

@@ -20,7 +20,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more, smallest id.
 
-    Not by SimHash, whose radius cannot reach this similarity: candidates share least hashes of shingles (see README).
+    SimHashes within two bits come first; least hashes of shingles then bring what that radius cannot reach (see README). Every link is verified.
     Texts without words are copies of each other; rows with a null id stay; a repeated id with another text is another document.
     """
     prepare(spark)

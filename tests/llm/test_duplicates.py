@@ -307,3 +307,14 @@ def test_windows_of_frequent_anchors_meet_nothing(spark, keep_first):
     assert {(r.th, x) for r in got for x in range(r.a, r.b)} == want and len(got) < 4 * len(rows)
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert not [x for x in plan.splitlines() if "Join" in x and "digest" in x]
+
+
+def test_simhash_links_before_bands(spark, monkeypatch):
+    """Without any bucket of bands the fingerprints within two bits alone link what is similar."""
+    whole = simhash.links_in_buckets
+    monkeypatch.setattr(simhash, "links_in_buckets", lambda rows, entries, num, den, pairs: whole(rows, entries.limit(0), num, den, pairs))
+    rng = random.Random(23)
+    a = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(3_000)]
+    rows = [(4, " ".join(a)), (9, " ".join([*a, "more"])), (11, " ".join(a[::-1]))]
+    assert bin(_fp(rows[0][1], 5) ^ _fp(rows[1][1], 5)).count("1") <= 2
+    assert {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()} == {4: 4, 9: 4, 11: 11}
