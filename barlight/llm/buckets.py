@@ -133,10 +133,14 @@ def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int, pa
     if hot.isEmpty():
         return links
 
+    def placed(members: DataFrame) -> DataFrame:
+        """With the component that the links so far put each member in."""
+        comp = components(links).toDF("node", "comp")
+        return members.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
     def grouped() -> DataFrame:
         """Members of large buckets that still hold more than one component."""
-        comp = components(links).toDF("node", "comp")
-        now = hot.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        now = placed(hot)
         several = now.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("key")
         return reliable_checkpoint(now.join(several, "key", "left_semi"))
 
@@ -154,11 +158,11 @@ def links_in_buckets(rows: DataFrame, entries: DataFrame, num: int, den: int, pa
     if pairs is None:
         now = reliable_checkpoint(hot.withColumn("comp", F.col("node")))
     else:
+        largest = hot.groupBy("node").agg(F.max(F.struct("members", "key"))["key"].alias("key"))
+        home = reliable_checkpoint(hot.join(largest, ["node", "key"]))
+        for turn in range(ROUNDS):  # a row a set: its other buckets wait, they are not passed on from round to round
+            links = links.unionAll(with_leaders(reliable_checkpoint(placed(home)), -1 - turn))
         now = grouped()
-        for turn in range(ROUNDS):
-            largest = now.groupBy("node").agg(F.max(F.struct("members", "key"))["key"].alias("key"))
-            links = links.unionAll(with_leaders(now.join(largest, ["node", "key"]), -1 - turn))
-            now = grouped()
     for turn in range(ROUNDS):
         links = links.unionAll(with_leaders(now, turn))
         now = grouped()

@@ -1,6 +1,7 @@
 """Near and substring de-duplication and decontamination against brute force, with odd rows."""
 
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -318,3 +319,37 @@ def test_simhash_links_before_bands(spark, monkeypatch):
     rows = [(4, " ".join(a)), (9, " ".join([*a, "more"])), (11, " ".join(a[::-1]))]
     assert bin(_fp(rows[0][1], 5) ^ _fp(rows[1][1], 5)).count("1") <= 2
     assert {r.id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, DOCS)).collect()} == {4: 4, 9: 4, 11: 11}
+
+
+def test_large_buckets_are_passed_on_seldom(spark, monkeypatch):
+    """Near copies that hardly link keep all their keys; rounds in which a set meets its largest bucket pass on a row a set."""
+    passed, whole = [], buckets.reliable_checkpoint
+
+    def counted(df):
+        out = whole(df)
+        if {"key", "node", "comp"} <= set(df.columns):
+            passed.append(out.count())
+        return out
+
+    monkeypatch.setattr(buckets, "reliable_checkpoint", counted)
+    rng = random.Random(31)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    base, rows = [word() for _ in range(200)], []
+    for i in range(150):
+        w = list(base)
+        for k in rng.sample(range(200), 6 if i % 5 else 3):
+            w[k] = word()
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, DOCS)
+    got = {r.id: r.component for r in simhash.similar_groups(df).collect()}
+    bands = [b for _, t in rows for b in simhash._bands(np.unique(simhash._hashes(t.encode().split(), 5))).tolist()]
+    large = sum(n for n in Counter(bands).values() if n > buckets.CLOSE)
+    assert max(passed) > large // 2 > 4 * len(rows) and sum(passed) <= (buckets.ROUNDS + 1) * large + 2 * len(rows) * buckets.ROUNDS
+    sets = [{tuple(t.split()[k:k + 5]) for k in range(196)} for _, t in rows]
+    bucket = [set(simhash._bands(np.unique(simhash._hashes(t.encode().split(), 5))).tolist()) for _, t in rows]
+    up = list(range(len(rows)))
+    for a in range(len(rows)):
+        for b in range(a):
+            if bucket[a] & bucket[b] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) and up[a] != up[b]:
+                up = [min(up[a], up[b]) if x in (up[a], up[b]) else x for x in up]
+    assert got == dict(enumerate(up)) and 20 < len(set(up)) < 140
