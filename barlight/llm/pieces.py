@@ -264,7 +264,13 @@ def boundary_states(t: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return entry, exit_
 
 
-def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK) -> DataFrame:
+def _texts(raw: list[bytes], lists: pa.Array) -> list[str]:
+    """The texts of lists of pieces; null lists give empty texts."""
+    values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
+    return [b"".join(map(raw.__getitem__, values[a:b].tolist())).decode()[1:] if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
+
+
+def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", chunk: int = CHUNK, checked: bool = False) -> DataFrame:
     """``(id, th, pieces)`` for each row: the segmentation with the greatest sum of piece scores; ``th`` is a hash of the text.
 
     The text is marked as the model's library marks it: a space in front, spaces
@@ -275,6 +281,8 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     matrix between its boundary states, the matrices are combined, each chunk is
     traced on its own, and the pieces meet by text. Null and empty texts have no pieces; repeated
     rows are encoded alike; null ids are kept; an empty table gives no rows. Other columns are ignored.
+    With ``checked`` also ``round_trip``, whether the pieces decode to the text: texts that are solved
+    where they are read are decoded there too, so a task has one Python worker, not one for either step.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     src = docs.select(F.col(id_col).alias("id"), text.alias("text"), F.xxhash64(text).alias("th"))
@@ -284,8 +292,11 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = Encoder(model)
         for x in _small(batches):
-            out = [e.encode(s.as_py()) for s in x.column("text")]
-            yield pa.RecordBatch.from_arrays([x.column("id"), x.column("th"), _lists(out)], ["id", "th", "pieces"])
+            out = _lists([e.encode(s.as_py()) for s in x.column("text")])
+            made = [x.column("id"), x.column("th"), out]
+            if checked:
+                made.append(pa.array([s.as_py() == t for s, t in zip(x.column("text"), _texts(e.v.raw, out), strict=True)], pa.bool_()))
+            yield pa.RecordBatch.from_arrays(made, ["id", "th", "pieces", "round_trip"][:len(made)])
 
     reach = 64  # read ahead beyond a chunk; no piece is longer
     full = F.concat(F.lit(" "), F.col("text"))
@@ -321,7 +332,9 @@ def encode(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str =
     joined = parts.groupBy("id", "th").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("k", "pieces"))), lambda x: x["pieces"])).alias("pieces"))
     joined = joined.toDF("id2", "th2", "pieces")
     rows = long_.select("id", "th").join(joined, F.col("id").eqNullSafe(F.col("id2")) & (F.col("th") == F.col("th2"))).select("id", "th", "pieces")
-    return short.mapInArrow(whole, f"id {kind}, th long, pieces array<int>").unionAll(rows)
+    if checked:
+        rows = decode(rows, model).select("id", "th", "pieces", (F.xxhash64("decoded") == F.col("th")).alias("round_trip"))
+    return short.mapInArrow(whole, f"id {kind}, th long, pieces array<int>" + ", round_trip boolean" * checked).unionAll(rows)
 
 
 def decode(encoded: DataFrame, model: str, pieces_col: str = "pieces") -> DataFrame:
@@ -332,9 +345,7 @@ def decode(encoded: DataFrame, model: str, pieces_col: str = "pieces") -> DataFr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = Vocabulary.of(model).raw
         for x in _small(batches):
-            lists = x.column(at)
-            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy().tolist()
-            out = [b"".join(map(raw.__getitem__, values[a:b].tolist())).decode()[1:] if ok else "" for a, b, ok in zip(ends[:-1], ends[1:], lists.is_valid().to_pylist(), strict=True)]
+            out = _texts(raw, x.column(at))
             kept = [(n, c) for n, c in zip(x.schema.names, x.columns, strict=True) if n != "decoded"]
             yield pa.RecordBatch.from_arrays([*(c for _, c in kept), pa.array(out, pa.string())], [*(n for n, _ in kept), "decoded"])
 

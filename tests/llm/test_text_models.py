@@ -3,6 +3,7 @@
 import random
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,6 +78,37 @@ def test_pieces(spark, chunk):
     assert pieces.encode(df.limit(0), model).count() == 0
 
 
+@needs_model
+@pytest.mark.parametrize("chunk", [16_384, 17])
+def test_pieces_are_checked_where_they_are_made(spark, chunk):
+    rows = [(1, None), (None, "abc"), (2, "a" * 300), (2, "a" * 300), (3, "word  \n" * 30 + "\u2581 x \U0001f600"), (4, ""), (None, "long null " * 20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    model = pieces.ship_model(spark, MODEL)
+    out = pieces.encode(df, model, chunk=chunk, checked=True)
+    assert out.columns == ["id", "th", "pieces", "round_trip"] and all(r.round_trip for r in out.collect())
+    plain = pieces.encode(df, model, chunk=chunk)
+    assert sorted(map(str, out.drop("round_trip").collect())) == sorted(map(str, plain.collect()))
+    assert pieces.encode(df.limit(0), model, checked=True).count() == 0
+
+
+@needs_model
+def test_pipeline_tasks_hold_little_outside_the_heap(spark):
+    """Whole texts do not fill batches of 10,000 rows, and the last stage asks for one Python worker a task, not for two at once."""
+    import corpus_pipeline
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(name)
+    try:
+        out = corpus_pipeline.encode_pieces(spark, spark.range(3).selectExpr("id as doc_id", "'some text' as text"), "")
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert 0 <= plan.index("Union") < plan.index("MapInArrow")
+        wide = spark.range(0, 4_000, 1, 1).selectExpr("id", "repeat('x', 4000) as text")
+        sizes = wide.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"b": [x.nbytes], "n": [x.num_rows]}) for x in batches), "b long, n long").collect()
+        assert max(r.b for r in sizes) <= 6 << 20 and sum(r.n for r in sizes) == 4_000
+    finally:
+        spark.conf.unset(name)
+
+
 def test_scan_is_associative():
     import numpy as np
 
